@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .simhash_dedup import op9_simhash_dedup
 from .substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op9_simhash_dedup": op9_simhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
