@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from . import line_dedup
+from .bpe import op3_byte_bpe
+from .line_dedup import op10_line_dedup
+from .packing import op2_packing
+from .quality_rules import op8_quality_rules
 from .simhash_dedup import op9_simhash_dedup
 from .substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_packing": op2_packing,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op8_quality_rules": op8_quality_rules,
     "op9_simhash_dedup": op9_simhash_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_line_dedup": line_dedup.SQL,
+}
