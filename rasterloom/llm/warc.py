@@ -295,7 +295,7 @@ with p as (
   from pages
 )
 select page_id, payload_bytes,
-       array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
          ((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::bigint >> (5 * (3 - i % 4))) & 31)::int + 1, 1)), '') as payload_digest,
        case when page_id = first then 'response' else 'revisit' end as record_type,
        case when page_id = first then null else first end as refers_to
