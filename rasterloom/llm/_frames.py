@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RID = "__rid"
+BATCH = 1000
+BATCH_BYTES = 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +43,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow over batches of at most ``BATCH`` rows and ``BATCH_BYTES``, so that workers and Arrow buffers stay small."""
+    for name, most in (("Records", BATCH), ("Bytes", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.max{name}PerBatch"
+        if not 0 < int(df.sparkSession.conf.get(key).rstrip("bB")) <= most:
+            df.sparkSession.conf.set(key, most)
+    return df.mapInArrow(function, schema)
+
+
 def has_unique_ids(docs: DataFrame) -> bool:
     """Whether doc_id is never null nor repeated; one shuffle of the ids."""
     odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
@@ -53,12 +64,18 @@ def with_rid(docs: DataFrame) -> DataFrame:
     Otherwise rows are ranked by (doc_id with nulls last, hash of the text);
     rows equal in both share a rank, so they count as one document."""
     if has_unique_ids(docs):
-        return docs.withColumn(RID, F.col("doc_id").cast("long"))
+        return docs.withColumn(RID, _never_null(F.col("doc_id").cast("long")))
     key = docs.select("doc_id", F.xxhash64("text").alias("__th")).distinct()
     ranked = ranks(key, [F.col("doc_id").asc_nulls_last(), F.col("__th").asc()], RID)
     ranked = ranked.select(F.col("doc_id").alias("__d"), F.col("__th").alias("__t"), RID)
     keyed = docs.withColumn("__th", F.xxhash64("text"))
-    return keyed.join(ranked, keyed["doc_id"].eqNullSafe(ranked["__d"]) & (keyed["__th"] == ranked["__t"])).drop("__d", "__t", "__th")
+    both = keyed.join(ranked, keyed["doc_id"].eqNullSafe(ranked["__d"]) & (keyed["__th"] == ranked["__t"])).drop("__d", "__t", "__th")
+    return both.withColumn(RID, _never_null(F.col(RID)))
+
+
+def _never_null(c: Column) -> Column:
+    """Tells Spark that c has no nulls: joins then add no filters below an exchange, so it can be reused."""
+    return F.coalesce(c, F.lit(0).cast("long"))
 
 
 def ranks(df: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import RID, documents, with_rid, written
+from ._frames import RID, documents, mapped, with_rid, written
 from ._words import U, mix, word_bounds, word_hashes
 
 WORDS64 = 4
@@ -136,12 +136,12 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     ranged = docs.repartitionByRange(n, RID).sortWithinPartitions(RID).select("doc_id", "text")
-    rows = written(ranged.mapInArrow(_walk, _KINDS), "fingerprints")
+    rows = written(ranged.transform(mapped, _walk, _KINDS), "fingerprints")
     ends = rows.filter("kind = 1").select(F.col("part").alias("p"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fp"))
     parts = sorted(r["p"] for r in ends.select("p").collect())  # one number for each partition
     following = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, p int")
     last = rows.filter("kind = 2").select("part", "doc_id", "text", "fingerprint").join(following, "part").join(ends, "p")
-    met = last.mapInArrow(_meet, _KINDS)
+    met = last.transform(mapped, _meet, _KINDS)
     return rows.filter("kind = 0").unionByName(met).drop("kind", "part", "text")
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import documents, extras, sample_ids
+from ._frames import documents, extras, mapped, sample_ids
 from ._words import slices
 
 SAMPLE = 250
@@ -255,7 +255,7 @@ def language_id(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     docs = docs.select(*extras(docs, "held_out", "lang_pred", "score"))
     field = train(docs, sample)
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    out = docs.mapInArrow(_label(field, docs.columns), f"{kinds}, lang_pred string, score double")
+    out = docs.transform(mapped, _label(field, docs.columns), f"{kinds}, lang_pred string, score double")
     return out.withColumn("held_out", held_out(F.col("doc_id")))
 
 

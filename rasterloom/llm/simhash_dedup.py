@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import RID, checkpointed, documents, extras, has_unique_ids, with_rid, written
+from ._frames import RID, checkpointed, documents, extras, has_unique_ids, mapped, with_rid, written
 from ._words import slices
 
 SHINGLE = 3
@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     if keep_text:
         docs = docs.withColumn("__keep", F.lit(True))
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "__keep" and (keep_text or c != "text"))
-    return docs.mapInArrow(_fingerprint, f"{kinds}, fp long")
+    return docs.transform(mapped, _fingerprint, f"{kinds}, fp long")
 
 
 def _segment(fp, second):

@@ -31,7 +31,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._frames import RID, documents, extras, with_rid
+from ._frames import RID, documents, extras, mapped, with_rid
 from ._words import U, mix, slices, text_buffer, word_bounds, word_hashes
 from .recompress import anchors
 
@@ -227,20 +227,20 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = with_rid(docs.select(*others))
     rows = docs.repartition(RID)  # one exchange, read by both joins
     rows = rows.select(RID, *others)
-    found = docs.select(RID, "text").mapInArrow(_find(window), f"name long, {RID} long, pos int, known boolean")
+    found = docs.select(RID, "text").transform(mapped, _find(window), f"name long, {RID} long, pos int, known boolean")
     same = Window.partitionBy("name")
     found = found.withColumn("c", F.count(F.lit(1)).over(same)).withColumn("least", F.min(RID).over(same))
     copy = F.col("pos") == _COPY
     found = found.filter(F.col("known") | (F.when(copy, F.col("least") < F.col(RID)).otherwise(F.col("c") > 1)))
     lists = found.groupBy(RID).agg(F.collect_list("pos").alias("pos"))
-    held = rows.select(RID, "text").join(lists.hint("shuffle_hash"), RID)
-    seen = held.mapInArrow(_expand(window), f"k1 long, k2 long, {RID} long, start int, n int, known boolean")
+    held = rows.join(lists.hint("shuffle_hash"), RID)  # all columns, or it would be another exchange
+    seen = held.transform(mapped, _expand(window), f"k1 long, k2 long, {RID} long, start int, n int, known boolean")
     nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(RID, "start"))
     again = seen.withColumn("nth", nth).filter("known or nth > 1")
     spans = again.groupBy(RID).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     out = rows.join(spans.hint("shuffle_hash"), RID, "left").select(*others, "spans")
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*others).dtypes)
-    return out.mapInArrow(_drop(window, others), f"{kinds}, n_words long, n_removed long, kept_text string")
+    return out.transform(mapped, _drop(window, others), f"{kinds}, n_words long, n_removed long, kept_text string")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

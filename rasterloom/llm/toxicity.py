@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import documents, extras, sample_ids
+from ._frames import documents, extras, mapped, sample_ids
 from ._words import slices
 
 SAMPLE = 2000
@@ -74,7 +74,7 @@ def _count(batches):
 
 def language_model(docs: DataFrame) -> np.ndarray:
     """log P(c | a, b) as float32 [a, b, c], from trigrams of all texts, smoothed by bigrams and letters."""
-    rows = docs.select("text").mapInArrow(_count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most 64 ** 3
+    rows = docs.select("text").transform(mapped, _count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most 64 ** 3
     count = np.zeros(_A**3)
     for r in rows:
         count[r["gram"]] = r["n"]
@@ -307,7 +307,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     docs = docs.select(*extras(docs, "held_out", "score", "predicted"))
     scorer = train(docs, labels, sample)
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    out = docs.mapInArrow(_score(scorer, docs.columns), f"{kinds}, score double")
+    out = docs.transform(mapped, _score(scorer, docs.columns), f"{kinds}, score double")
     return out.withColumns({"held_out": held_out(F.col("doc_id")), "predicted": (F.col("score") >= CUT).cast("int")})
 
 

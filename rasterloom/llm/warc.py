@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import written
+from ._frames import mapped, written
 from ._words import slices
 
 LEAST = 0
@@ -275,12 +275,12 @@ def with_references(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 def write_archives(pages: DataFrame, least: int = LEAST, size: int = ARCHIVE_BYTES) -> DataFrame:
     """(archive, content): the archives, as a table in the shared folder."""
-    return written(with_references(pages, least).mapInArrow(_write(size), "archive string, content binary"), "archives")
+    return written(with_references(pages, least).transform(mapped, _write(size), "archive string, content binary"), "archives")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """One row for each record of archives.content; ``spark.read.format("binaryFile")`` gives such rows, too."""
-    return archives.select("content").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    return archives.select("content").transform(mapped, _read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
