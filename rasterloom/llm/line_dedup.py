@@ -19,7 +19,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import RID, documents, extras, has_unique_ids, with_rid
+from ._frames import RID, documents, extras, has_unique_ids, with_rid, written
 
 THRESHOLD = 10
 LEAST = 1
@@ -45,7 +45,7 @@ def line_dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     docs = with_rid(docs.select(*others))
     once = docs if unique else docs.dropDuplicates([RID])
     once = once.select(RID, F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
-    hashed = once.select(RID, F.transform("lines", _hashes).alias("keys"))
+    hashed = written(once.select(RID, F.transform("lines", _hashes).alias("keys")), "line-keys")  # read twice
     counted = hashed.select(F.explode(F.array_distinct("keys")).alias("k")).filter("k is not null")
     hot = counted.groupBy("k.h1", "k.h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= threshold).select("h1", "h2")
     lines = hashed.select(RID, F.posexplode("keys").alias("pos", "k")).filter("k is not null").select(RID, "pos", "k.h1", "k.h2")
