@@ -9,7 +9,9 @@ position where a longer token may still begin, the bytes since and the tokens th
 lead there.  Reading a byte extends these, and tokens on which all of them agree
 are emitted: no later byte can change them.  A pending token is at most as long as
 the longest token, which bounds the lookahead.  States and transitions are built
-when first met and kept, up to a bound; so are the outputs of whole matches.
+when first met and kept, up to a bound; so are the outputs of whole matches.  A
+match of at most ``_LOOK`` bytes ends within the lookahead: from a token emitted, its
+rest is a single transition, determinised when first met.
 
 Decoding joins token bytes; ``Utf8Stream`` is an incremental UTF-8 machine that
 releases text as soon as its characters are complete.
@@ -30,11 +32,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import documents, extras
+from ._frames import documents, extras, mapped
 from ._words import slices
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-_STATES = 60_000
+_STATES = 30_000
+_LOOK = 24
+_SHORT = 6
+_ENDS = 200_000
+_PAIRS = 300_000
 _STORE = 400_000
 _BLOCK = 1 << 16
 
@@ -44,14 +50,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merge(ranks: dict[bytes, int], piece: bytes) -> list[bytes]:
-    """Plain BPE of a few bytes: the rules that the transducer is compiled from."""
+def merge(ranks: dict[bytes, int], piece: bytes, below: int | None = None) -> list[bytes]:
+    """Plain BPE of a few bytes, with merges of a rank under ``below``: the rules that the transducer is compiled from."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
     while True:
         best, at = None, -1
         for i in range(len(parts) - 1):
             r = ranks.get(parts[i] + parts[i + 1])
-            if r is not None and (best is None or r < best):
+            if r is not None and (best is None or r < best) and (below is None or r < below):
                 best, at = r, i
         if best is None:
             return parts
@@ -59,76 +65,148 @@ def merge(ranks: dict[bytes, int], piece: bytes) -> list[bytes]:
 
 
 class Transducer:
-    """Encodes one match of the pattern at a time."""
+    """Encodes one match of the pattern at a time.
+
+    Positions where a longer token may begin are nodes of the vocabulary's trie."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.open = {t[:i] for t in ranks for i in range(1, len(t))}
-        self.whole: dict[bytes, bool] = {}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.bytes_of = {i: t for t, i in ranks.items()}
+        self.next: dict[int, int] = {}  # node << 8 | byte
+        self.inner = bytearray(1)
+        self.token = [-1]
+        for t, i in ranks.items():
+            node = 0
+            for byte in t:
+                child = self.next.get(node << 8 | byte)
+                if child is None:
+                    child = self.next[node << 8 | byte] = len(self.token)
+                    self.token.append(-1)
+                    self.inner[node] = 1
+                    self.inner.append(0)
+                node = child
+            self.token[node] = i
+        self.whole: dict[int, bool] = {}
+        self.ends: dict[tuple[int, bytes], tuple[int, ...] | None] = {}
+        self.pairs: dict[int, bool] = {}
+        self.spines: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.names: dict[tuple, int] = {}
         self.kept: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.finals: list[tuple[int, ...]] = []
-        self._state(None, ((b"", ()),))
-
-    def _state(self, last: bytes | None, live: tuple) -> int:
-        key = (last, live)
-        if key not in self.names:
-            self.names[key] = len(self.kept)
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self._state((-1, ((0, ()),)))
+
+    def _state(self, key: tuple) -> int:
+        got = self.names.get(key)
+        if got is None:
+            got = self.names[key] = len(self.kept)
             self.kept.append(key)
-            self.moves.append({})
-            self.finals.append(tuple(self.ranks[t] for t in next(c for s, c in live if not s)))
-        return self.names[key]
-
-    def _reachable(self, token: bytes) -> bool:
-        if token not in self.whole:
-            self.whole[token] = token in self.ranks and merge(self.ranks, token) == [token]
-        return self.whole[token]
-
-    def _fits(self, a: bytes | None, b: bytes) -> bool:
-        if a is None:
-            return True
-        got = self.pairs.get((a, b))
+        return got
+
+    def _fits(self, a: int, b: int) -> bool:
+        """Whether a and b stay two tokens side by side; a < 0: whether b is the encoding of its own bytes."""
+        if a < 0:
+            got = self.whole.get(b)
+            if got is None:
+                t = self.bytes_of[b]
+                got = self.whole[b] = merge(self.ranks, t) == [t]
+            return got
+        key = a << 32 | b
+        got = self.pairs.get(key)
         if got is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > _PAIRS:
                 self.pairs.clear()
-            got = self.pairs[a, b] = merge(self.ranks, a + b) == [a, b]
+            got = self.pairs[key] = self._fits(-1, a) and self._fits(-1, b) and self._apart(a, b)
         return got
 
+    def _spine(self, t: int, side: int) -> list[tuple[int, bytes]]:
+        """(rank of the merge that takes it up, bytes) of the tokens at one edge (-1: right, 0: left) as t is built, last first."""
+        got = self.spines.get((t, side))
+        if got is None:
+            part, got = self.bytes_of[t], [(1 << 40, self.bytes_of[t])]
+            while len(part) > 1:
+                rank = self.ranks[part]
+                part = merge(self.ranks, part, rank)[side]
+                got.append((rank, part))
+            self.spines[t, side] = got
+        return got
+
+    def _apart(self, a: int, b: int) -> bool:
+        """No merge across the border comes before those that build a and b (of equal ranks, the leftmost comes first)."""
+        get = self.ranks.get
+        for until_a, x in self._spine(a, -1):
+            for until_b, y in self._spine(b, 0):
+                rank = get(x + y)
+                if rank is not None and rank < until_a and rank <= until_b:
+                    return False
+        return True
+
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Builds a transition: the state after byte and the ids emitted."""
         last, live = self.kept[state]
-        b = bytes([byte])
-        chain = next(c + (s + b,) for s, c in live if self._reachable(s + b) and self._fits(c[-1] if c else last, s + b))
-        after = [(s + b, c) for s, c in live if s + b in self.open]
-        after.append((b"", chain))
-        sure = 0
-        for column in zip(*(c for _, c in after)):
-            if any(t != column[0] for t in column):
+        after, found, token, step = [], None, self.token, self.next.get
+        for node, chain in live:
+            child = step(node << 8 | byte)
+            if child is None:
+                continue
+            t = token[child]
+            if t >= 0 and found is None and self._fits(chain[-1] if chain else last, t):
+                found = (*chain, t)
+            if self.inner[child]:
+                after.append((child, chain))
+        sure = len(found)
+        for _, chain in after:  # what all of them begin with is sure
+            n = min(sure, len(chain))
+            sure = next((k for k in range(n) if chain[k] != found[k]), n)
+        after.append((0, found))
+        if sure:
+            return self._state((found[sure - 1], tuple([(s, c[sure:]) for s, c in after]))), found[:sure]
+        return self._state((last, tuple(after))), ()
+
+    def _finish(self, last: int, rest: bytes) -> tuple[int, ...] | None:
+        """The one transition from a token emitted to the end of a match that lies within the lookahead; None if no encoding goes on so."""
+        key = (last, rest)
+        if key in self.ends:
+            return self.ends[key]
+        node, found, token, step = 0, [], self.token, self.next.get
+        for k, byte in enumerate(rest, 1):
+            node = step(node << 8 | byte)
+            if node is None:
                 break
-            sure += 1
-        out = chain[:sure]
-        return self._state(out[-1] if out else last, tuple((s, c[sure:]) for s, c in after)), tuple(self.ranks[t] for t in out)
+            if token[node] >= 0:
+                found.append((token[node], k))
+        out = None
+        for t, k in reversed(found):
+            if self._fits(last, t):
+                more = self._finish(t, rest[k:]) if k < len(rest) else ()
+                if more is not None:
+                    out = (t, *more)
+                    break
+        if last >= 0 and len(rest) <= _SHORT:  # worth keeping: other matches end so
+            if len(self.ends) > _ENDS:
+                self.ends.clear()
+            self.ends[key] = out
+        return out
 
-    def encode(self, piece: bytes) -> list[int]:
+    def encode(self, piece: bytes) -> list[int] | tuple[int, ...]:
         if piece in self.ranks:
             return [self.ranks[piece]]
+        if len(piece) <= _LOOK:
+            return self._finish(-1, piece)
         if len(self.kept) > _STATES:
             self._reset()
         out: list[int] = []
         state, moves = 0, self.moves
         for byte in piece:
-            step = moves[state].get(byte)
+            step = moves.get(state << 8 | byte)
             if step is None:
-                step = moves[state][byte] = self._move(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
-        out += self.finals[state]
+                step = moves[state << 8 | byte] = self._move(state, byte)
+            state, ready = step
+            if ready:
+                out += ready
+        out += self.kept[state][1][-1][1]
         return out
 
 
@@ -219,7 +297,7 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path(RANKS)
     docs = docs.select(*extras(docs, "n_tokens", "ids", "decoded"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(_both(path, docs.columns), f"{kinds}, n_tokens long, ids binary, decoded string")
+    return docs.transform(mapped, _both(path, docs.columns), f"{kinds}, n_tokens long, ids binary, decoded string")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

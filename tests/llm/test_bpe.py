@@ -45,3 +45,14 @@ def test_frame(spark):
     got = bpe.bpe_round_trip(df).collect()
     assert len(got) == 5 and all(x["decoded"] == (x["text"] or "") for x in got)
     assert bpe.bpe_round_trip(df.limit(0)).count() == 0
+
+
+def test_pairs_against_merging():
+    """The rule for neighbours agrees with merging their bytes."""
+    t = bpe.Transducer(bpe.load_ranks(P.path(bpe.RANKS)))
+    r = random.Random(5)
+    ids = [i for i in r.sample(sorted(t.bytes_of), 1500) if t._fits(-1, i)] + list(range(97, 123))
+    for _ in range(6000):
+        a, b = r.choice(ids), r.choice(ids)
+        x, y = t.bytes_of[a], t.bytes_of[b]
+        assert t._fits(a, b) == (bpe.merge(t.ranks, x + y) == [x, y])
