@@ -1,6 +1,273 @@
-"""Queries of the raster engine and their oracle SQL."""
+"""Queries of the raster engine over the driver's tables; their SQL is in ``oracle``."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..consts import Background, Supersample, WarpParams
+from ..functions import spline
+from ..operators import chroma, kbuffer, resolve, warp
+from ..operators import lattice as L
+from ..sources import patterns, v210
+from ..sources.frames import events_frame, planes
+from ..streaming import live
+from . import pipeline
+from .oracle import ORACLE_SQL  # noqa: F401
+
+SMALL = (48, 36)  # pattern size
+PLAIN = Supersample(most=1)
+
+
+def _one(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.col("id").alias("frame_id"))
+
+
+def _out(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(*(names or ("dx", "dy", "lum", "cb", "cr", "w")))
+
+
+def _warp(spark, sf_dir, control, params: WarpParams, frame=None) -> DataFrame:
+    pixels, w, h = frame or events_frame(spark, sf_dir)
+    return pipeline.run_frame(pixels, control, w, h, params, _one(spark))
+
+
+def warp_affine_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: the events frame at half size."""
+    frame = events_frame(spark, sf_dir)
+    _, w, h = frame
+    control = L.build(spark, "affine", width=w, height=h, scale_x=0.5, scale_y=0.5)
+    return _out(_warp(spark, sf_dir, control, WarpParams(w // 2, max(1, h // 2), supersample=PLAIN), frame))
+
+
+def warp_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = events_frame(spark, sf_dir)
+    _, w, h = frame
+    return _out(_warp(spark, sf_dir, L.build(spark, "affine", width=w, height=h), WarpParams(w, h), frame))
+
+
+def warp_magnify2x(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = events_frame(spark, sf_dir)
+    _, w, h = frame
+    control = L.build(spark, "affine", width=w, height=h, scale_x=1.5, scale_y=1.25, offset_x=3.0, offset_y=5.0)
+    return _out(_warp(spark, sf_dir, control, WarpParams(150, h), frame))
+
+
+def _curved(w: int, h: int) -> dict[str, dict]:
+    return {
+        "cylinder": {"radius": 60.0, "span": 1.8, "height": 0.9 * h, "cx": 48.5, "cy": h / 2.0},
+        "sphere": {"radius": 45.0, "span_h": 2.0, "span_v": 1.5, "cx": 50.25, "cy": h / 2.0},
+        "page_turn": {"width": 90.0, "height": 0.8 * h, "radius": 15.0, "progress": 0.5, "cx": 50.0, "cy": h / 2.0},
+    }
+
+
+def _warp_curved(shape: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The curved warp's projection, rounded: sines of different engines differ in the last bit."""
+        pixels, w, h = events_frame(spark, sf_dir)
+        stencil = L.stencils(L.build(spark, shape, **_curved(w, h)[shape]))
+        at = L.located(pixels, stencil, spline.lattice_coordinate("px", w), spline.lattice_coordinate("py", h))
+        return L.spent(L.evaluated(at, derivatives=False)).selectExpr("px", "py", *(f"round({c}, 6) + 0D as {c}" for c in "xyz"))
+
+    return run
+
+
+def lattice_morph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = L.build(spark, "page_turn", width=300.0, height=250.0, radius=50.0, progress=0.5, cx=20.0, cy=-10.0)
+    b = L.build(spark, "cylinder", radius=180.0, span=math.pi / 3, height=300.0, cx=-40.0, cy=25.0)
+    return L.morph(a, b, 0.375).selectExpr("row", "col", *(f"round({c}, 6) + 0D as {c}" for c in "xyz"))
+
+
+def lattice_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = L.build(spark, "sphere", radius=100.0, span_h=2.2, span_v=1.9, cx=128.0, cy=96.0)
+    return L.rotate(a, 0.3, -0.2, 128.0, 96.0, 100.0).selectExpr("row", "col", *(f"round({c}, 6) + 0D as {c}" for c in "xyz"))
+
+
+def jacobian_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels, w, h = events_frame(spark, sf_dir)
+    stencil = L.stencils(L.build(spark, "page_turn", **_curved(w, h)["page_turn"]))
+    at = L.located(pixels, stencil, spline.lattice_coordinate("px", w), spline.lattice_coordinate("py", h))
+    j = L.footprint(L.spent(L.evaluated(at, point=False)))
+    cols = {"det": L.DETERMINANT, "k": L.density(L.DETERMINANT, 1000.0), "major": "major", "minor": "minor"} | L.NORMAL
+    return j.selectExpr("px", "py", *(f"round({e}, 4) + 0D as {n}" for n, e in cols.items()))
+
+
+def v210_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels, w, _ = events_frame(spark, sf_dir)
+    return v210.pack(*planes(pixels), w).selectExpr("row_no", "lower(hex(bytes)) as packed")
+
+
+def v210_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed and unpacked again: the frame with its codes clamped."""
+    pixels, w, _ = events_frame(spark, sf_dir)
+    luma, c = v210.unpack(v210.pack(*planes(pixels), w), w)
+    return luma.selectExpr("x", "y", "v", "x div 2 as cx", "x % 2 as odd").join(c, ["cx", "y"], "left").selectExpr("x", "y", "v", "case when odd = 0 then cb end as cb", "case when odd = 0 then cr end as cr")
+
+
+def chroma_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels, _, _ = events_frame(spark, sf_dir)
+    return chroma.upsample(planes(pixels)[1]).select("x", "y", "cb", "cr")
+
+
+def chroma_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels, _, _ = events_frame(spark, sf_dir)
+    return chroma.downsample(pixels.selectExpr("frame_id", "px as x", "py as y", "cb", "cr")).select("cx", "y", "cb", "cr")
+
+
+def _pattern(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        luma, c = patterns.pattern(spark, name, *SMALL)
+        a = luma.selectExpr("'luma' as plane", "x", "y", "v as a", "0 as b")
+        return a.unionByName(c.selectExpr("'chroma' as plane", "cx as x", "y", "cb as a", "cr as b"))
+
+    return run
+
+
+def bin_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels, w, h = events_frame(spark, sf_dir)
+    control = L.build(spark, "affine", width=w, height=h, scale_x=1.5, scale_y=1.25, offset_x=-4.0, offset_y=5.0)
+    return warp.bin_stats(pixels, L.stencils(control), w, h, WarpParams(130, h))
+
+
+def _layers(spark: SparkSession, sf_dir: str):
+    pixels, w, h = events_frame(spark, sf_dir)
+    params = WarpParams(w, h, supersample=PLAIN)
+    cells = []
+    for scale, off in ((0.75, 2.0), (0.5, 10.0)):
+        control = L.build(spark, "affine", width=w, height=h, scale_x=scale, scale_y=scale, offset_x=off, offset_y=off / 2)
+        cells.append(warp.splat_over_grid(warp.fragments(pixels, L.stencils(control), w, h, params), _one(spark), params))
+    return cells
+
+
+def layered_opaque(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower, upper = _layers(spark, sf_dir)
+    return _out(resolve.composite_layered(lower, upper, 1, 1), "dx", "dy", "lum", "cb", "cr")
+
+
+def layered_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower, upper = _layers(spark, sf_dir)
+    return _out(resolve.composite_layered(lower, upper, 0, 1), "dx", "dy", "lum", "cb", "cr")
+
+
+def union_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both layers' cells in one aggregation: the same pixels as ``layered_sum``."""
+    return _out(resolve.composite(resolve.sum_cells(*_layers(spark, sf_dir))), "dx", "dy", "lum", "cb", "cr")
+
+
+def coverage_grey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warp_affine_half(spark, sf_dir).selectExpr("dx", "dy", f"{resolve.coverage_grey('w')} as grey")
+
+
+def _tagged(spark: SparkSession, sf_dir: str, tags: int):
+    """The events frame at three quarters, tagged and at depths by user."""
+    pixels, w, h = events_frame(spark, sf_dir)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    params = WarpParams(w, h, supersample=PLAIN, kbuffer="blend", background=Background(4096, 32768, 32768))
+    control = L.build(spark, "affine", width=w, height=h, scale_x=0.75, scale_y=0.75)
+    frags = warp.fragments(pixels, L.stencils(control), w, h, params).drop("tag", "z")
+    extra = events.selectExpr("cast(event_id % 100 as int) as px", "cast(event_id div 100 as int) as py", f"cast((user_id + event_id * 3) % {tags} as smallint) as tag", "cast((event_id * 7919) % 60000 as int) as z")
+    return frags.join(extra, ["px", "py"]), params
+
+
+def _kbuffer(mode: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frags, params = _tagged(spark, sf_dir, 4)
+        return _out(kbuffer.resolve(kbuffer.slots(frags, params), mode, params.background), "dx", "dy", "lum", "cb", "cr")
+
+    return run
+
+
+def kbuffer_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven tags in four slots."""
+    frags, params = _tagged(spark, sf_dir, 7)
+    return _out(kbuffer.resolve(kbuffer.slots(frags, params), "opaque", params.background), "dx", "dy", "lum", "cb", "cr")
+
+
+def _capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.selectExpr("user_id as source_id", "event_id as frame_no", "event_type <> 'click' as has_signal", "event_id as at")
+
+
+def capture_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.captured(_capture(spark, sf_dir)).select("source_id", "frame_no")
+
+
+def ring_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ring of three frames; each click takes one."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id as source_id", "event_id as seq", "case when event_type = 'click' then 'pop' else 'push' end as kind")
+    return live.admitted(events, 3)
+
+
+def stream_latest_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks every 200 events against the frames captured."""
+    frames = live.captured(_capture(spark, sf_dir).filter("source_id < 20"))
+    n = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    sources = spark.range(20).selectExpr("id as source_id")
+    ticks = sources.selectExpr("source_id", f"explode(sequence(0L, {max(0, n // 200 - 1)}L)) as tick").selectExpr("source_id", "tick", "tick * 200 as at")
+    return live.playback(frames, ticks)
+
+
+def latest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.latest(_capture(spark, sf_dir)).selectExpr("source_id", "frame.frame_no as frame_no", "frame.has_signal as has_signal")
+
+
+def settings_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frame with the last value that its source had set (by a purchase) up to it."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    settings = events.filter("event_type = 'purchase'").selectExpr("user_id as source_id", "event_id as at", "cast(floor(value * 100D) as bigint) as value")
+    return live.as_of(_capture(spark, sf_dir), settings).select("source_id", "frame_no", "value")
+
+
+def frame_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed rows through the identity warp: luma comes back to the bit."""
+    pixels, w, h = events_frame(spark, sf_dir)
+    rows = v210.pack(*planes(pixels), w)
+    out = pipeline.run_frame_rows(rows, L.build(spark, "affine", width=w, height=h), w, h, WarpParams(w, h))
+    luma, _ = v210.unpack(out, w)
+    return luma.select("x", "y", "v")
+
+
+def determinism(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the flagship that change with the partitioning of its input: none."""
+    pixels, w, h = events_frame(spark, sf_dir)
+    control = L.build(spark, "affine", width=w, height=h, scale_x=0.5, scale_y=0.5)
+    params = WarpParams(w // 2, max(1, h // 2), supersample=PLAIN)
+    a, b = (pipeline.run_frame(pixels.repartition(n, *by), control, w, h, params, _one(spark)) for n, by in ((3, ["py"]), (7, ["px"])))
+    return a.exceptAll(b).agg(F.count(F.lit(1)).alias("different"))
+
+
+QUERIES = {
+    "warp_affine_half": warp_affine_half,
+    "warp_identity": warp_identity,
+    "warp_magnify2x": warp_magnify2x,
+    "warp_cylinder": _warp_curved("cylinder"),
+    "warp_sphere": _warp_curved("sphere"),
+    "warp_page_turn": _warp_curved("page_turn"),
+    "lattice_morph": lattice_morph,
+    "lattice_rotate": lattice_rotate,
+    "jacobian_quantities": jacobian_quantities,
+    "v210_pack": v210_pack,
+    "v210_unpack": v210_unpack,
+    "chroma_up": chroma_up,
+    "chroma_down": chroma_down,
+    "pattern_ramp": _pattern("ramp"),
+    "pattern_zoneplate": _pattern("zoneplate"),
+    "pattern_excursion": _pattern("excursion"),
+    "bin_stats": bin_stats,
+    "layered_opaque": layered_opaque,
+    "layered_sum": layered_sum,
+    "union_sum": union_sum,
+    "coverage_grey": coverage_grey,
+    "kbuffer_opaque": _kbuffer("opaque"),
+    "kbuffer_blend": _kbuffer("blend"),
+    "kbuffer_evict": kbuffer_evict,
+    "capture_gate": capture_gate,
+    "ring_drop": ring_drop,
+    "stream_latest_repeat": stream_latest_repeat,
+    "latest_frame": latest_frame,
+    "settings_as_of": settings_as_of,
+    "frame_round_trip": frame_round_trip,
+    "determinism": determinism,
+}
