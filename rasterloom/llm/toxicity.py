@@ -35,9 +35,10 @@ from ._frames import documents, extras, mapped, sample_ids
 from ._words import slices
 
 SAMPLE = 2000
-LONGEST = 20_000
+LONGEST = 12_000
 CUT = 0.7
-_STORE = 400_000
+_STORE = 500_000
+_OFTEN = 4
 _LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýœ"
 _A = 64
 _OTHER = 63
@@ -229,17 +230,13 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def find_markers(docs: list[tuple[set[str], int]]) -> dict[str, float]:
+def find_markers(bad: Counter, good: Counter, n_bad: int, n_good: int) -> dict[str, float]:
     """Log odds of features that are found in toxic documents beyond chance."""
-    count = (Counter(), Counter())
-    for found, label in docs:
-        count[label].update(found)
-    bad, good = sum(y for _, y in docs), sum(1 - y for _, y in docs)
     out = {}
-    for f, t in count[1].items():
-        n = count[0][f]
-        odds = math.log((t + 0.5) / (bad + 1)) - math.log((n + 0.5) / (good + 1))
-        if t >= 4 and odds > 1.4 and odds / math.sqrt(1 / (t + 0.5) + 1 / (n + 0.5)) > 2.5:
+    for f, t in bad.items():
+        n = good[f]
+        odds = math.log((t + 0.5) / (n_bad + 1)) - math.log((n + 0.5) / (n_good + 1))
+        if t >= _OFTEN and odds > 1.4 and odds / math.sqrt(1 / (t + 0.5) + 1 / (n + 0.5)) > 2.7:
             out[f] = odds
     return out
 
@@ -259,24 +256,37 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
 
 def fit(lm: np.ndarray, sample: list[tuple[str, int]]) -> Scorer:
     """A scorer from (text, label) rows."""
-    plain = Scorer(lm, {}, [])
+    if len({y for _, y in sample}) < 2:
+        return Scorer(lm, {}, [0.0, 0.0, 0.0, -30.0])
 
-    @lru_cache(maxsize=None)
+    @lru_cache(maxsize=20_000)
     def of(word: str) -> frozenset:
         core = word.strip(_ENDS)
         core = restore(core, lm) if suspicious(core) else restore(word, lm) if suspicious(word) else core
         return frozenset(features(core)) if len(core) > 2 else frozenset()
 
-    docs = [(set().union(*map(of, set(tokens(t)))) if t else set(), y) for t, y in sample]
-    if len({y for _, y in docs}) < 2:
-        plain.weights = [0.0, 0.0, 0.0, -30.0]
-        return plain
+    def found(text: str | None) -> set[str]:
+        return set().union(*map(of, set(tokens(text)))) if text else set()
+
+    count = [[Counter(), Counter()] for _ in range(2)]  # by half and label
+    size = [[0, 0], [0, 0]]
+    for label in (1, 0):  # toxic texts first: only what is frequent in them is counted in the others
+        if label == 0:
+            often = {f for f, n in (count[0][1] + count[1][1]).items() if n >= _OFTEN}
+            for half in (0, 1):
+                count[half][1] = Counter({f: n for f, n in count[half][1].items() if f in often})
+        for half in (0, 1):
+            for t, y in sample[half::2]:
+                if y == label:
+                    size[half][label] += 1
+                    count[half][label].update(found(t) if label else found(t) & often)
     rows = []
-    for side in (0, 1):
-        half = Scorer(lm, find_markers(docs[side::2]), [])
-        rows += [(half.strongest(t), y) for t, y in sample[1 - side :: 2]]
+    for half in (0, 1):
+        side = Scorer(lm, find_markers(count[half][1], count[half][0], size[half][1], size[half][0]), [])
+        rows += [(side.strongest(t), y) for t, y in sample[1 - half :: 2]]
     weights = _logistic(np.array([x for x, _ in rows]), np.array([y for _, y in rows], float))
-    return Scorer(lm, find_markers(docs), weights)
+    both = [count[0][y] + count[1][y] for y in (0, 1)]
+    return Scorer(lm, find_markers(both[1], both[0], size[0][1] + size[1][1], size[0][0] + size[1][0]), weights)
 
 
 def held_out(doc_id: Column) -> Column:
