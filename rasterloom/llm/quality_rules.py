@@ -38,9 +38,9 @@ def _vote(bad: str, good: str) -> str:
 #: 0 against, 1 abstains, 2 for.
 RULES = {
     "length": _vote("n_words < 50", "n_words >= 80"),
-    "repetition": _vote("n_repeat_words > 0.4 * n_words", "n_repeat_words < 0.15 * n_words"),
+    "repetition": _vote("n_repeat_words > 0.4 * n_words", "n_repeat_words < 0.3 * n_words"),
     "symbols": _vote("n_symbols > 0.1 * n_words", "n_symbols < 0.02 * n_words"),
-    "lines": _vote("n_dup_lines > 0.3 * n_lines", "n_dup_lines < 0.1 * n_lines"),
+    "lines": _vote("n_dup_lines > 0.5 * n_lines", "n_dup_lines < 0.4 * n_lines"),
     "word_size": _vote("word_chars < 2.5 * n_words or word_chars > 12 * n_words", "word_chars between 3.5 * n_words and 9 * n_words"),
     "shouting": _vote("n_capitals > 0.4 * word_chars", "n_capitals < 0.1 * word_chars"),
     "marks": _vote("n_marks > 0.5 * n_words", "n_marks < 0.3 * n_words"),
@@ -114,27 +114,34 @@ def pattern() -> Column:
 def fit(counts: dict[int, int], rules: int, rounds: int = ROUNDS) -> dict[int, float]:
     """Posterior probability of being good for each pattern, by expectation-maximisation over all counts.
 
-    Starts from the share of votes for; each rule's table of votes given the class gets one
+    Documents are bad in different ways, so the hidden state is good or one of as many bad kinds as
+    there are rules; each has its own table of how every rule votes on it.  Starts from the view that
+    a vote against is mostly right, and that the document is of that rule's kind.  Every table gets one
     pseudo-count, so that no estimate is 0 or 1."""
     votes = {c: [c // 3 ** (rules - 1 - j) % 3 for j in range(rules)] for c in sorted(counts)}
-    good = {}
+    states = range(rules + 1)  # the last is good
+    share = {}
     for c, v in votes.items():
-        cast = sum(x != 1 for x in v)
-        good[c] = (sum(x == 2 for x in v) + 0.5) / (cast + 1)
-        good[c] = good[c] ** 4 / (good[c] ** 4 + (1 - good[c]) ** 4)  # a firm start
+        against = [j for j in range(rules) if v[j] == 0]
+        if against:
+            share[c] = [0.95 / len(against) if j in against else 0.0 for j in range(rules)] + [0.05]
+        else:
+            share[c] = [0.05 / rules] * rules + [0.95]
     total = sum(counts.values())
     for _ in range(rounds):
-        prior = (sum(counts[c] * p for c, p in good.items()) + 1) / (total + 2)
-        table = [[[1.0] * 3 for _ in range(rules)] for _ in range(2)]
+        prior = [(sum(counts[c] * p[k] for c, p in share.items()) + 1) / (total + rules + 1) for k in states]
+        table = [[[1.0] * 3 for _ in range(rules)] for _ in states]
         for c, v in votes.items():
-            for j, x in enumerate(v):
-                table[1][j][x] += counts[c] * good[c]
-                table[0][j][x] += counts[c] * (1 - good[c])
+            for k in states:
+                for j, x in enumerate(v):
+                    table[k][j][x] += counts[c] * share[c][k]
         logs = [[[math.log(x / sum(row)) for x in row] for row in side] for side in table]
         for c, v in votes.items():
-            odds = math.log(prior / (1 - prior)) + sum(logs[1][j][x] - logs[0][j][x] for j, x in enumerate(v))
-            good[c] = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
-    return good
+            like = [math.log(prior[k]) + sum(logs[k][j][x] for j, x in enumerate(v)) for k in states]
+            most = max(like)
+            like = [math.exp(x - most) for x in like]
+            share[c] = [x / sum(like) for x in like]
+    return {c: p[rules] for c, p in share.items()}
 
 
 def judge(stats: DataFrame, counted: DataFrame | None = None) -> DataFrame:

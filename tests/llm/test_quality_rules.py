@@ -37,20 +37,22 @@ def test_statistics(spark):
 
 
 def test_estimate():
-    """Rules of known accuracy: the posterior follows the truth, and a useless rule doesn't matter."""
+    """Good documents and three bad kinds, each seen by its own rule; a rule that is always for; noise."""
     r = random.Random(4)
     counts, truth = Counter(), Counter()
     for _ in range(20000):
-        y = r.random() < 0.8
+        kind = r.choices([None, 0, 1, 2], [85, 5, 8, 2])[0]
         code = 0
-        for acc in (0.9, 0.85, 0.8, 0.5):
-            v = 1 if r.random() < 0.2 else (2 if (r.random() < acc) == y else 0)
-            code = code * 3 + v
+        for j in range(4):
+            bad = r.random() < (0.93 if kind == j else 0.01 if j < 3 else 0.0)
+            code = code * 3 + (0 if bad else 2 if r.random() < 0.9 else 1)
         counts[code] += 1
-        truth[code] += y
+        truth[code] += kind is None
     post = Q.fit(counts, 4)
     right = sum(truth[c] if post[c] >= 0.5 else n - truth[c] for c, n in counts.items())
-    assert right / 20000 > 0.92
+    assert right / 20000 > 0.96
+    assert sum(truth[c] for c in counts if post[c] >= 0.5) > 0.96 * sum(truth.values())
+    assert Q.fit({}, 4) == {} and set(Q.fit({80: 5}, 4)) == {80}
 
 
 def test_odd_tables(spark):
