@@ -83,3 +83,12 @@ def test_strides_and_black(spark):
 
 def test_pattern_command(tmp_path):
     assert patterns.main([]) == 2 and patterns.main(["none", "x"]) == 2 and patterns.main(["ramp", "x", "7", "2"]) == 2
+
+
+def test_pattern_files(spark, tmp_path):
+    assert patterns.main(["all", str(tmp_path), "14", "4"]) == 0
+    for name in patterns.NAMES:
+        luma, c = patterns.pattern(spark, name, 14, 4)
+        la, cb = v210.read_v210_file(spark, f"{tmp_path}/{name}.v210", 14, 4)
+        assert sorted(map(tuple, la.collect())) == sorted(map(tuple, luma.select("frame_id", "x", "y", "v").collect()))
+        assert sorted(map(tuple, cb.collect())) == sorted(map(tuple, c.select("frame_id", "cx", "y", "cb", "cr").collect()))
