@@ -84,12 +84,14 @@ def morph(start: DataFrame, end: DataFrame, t: float) -> DataFrame:
 def stencils(lattice: DataFrame) -> DataFrame:
     """(ci, cj, lx, ly, lz): for each of 128 x 128 cells the 16 points around it, edges repeated.
 
-    16 384 rows whatever the frames, so warps broadcast it."""
+    16 384 rows whatever the frames, so warps broadcast it; one partition, so it is built
+    without an exchange."""
     spark = lattice.sparkSession
-    cells = spark.range(N * N).selectExpr(f"cast(id % {N} as int) as ci", f"cast(id div {N} as int) as cj", "explode(sequence(0, 15)) as k")
+    cells = spark.range(0, N * N, 1, 1).selectExpr(f"cast(id % {N} as int) as ci", f"cast(id div {N} as int) as cj", "explode(sequence(0, 15)) as k")
     spots = cells.selectExpr("ci", "cj", "k", f"least(greatest(cj - 1 + k div 4, 0), {N}) as row", f"least(greatest(ci - 1 + k % 4, 0), {N}) as col")
     spots = spots.withColumns({c: F.col(c).cast("int") for c in ("row", "col")})
-    got = spots.join(lattice, ["row", "col"]).groupBy("ci", "cj").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y", "z"))).alias("p"))
+    got = spots.join(F.broadcast(lattice), ["row", "col"])  # 16 641 points
+    got = got.groupBy("ci", "cj").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y", "z"))).alias("p"))
     return got.selectExpr("ci", "cj", *(f"transform(p, q -> q.{c}) as l{c}" for c in "xyz"))
 
 
