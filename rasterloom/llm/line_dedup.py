@@ -4,7 +4,8 @@ Lines (split at \\n) are keyed: white space stripped at both ends, A-Z lower-cas
 Each document's distinct keys are hashed (128 bits) and exploded, documents are
 counted for each hash, and keys found in ``threshold`` documents or more lose all
 their lines.  Positions to drop go back to their document, which is reassembled
-from the lines that stay.  Only hashes and positions are exploded, never texts.
+from the lines that stay.  Only hashes and positions are exploded, never texts.  Keys
+with over 1 in ``COMMON`` of all lines, so at most that many, are joined by broadcast.
 
 Defined cases: null and empty texts have one empty line.  Empty keys never count.
 Rows equal in id and text are one document, each gets the same result; rows that
@@ -23,6 +24,7 @@ from ._frames import RID, documents, extras, has_unique_ids, with_rid, written
 
 THRESHOLD = 10
 LEAST = 1
+COMMON = 10_000
 _SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -47,9 +49,15 @@ def line_dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     once = once.select(RID, F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     hashed = written(once.select(RID, F.transform("lines", _hashes).alias("keys")), "line-keys")  # read twice
     counted = hashed.select(F.explode(F.array_distinct("keys")).alias("k")).filter("k is not null")
-    hot = counted.groupBy("k.h1", "k.h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= threshold).select("h1", "h2")
+    hot = counted.groupBy("k.h1", "k.h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= threshold)
+    hot = written(hot, "hot-lines")
     lines = hashed.select(RID, F.posexplode("keys").alias("pos", "k")).filter("k is not null").select(RID, "pos", "k.h1", "k.h2")
-    drops = lines.join(hot, ["h1", "h2"]).groupBy(RID).agg(F.collect_list("pos").alias("drops"))
+    total = hashed.agg(F.sum(F.size("keys"))).first()[0] or 0
+    often = total / COMMON  # at most COMMON keys have a larger share of all lines: they are broadcast, the rest have no skew
+    common = F.broadcast(hot.filter(F.col("n") >= often).select("h1", "h2"))
+    rest = lines.join(common, ["h1", "h2"], "left_anti").join(hot.filter(F.col("n") < often).select("h1", "h2"), ["h1", "h2"])
+    found = lines.join(common, ["h1", "h2"]).select(RID, "pos").unionByName(rest.select(RID, "pos"))
+    drops = found.groupBy(RID).agg(F.collect_list("pos").alias("drops"))
     text = F.coalesce("text", F.lit(""))
     out = docs.join(drops, RID, "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size(F.split(text, "\n")) - 1), F.col("drops"))
