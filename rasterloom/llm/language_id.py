@@ -21,8 +21,6 @@ are independent, so ids may be null or repeat.  Without labelled texts all are
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -41,24 +39,38 @@ STEPS = 40
 _HASHED = 1 << 16
 _SLOTS = 18
 _STORE = 600_000
-_LETTER = re.compile(r"[^\W\d_]")
-_NOT_LETTER = re.compile(r"[\W\d_]+")
 
 
 def core(token: str) -> str:
     """The token's letters, lower case."""
-    return token.lower() if token.isalpha() else _NOT_LETTER.sub("", token).lower()
-
-
-def feature_ids(word: str, lexicon: dict[str, int]) -> list[int]:
-    """At most ``_SLOTS`` feature numbers; 0 is none."""
-    w = f"^{word}$".encode()
-    crc = zlib.crc32
-    got = [crc(w[:k], 1) % _HASHED + 1 for k in (2, 3, 4)] + [crc(w[-k:], 2) % _HASHED + 1 for k in (2, 3, 4, 5)]
-    got += [crc(w[i : i + 3], 3) % _HASHED + 1 for i in range(min(len(w) - 2, _SLOTS - 8))]
-    if word in lexicon:
-        got.append(_HASHED + 1 + lexicon[word])
-    return got + [0] * (_SLOTS - len(got))
+    return token.lower() if token.isalpha() else "".join(filter(str.isalpha, token)).lower()
+
+
+def feature_ids(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
+    """[word, slot] feature numbers, 0 for none: prefixes and suffixes, the first trigrams, the word in the lexicon."""
+    raw = [f"^{w}$".encode() for w in words]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    end = np.cumsum(size)
+    start = end - size
+    data = np.frombuffer(b"".join(raw) + bytes(8), np.uint8).astype(np.uint64)
+    grams = {1: data}
+    for k in range(2, 6):
+        grams[k] = (grams[k - 1][:-1] << np.uint64(8)) | data[k - 1 :]
+    out = np.zeros((len(raw), _SLOTS), np.int64)
+
+    def put(slot: int, kind: int, k: int, at: np.ndarray, there: np.ndarray) -> None:
+        x = (grams[k][at[there]] * np.uint64(8) + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)
+        out[there, slot] = (x >> np.uint64(48)).astype(np.int64) % _HASHED + 1
+
+    for slot, k in enumerate((2, 3, 4)):
+        put(slot, 1, k, start, size >= k)
+    for slot, k in enumerate((2, 3, 4, 5), 3):
+        put(slot, 2, k, end - k, size >= k)
+    for j in range(_SLOTS - 8):
+        put(7 + j, 3, 3, start + j, size >= j + 3)
+    if lexicon:
+        out[:, -1] = [_HASHED + 1 + i if (i := lexicon.get(w, -1)) >= 0 else 0 for w in words]
+    return out
 
 
 def forward_backward(emit: np.ndarray, moves: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -136,16 +148,16 @@ class Field:
         """Emission scores of tokens that aren't known; -1: no letter."""
         if self.table is None or len(self.known) + len(tokens) > _STORE:
             self._forget()
-        rows, n = [], len(self.table)
+        known, n, fresh = self.known, len(self.table), []
         for token in tokens:
             w = core(token)
-            if w:
-                self.known[token] = n + len(rows)
-                rows.append(feature_ids(w, self.lexicon))
-            else:
-                self.known[token] = -1
-        if rows:
-            f = np.array(rows, np.int64)
+            i = known.get(w, None) if w else -1
+            if i is None:
+                i = known[w] = n + len(fresh)
+                fresh.append(w)
+            known[token] = i
+        if fresh:
+            f = feature_ids(fresh, self.lexicon)
             got = np.concatenate([self.weights[f[i : i + 8192]].sum(1) for i in range(0, len(f), 8192)])
             self.table = np.concatenate([self.table, np.exp(got - got.max(1, keepdims=True)).astype(np.float32)])
 
@@ -190,7 +202,7 @@ def fit(sample: list[tuple[str, str]], steps: int = STEPS) -> Field:
     lexicon = {w: i for i, (w, n) in enumerate(sorted(count.items())) if n >= 5}
     lexicon = {w: i for i, w in enumerate(lexicon)}
     names = {w: i for i, w in enumerate(sorted(count))}
-    f = np.array([feature_ids(w, lexicon) for w in names], np.int64).reshape(-1, _SLOTS)
+    f = feature_ids(list(names), lexicon)
     index = np.array([names[w] for ws in words for w in ws], np.int64)
     at = np.append(0, np.cumsum([len(ws) for ws in words])).astype(np.int64)
     truth = np.repeat([labels.index(y) for _, y in sample], np.diff(at))
