@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -28,14 +29,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import documents, ranks, written
-from ._words import slices
+from ._frames import documents, mapped, ranks, written
+from ._words import slices, text_buffer
 
 MOST = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-_STORE = 600_000
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,]?)\Z")
+_STORE = 1_400_000
+#: Letters of ASCII and Latin-1 in lower case, digits, white space, full stops and commas.
+_USUAL = bytes([*range(97, 123), *range(48, 58), 0x20, 0x0A, 0x2E, 0x2C, 0xC3, *range(0x80, 0xC0)])
+_RUNS = (b"..", b",,", b".,", b",.", b"\xc3\x97", b"\xc3\xb7")
+#: Letters of ASCII and Latin-1 in lower case, with ASCII marks (no apostrophe) before and after.
+_WORD = re.compile(rb"([!-&(-/:-@\[-`{-~]*)((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)\Z")
 
 
 class WordIds:
@@ -46,54 +51,76 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Known()
+        self.letters = {x: y for x, y in zip(range(256), _byte_letters())}
 
     def _single(self, words: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch(words, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in got]
 
     def learn(self, words: list[bytes]) -> None:
-        """Adds words that aren't known yet."""
-        cores: dict[bytes, bytes] = {}
-        plain, odd = [], []
+        """Adds words that aren't known yet. A run of letters is one match, so is a run of marks: their lower-case bytes go to the model as they are."""
+        merge, letters, known, odd = self.tokenizer.model.tokenize, self.letters, self.known, []
         for w in words:
-            if m := _PLAIN.match(w):
-                core, mark = m.groups()
-                cores[core] = b""
-                if mark:
-                    cores[mark] = b""
-                plain.append((w, core, mark))
-            else:
+            if w.isalpha():  # bytes: ASCII letters, which stand for themselves
+                known[w] = array("I", [x.id for x in merge(w.decode())]).tobytes()
+                continue
+            m = _WORD.match(w)
+            if m is None:
                 odd.append(w)
-        names = list(cores)
-        for i in range(0, len(names), 4096):
-            part = names[i : i + 4096]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(part):
-                found = [x.tobytes() for x in np.split(ids, cut[:-1])]
-            else:
-                found = self._single([x.decode() for x in part])
-            cores.update(zip(part, found))
-        for w, core, mark in plain:
-            self.known[w] = cores[core] + cores[mark] if mark else cores[core]
+                continue
+            ids = []
+            for part in m.groups():
+                if part:
+                    low = part if part.isascii() else part.decode().lower().encode()
+                    ids += [x.id for x in merge(low.decode("latin-1").translate(letters))]
+            known[w] = array("I", ids).tobytes()
         for i in range(0, len(odd), 4096):
             part = odd[i : i + 4096]
-            self.known.update(zip(part, self._single([x.decode() for x in part])))
+            known.update(zip(part, self._single([x.decode() for x in part])))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > _STORE:
-            self.known = {}
-            new = set().union(*split)
+        split = [_apart(t.lower()).split() for t in texts]
+        known = self.known
+        get, new = known.__getitem__, known.new
+        found = []
+        for words in split:
+            before = len(new)
+            ids = list(map(get, words))
+            found.append(ids if len(new) == before else None)
         if new:
-            self.learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            fresh = list(set(new))
+            new.clear()
+            if len(known) + len(fresh) > _STORE:
+                known.clear()
+                fresh = list(set().union(*split))
+            self.learn(fresh)
+            found = [map(get, words) if ids is None else ids for words, ids in zip(split, found)]
+        return [b"".join(ids) for ids in found]
+
+
+class _Known(dict):
+    """ids of words; words that aren't known are listed in ``new``."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> None:
+        self.new.append(word)
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level BPE writes for each byte: printable Latin-1 for itself, the rest from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b if b in plain else next(spare)) for b in range(256)]
+
+
+def _apart(text: bytes) -> bytes:
+    """text with single marks after words set apart, where each is a match of its own anyway: fewer distinct words."""
+    if text.translate(None, _USUAL) or any(x in text for x in _RUNS):
+        return text
+    return text.replace(b".", b" . ").replace(b",", b" , ")
 
 
 @lru_cache(maxsize=1)
@@ -119,7 +146,9 @@ def _cut(path, most, with_ids):
         end = np.array([END_ID], "<u4").tobytes()
         for whole in batches:
             for b in slices(whole, "text", 2 << 20):
-                ids = own.encode([t.encode() if t else b"" for t in b.column("text").to_pylist()])
+                data, at = text_buffer(b.column("text"))
+                at = at.tolist()
+                ids = own.encode([data[i:j].tobytes() for i, j in zip(at, at[1:])])
                 row, start, length, crc, total, kept = [], [], [], [], [], []
                 for k, x in enumerate(ids):
                     x = memoryview(x + end)
@@ -146,7 +175,7 @@ def pack(docs: DataFrame, path: str | None = None, most: int = MOST, with_ids: b
     path = path or public_tokenizers.path(TOKENIZER)
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = written(docs.mapInArrow(_cut(path, most, with_ids), kinds), "pieces")
+    cut = written(docs.transform(mapped, _cut(path, most, with_ids), kinds), "pieces")
     out = ranks(cut, [F.col("length").desc(), F.col("doc_id").asc_nulls_last(), F.col("start").asc(), F.col("ids_crc32").asc()], "sequence_id")
     return out.withColumn("offset", F.lit(0).cast("long"))
 
