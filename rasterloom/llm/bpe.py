@@ -24,6 +24,7 @@ replaced.
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -39,9 +40,9 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 _STATES = 30_000
 _LOOK = 24
 _SHORT = 6
-_ENDS = 200_000
-_PAIRS = 300_000
-_STORE = 400_000
+_ENDS = 400_000
+_PAIRS = 500_000
+_STORE = 800_000
 _BLOCK = 1 << 16
 
 
@@ -210,30 +211,34 @@ class Transducer:
         return out
 
 
+class _Outputs(dict):
+    """Outputs of whole matches, found by the transducer when first asked for."""
+
+    def __init__(self, transducer: Transducer):
+        self.transducer = transducer
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self[piece] = array("I", self.transducer.encode(piece.encode())).tobytes()
+        return got
+
+
 class Encoder:
-    """Texts to ids (little-endian 32-bit bytes) and back; holds the outputs of at most ``_STORE`` matches."""
+    """Texts to ids (little-endian 32-bit bytes) and back; holds the outputs of about ``_STORE`` matches."""
 
     def __init__(self, path: str):
         import regex
 
         ranks = load_ranks(path)
         self.find = regex.compile(public_tokenizers.PATTERN).findall
-        self.transducer = Transducer(ranks)
-        self.known: dict[str, bytes] = {}
+        self.known = _Outputs(Transducer(ranks))
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for t, i in ranks.items():
             self.bytes_of[i] = t
 
     def encode(self, text: str) -> bytes:
-        found = self.find(text)
-        known = self.known
-        new = set(found).difference(known)
-        if len(known) + len(new) > _STORE:
-            known.clear()
-            new = set(found)
-        for piece in new:
-            known[piece] = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
-        return b"".join(map(known.__getitem__, found))
+        if len(self.known) > _STORE:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, self.find(text)))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, block by block."""
