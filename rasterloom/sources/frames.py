@@ -10,8 +10,11 @@ WIDTH = 100
 
 def events_frame(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
     """(pixels, width, height) of the events table as a raster of 100 columns; event_id is dense from 0."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "value")
     height = events.count() // WIDTH
+    cores = spark.sparkContext.defaultParallelism
+    if events.rdd.getNumPartitions() < cores:  # one small file: spread it, as warps cost far more than its exchange
+        events = events.repartition(cores)
     return events.selectExpr(
         "cast(0 as bigint) as frame_id",
         f"cast(event_id % {WIDTH} as int) as px",
