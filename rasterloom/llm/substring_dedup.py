@@ -15,6 +15,8 @@ Before each shuffle a map task sends one row for a name that it holds many
 times; the other occurrences, already known to repeat, are dealt out by a random
 key.  So no key gets more rows than there are map chunks.
 
+Long texts are worked on in stretches of ``LIMIT`` bytes.
+
 Defined cases: null and empty texts have no words.  Documents with a null id come
 last.  Rows equal in id and text are one document, each gets the same result;
 rows that share only the id are documents in the order of their text's hash.
@@ -24,6 +26,7 @@ Extra columns stay; those named like an output are replaced.
 from __future__ import annotations
 
 import itertools
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,26 +35,72 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._frames import RID, documents, extras, mapped, with_rid
-from ._words import U, mix, slices, text_buffer, word_bounds, word_hashes
+from ._words import U, WHITE, mix, slices, text_buffer, word_bounds, word_hashes
 from .recompress import anchors
 
 WINDOW = 20
+LIMIT = 4 << 20
 _COPY = -(1 << 31)
 _CHUNK = 400_000
 
 
-def _windows(batch, size):
-    """(rid, word_offsets, word names, document of each word, window starts) of a slice."""
-    data, offsets = text_buffer(batch.column("text"))
-    starts, ends, at = word_bounds(data, offsets)
-    h = word_hashes(data, starts, ends)
-    rid = np.asarray(batch.column(RID)).astype(np.int64)
-    doc = np.repeat(np.arange(len(rid)), np.diff(at))
-    if len(h) >= size:
-        window = np.flatnonzero(doc[size - 1 :] == doc[: len(doc) - size + 1])
-    else:
-        window = np.zeros(0, np.int64)
-    return rid, at, h, doc, window
+class _Part(NamedTuple):
+    """Some documents' words, or a stretch of one long document's.
+
+    rid: of each document; at: index of each document's first word here; h: names of words; doc: document of
+    each word; window: starts of windows; row: of the first document in the batch; base: words of the
+    document before this stretch; last: whether the document ends here."""
+
+    rid: np.ndarray
+    at: np.ndarray
+    h: np.ndarray
+    doc: np.ndarray
+    window: np.ndarray
+    row: int
+    base: int
+    last: bool
+
+
+def _stretches(data: np.ndarray, limit: int):
+    """Byte ranges of about ``limit`` that end at white space."""
+    i = 0
+    while i < len(data):
+        j = min(len(data), i + limit)
+        while j < len(data):
+            white = np.flatnonzero(WHITE[data[j : j + limit]])
+            if len(white):
+                j += int(white[0]) + 1
+                break
+            j = min(len(data), j + limit)
+        yield i, j
+        i = j
+
+
+def _parts(batch, size, limit):
+    """The batch's words in parts of bounded size.
+
+    Stretches of a long document share size - 1 words, so each window lies in one of them; anchors
+    depend on a window's words alone, so they are the same as in the whole."""
+    k = 0
+    for b in slices(batch, "text", min(1 << 20, limit)):
+        rid = np.asarray(b.column(RID)).astype(np.int64)
+        data, offsets = text_buffer(b.column("text"))
+        if len(rid) > 1 or len(data) <= limit:
+            starts, ends, at = word_bounds(data, offsets)
+            h = word_hashes(data, starts, ends)
+            doc = np.repeat(np.arange(len(rid)), np.diff(at))
+            window = np.flatnonzero(doc[size - 1 :] == doc[: max(0, len(doc) - size + 1)])
+            yield _Part(rid, at, h, doc, window, k, 0, True)
+        else:
+            held, base = np.zeros(0, U), 0
+            for i, j in _stretches(data, limit):
+                piece = data[i:j]
+                h = np.concatenate([held, word_hashes(piece, *word_bounds(piece, np.array([0, len(piece)]))[:2])])
+                window = np.arange(max(0, len(h) - size + 1))
+                yield _Part(rid, np.array([0, len(h)]), h, np.zeros(len(h), np.int64), window, k, base, j == len(data))
+                held = h[max(0, len(h) - size + 1) :]
+                base += len(h) - len(held)
+        k += len(rid)
 
 
 def _window_names(h, window, size):
@@ -82,7 +131,7 @@ def _salt(rid, pos):
     return mix(rid.astype(U) * U(0x9E3779B97F4A7C15) + pos.astype(np.int64).astype(U) + U(0x51ED270B))
 
 
-def _find(size):
+def _find(size, limit):
     """Rows (name, rid, pos, kind): pos >= 0 an anchor, ~start a window of its own, _COPY the whole document.
 
     known: the name has another occurrence (for _COPY: an earlier one) in this chunk."""
@@ -106,25 +155,35 @@ def _find(size):
     def run(batches):
         parts, held = [], 0
         for whole in batches:
-            for b in slices(whole, "text"):
-                rid, at, h, doc, window = _windows(b, size)
-                if not len(window):
-                    continue
-                word, length, name = anchors(h, _first(h, at), window, size)
-                strong = length > 0
-                i, name = word[strong], name[strong]
-                step = np.ones(len(i), bool)
-                step[1:] = (i[1:] != i[:-1]) | (name[1:] != name[:-1])
-                i, name = i[step], name[step]
-                parts.append((name, rid[doc[i]], i - at[doc[i]]))
-                own = window[~strong]
-                parts.append((_window_names(h, own, size)[0], rid[doc[own]], ~(own - at[doc[own]])))
-                n = np.diff(at)
-                long = np.flatnonzero(n >= size)
-                power = h * mix((np.arange(len(h)) - at[doc]).astype(U) + U(77))
-                total = np.append(U(0), np.cumsum(power, dtype=U))
-                parts.append((mix(total[at[long + 1]] - total[at[long]] + n[long].astype(U)), rid[long], np.full(len(long), _COPY)))
-                held += len(i) + len(own) + len(long)
+            total, seen = 0, 0  # of a document in stretches
+            for p in _parts(whole, size, limit):
+                rid, at, h, doc, window, _, base, last = p
+                place = np.arange(len(h)) - at[doc] + base
+                power = h * mix(place.astype(U) + U(77))
+                if base or not last:
+                    new = power[max(0, seen - base) :]
+                    total, seen = (total + int(new.sum(dtype=U))) % (1 << 64), base + len(h)
+                    sums, n = np.array([total], U), np.array([seen])
+                    if last:
+                        total = seen = 0
+                else:
+                    sum_ = np.append(U(0), np.cumsum(power, dtype=U))
+                    sums, n = sum_[at[1:]] - sum_[at[:-1]], np.diff(at)
+                long = np.flatnonzero(n >= size) if last else np.zeros(0, np.int64)
+                if len(long):
+                    parts.append((mix(sums[long] + n[long].astype(U)), rid[long], np.full(len(long), _COPY)))
+                if len(window):
+                    word, length, name = anchors(h, _first(h, at), window, size)
+                    strong = length > 0
+                    i, name = word[strong], name[strong]
+                    step = np.ones(len(i), bool)
+                    step[1:] = (i[1:] != i[:-1]) | (name[1:] != name[:-1])
+                    i, name = i[step], name[step]
+                    own = window[~strong]
+                    parts.append((name, rid[doc[i]], place[i]))
+                    parts.append((_window_names(h, own, size)[0], rid[doc[own]], ~place[own]))
+                    held += len(i) + len(own)
+                held += len(long)
                 if held >= _CHUNK:
                     yield flush(parts)
                     parts, held = [], 0
@@ -134,7 +193,7 @@ def _find(size):
     return run
 
 
-def _expand(size):
+def _expand(size, limit):
     """Rows (k1, k2, rid, start, n, known) of the candidate windows; known rows are repeats already and may stand for n windows."""
 
     def flush(parts):
@@ -154,31 +213,32 @@ def _expand(size):
     def run(batches):
         parts, held = [], 0
         for whole in batches:
-            for b in slices(whole, "text"):
-                rid, at, h, doc, window = _windows(b, size)
+            column = whole.column("pos")
+            for p in _parts(whole, size, limit):
+                rid, at, h, doc, window, row, base, _ = p
                 if not len(window):
                     continue
-                lists = b.column("pos")
-                lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+                lists = column.slice(row, len(rid))
                 counts = np.asarray(pa.compute.list_value_length(lists).fill_null(0)).astype(np.int64)
                 pos = np.asarray(lists.flatten()).astype(np.int64)
                 of = np.repeat(np.arange(len(rid)), counts)
                 copies = np.zeros(len(rid), bool)
                 copies[of[pos == _COPY]] = True
                 n = np.diff(at)
-                for d in np.flatnonzero(copies):
-                    one = np.array([0])
+                for d in np.flatnonzero(copies & (n >= size)):
+                    one = np.array([base])
                     parts.append((_salt(rid[[d]], one), np.zeros(1, U), rid[[d]], one, np.array([n[d] - size + 1]), np.ones(1, bool)))
-                live = (pos != _COPY) & ~copies[of]
-                of, pos = of[live], pos[live]
+                place = np.where(pos >= 0, pos, ~pos) - base
+                live = (pos != _COPY) & ~copies[of] & (place >= 0) & (place < n[of])
+                of, pos, place = of[live], pos[live], place[live]
                 strong, own = np.zeros(len(h) + 1, bool), np.zeros(len(h) + 1, bool)
-                strong[(at[of] + pos)[pos >= 0]] = True
-                own[(at[of] + ~pos)[pos < 0]] = True
+                strong[(at[of] + place)[pos >= 0]] = True
+                own[(at[of] + place)[pos < 0]] = True
                 word, length, _ = anchors(h, _first(h, at), window, size)
                 w = window[np.where(length > 0, strong[word], own[window])]
                 if len(w):
                     k1, k2 = _window_names(h, w, size)
-                    parts.append((k1, k2, rid[doc[w]], w - at[doc[w]], np.ones(len(w), np.int64), np.zeros(len(w), bool)))
+                    parts.append((k1, k2, rid[doc[w]], w - at[doc[w]] + base, np.ones(len(w), np.int64), np.zeros(len(w), bool)))
                 held += len(w)
                 if held >= _CHUNK:
                     yield flush(parts)
@@ -189,7 +249,7 @@ def _expand(size):
     return run
 
 
-def _drop(size, schema):
+def _drop(size, schema, limit):
     """Rows with n_words, n_removed and kept_text."""
 
     def run(batches):
@@ -197,23 +257,32 @@ def _drop(size, schema):
             for b in slices(whole, "text"):
                 text, spans = b.column("text"), b.column("spans")
                 words, removed, kept = [], [], []
+                data, at = text_buffer(text)
                 for i in range(b.num_rows):
-                    own = (text[i].as_py() or "").encode().split()
-                    gone = 0
+                    own = data[at[i] : at[i + 1]]
+                    stay = None
                     if spans[i].is_valid:
                         s = spans[i].values
-                        step = np.zeros(len(own) + 1, np.int64)
-                        start = np.asarray(s.field("start")).astype(np.int64)
+                        start, n = (np.asarray(s.field(f)).astype(np.int64) for f in ("start", "n"))
+                        step = np.zeros(int((start + n).max()) + size, np.int64)
                         np.add.at(step, start, 1)
-                        np.add.at(step, start + np.asarray(s.field("n")) + size - 1, -1)
-                        stay = np.cumsum(step[:-1]) == 0
-                        gone = int(len(own) - stay.sum())
-                        words.append(len(own))
-                        own = itertools.compress(own, stay.tolist())
-                    else:
-                        words.append(len(own))
+                        np.add.at(step, start + n + size - 1, -1)
+                        stay = np.cumsum(step) == 0
+                    total, gone, out = 0, 0, []
+                    for x, y in _stretches(own, limit):
+                        some = own[x:y].tobytes().split()
+                        if stay is not None:
+                            here = stay[total : total + len(some)]
+                            total += len(some)
+                            gone += int(len(here) - here.sum())
+                            some = [*itertools.compress(some, here.tolist()), *some[len(here) :]]
+                        else:
+                            total += len(some)
+                        if some:
+                            out.append(b" ".join(some))
+                    words.append(total)
                     removed.append(gone)
-                    kept.append(b" ".join(own))
+                    kept.append(b" ".join(out))
                 got = {"n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())}
                 names = [f for f in schema if f not in got]
                 yield pa.RecordBatch.from_arrays([*(b.column(f) for f in names), *got.values()], [*names, *got])
@@ -221,26 +290,28 @@ def _drop(size, schema):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with n_words, n_removed (long) and kept_text: the kept words, joined by one space."""
+def substring_dedup(docs: DataFrame, window: int = WINDOW, limit: int = LIMIT) -> DataFrame:
+    """docs with n_words, n_removed (long) and kept_text: the kept words, joined by one space.
+
+    limit: bytes of a text that are worked on at a time."""
     others = extras(docs, RID, "n_words", "n_removed", "kept_text", "spans", "pos")
     docs = with_rid(docs.select(*others))
     rows = docs.repartition(RID)  # one exchange, read by both joins
     rows = rows.select(RID, *others)
-    found = docs.select(RID, "text").transform(mapped, _find(window), f"name long, {RID} long, pos int, known boolean")
+    found = docs.select(RID, "text").transform(mapped, _find(window, limit), f"name long, {RID} long, pos int, known boolean")
     same = Window.partitionBy("name")
     found = found.withColumn("c", F.count(F.lit(1)).over(same)).withColumn("least", F.min(RID).over(same))
     copy = F.col("pos") == _COPY
     found = found.filter(F.col("known") | (F.when(copy, F.col("least") < F.col(RID)).otherwise(F.col("c") > 1)))
     lists = found.groupBy(RID).agg(F.collect_list("pos").alias("pos"))
     held = rows.join(lists.hint("shuffle_hash"), RID)  # all columns, or it would be another exchange
-    seen = held.transform(mapped, _expand(window), f"k1 long, k2 long, {RID} long, start int, n int, known boolean")
+    seen = held.transform(mapped, _expand(window, limit), f"k1 long, k2 long, {RID} long, start int, n int, known boolean")
     nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(RID, "start"))
     again = seen.withColumn("nth", nth).filter("known or nth > 1")
     spans = again.groupBy(RID).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     out = rows.join(spans.hint("shuffle_hash"), RID, "left").select(*others, "spans")
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*others).dtypes)
-    return out.transform(mapped, _drop(window, others), f"{kinds}, n_words long, n_removed long, kept_text string")
+    return out.transform(mapped, _drop(window, others, limit), f"{kinds}, n_words long, n_removed long, kept_text string")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
