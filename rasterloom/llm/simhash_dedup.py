@@ -104,6 +104,8 @@ def _without(x, bit):
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) that join the distinct longs in fps.fp into the components of radius 2."""
     fp = F.col("fp")
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fps = fps.select("fp").repartition(n, F.xxhash64("fp"))  # a row becomes 64: few partitions would be few long tasks
     v = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v"))
     segment = F.when(F.col("v") < 32, _segment(fp, False)).otherwise(_segment(fp, True))
     masked = _without(segment, F.col("v") % 32)
