@@ -179,16 +179,30 @@ def features(word: str) -> set[str]:
     return got
 
 
+class _Scores(dict):
+    """Scores of words, computed when first asked for."""
+
+    def __init__(self, scorer: Scorer):
+        self.scorer = scorer
+
+    def __missing__(self, word: str) -> float:
+        got = self[word] = self.scorer.word(word)
+        return got
+
+
 class Scorer:
     """Weights of markers and of a document's strongest words."""
 
     def __init__(self, lm: np.ndarray, markers: dict[str, float], weights: list[float]):
         self.lm, self.markers, self.weights = lm, markers, weights
-        self.known: dict[str, float] = {}
+        self.known = _Scores(self)
         self.find = None
 
     def __getstate__(self):
-        return {**self.__dict__, "known": {}, "find": None}
+        return self.lm, self.markers, self.weights
+
+    def __setstate__(self, state):
+        self.__init__(*state)
 
     def _automaton(self):
         """All markers at once, over ^word$; gives what ``features`` would find."""
@@ -215,13 +229,9 @@ class Scorer:
         """The second strongest word, the mean of the three strongest, how many are strong (log), 1."""
         words = tokens(text) if text else []
         known = self.known
-        new = set(words).difference(known)
-        if len(known) + len(new) > _STORE:
+        if len(known) > _STORE:
             known.clear()
-            new = set(words)
-        for w in new:
-            known[w] = self.word(w)
-        found = sorted((x for x in map(known.__getitem__, words) if x), reverse=True)
+        found = sorted(filter(None, map(known.__getitem__, words)), reverse=True)
         top = (found[:3] + [0.0] * 3)[:3]
         return [top[1], sum(top) / 3, math.log1p(sum(x > 3 for x in found)), 1.0]
 
