@@ -7,7 +7,7 @@ starts earlier (smaller doc_id, or same document, earlier start) is removed.
    distinct anchor occurrence becomes a row (name, document, position).  Windows
    without a strong anchor stand for themselves.
 2. Anchor names found twice or more reveal candidates.
-3. Candidate windows are verified: one row (128 bits of name, document, start)
+3. Candidate windows are verified: one row (95 bits of name, document, start)
    each, grouped; all but the first occurrence are repeats.
 4. Repeats go back to their documents, which drop the covered words.
 
@@ -104,14 +104,14 @@ def _parts(batch, size, limit):
 
 
 def _window_names(h, window, size):
-    """Two independent 64-bit names of each window's word sequence."""
+    """Two independent names of each window's word sequence."""
     a, b = np.zeros(len(window), U), np.zeros(len(window), U)
     ka, kb = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
     for j in range(size):
         x = h[window + j]
         a = a * ka + x
         b = (b ^ (x >> U(7))) * kb + x
-    return mix(a), mix(b)
+    return mix(a), mix(b) & U(0x7FFFFFFF)  # 95 bits: the second name travels as an int
 
 
 def _first(h, at):
@@ -207,7 +207,7 @@ def _expand(size, limit):
         keep[1:] = ~run
         head = np.flatnonzero(keep)
         n = np.add.reduceat(n, head)
-        cols = [k1[head].view(np.int64), k2[head].view(np.int64), rid[head], start[head].astype(np.int32), n.astype(np.int32), known[head]]
+        cols = [k1[head].view(np.int64), k2[head].astype(np.int32), rid[head], start[head].astype(np.int32), n.astype(np.int32), known[head]]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["k1", "k2", RID, "start", "n", "known"])
 
     def run(batches):
@@ -305,7 +305,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, limit: int = LIMIT) -
     found = found.filter(F.col("known") | (F.when(copy, F.col("least") < F.col(RID)).otherwise(F.col("c") > 1)))
     lists = found.groupBy(RID).agg(F.collect_list("pos").alias("pos"))
     held = rows.join(lists.hint("shuffle_hash"), RID)  # all columns, or it would be another exchange
-    seen = held.transform(mapped, _expand(window, limit), f"k1 long, k2 long, {RID} long, start int, n int, known boolean")
+    seen = held.transform(mapped, _expand(window, limit), f"k1 long, k2 int, {RID} long, start int, n int, known boolean")
     nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(RID, "start"))
     again = seen.withColumn("nth", nth).filter("known or nth > 1")
     spans = again.groupBy(RID).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
