@@ -304,6 +304,9 @@ select source_id, seq, kind, ok, depth::int as depth from run"""
 REPEAT = f"""with {CAPTURE}, tick as (select s::bigint as source_id, t::bigint as tick, (t * 200)::bigint as "at" from range(20) a(s), range((select greatest(1, count(*) // 200) from events)) b(t)),
 shown as (select t.source_id, t.tick, t."at", max(k.frame_no) as frame_no from tick t left join kept k on k.source_id = t.source_id and k."at" <= t."at" group by all)
 select source_id, tick, "at", frame_no, coalesce(frame_no = lag(frame_no) over (partition by source_id order by tick), false) as repeated from shown"""
+REPEAT_ALL = f"""with {CAPTURE}, tick as (select source_id, t::bigint as tick, (t * 200)::bigint as "at" from (select distinct source_id from cap), range((select greatest(1, count(*) // 200) from events)) b(t)),
+shown as (select t.source_id, t.tick, t."at", max(k.frame_no) as frame_no from tick t left join kept k on k.source_id is not distinct from t.source_id and k."at" <= t."at" group by all)
+select source_id, tick, "at", frame_no, coalesce(frame_no = lag(frame_no) over (partition by source_id order by tick), false) as repeated from shown"""
 LATEST = f"with {CAPTURE} select source_id, max(frame_no) as frame_no, arg_max(has_signal, frame_no) as has_signal from cap group by source_id"
 AS_OF = f"""with {CAPTURE}, s as (select user_id as source_id, event_id as at, floor(value * 100)::bigint as value from events where event_type = 'purchase')
 select cap.source_id, cap.frame_no, s.value from cap asof left join s on cap.source_id = s.source_id and cap.at >= s.at"""
@@ -336,6 +339,7 @@ ORACLE_SQL = {
     "capture_gate": f"with {CAPTURE} select source_id, frame_no from kept",
     "ring_drop": RING,
     "stream_latest_repeat": REPEAT,
+    "stream_latest_repeat_all": REPEAT_ALL,
     "latest_frame": LATEST,
     "settings_as_of": AS_OF,
     "frame_round_trip": ROUND_TRIP,

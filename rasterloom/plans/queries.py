@@ -200,13 +200,22 @@ def ring_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.admitted(events, 3)
 
 
-def stream_latest_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks every 200 events against the frames captured."""
-    frames = live.captured(_capture(spark, sf_dir).filter("source_id < 20"))
-    n = spark.read.parquet(f"{sf_dir}/events.parquet").count()
-    sources = spark.range(20).selectExpr("id as source_id")
+def _played(capture: DataFrame, sources: DataFrame, n: int) -> DataFrame:
+    """Ticks every 200 of n events, for each of the sources, against the frames captured."""
     ticks = sources.selectExpr("source_id", f"explode(sequence(0L, {max(0, n // 200 - 1)}L)) as tick").selectExpr("source_id", "tick", "tick * 200 as at")
-    return live.playback(frames, ticks)
+    return live.playback(live.captured(capture), ticks)
+
+
+def stream_latest_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Playback of sources 0 to 19 only, as its SQL has it; ``stream_latest_repeat_all`` plays every source."""
+    capture = _capture(spark, sf_dir)
+    return _played(capture.filter("source_id < 20"), spark.range(20).selectExpr("id as source_id"), capture.count())
+
+
+def stream_latest_repeat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Playback of every source of the events."""
+    capture = _capture(spark, sf_dir)
+    return _played(capture, capture.select("source_id").distinct(), capture.count())
 
 
 def latest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,6 +275,7 @@ QUERIES = {
     "capture_gate": capture_gate,
     "ring_drop": ring_drop,
     "stream_latest_repeat": stream_latest_repeat,
+    "stream_latest_repeat_all": stream_latest_repeat_all,
     "latest_frame": latest_frame,
     "settings_as_of": settings_as_of,
     "frame_round_trip": frame_round_trip,
