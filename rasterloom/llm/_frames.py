@@ -58,12 +58,13 @@ def has_unique_ids(docs: DataFrame) -> bool:
     return odd.isEmpty()
 
 
-def with_rid(docs: DataFrame) -> DataFrame:
+def with_rid(docs: DataFrame, unique: bool | None = None) -> DataFrame:
     """docs with a long ``__rid`` that is doc_id where ids are unique.
 
     Otherwise rows are ranked by (doc_id with nulls last, hash of the text);
-    rows equal in both share a rank, so they count as one document."""
-    if has_unique_ids(docs):
+    rows equal in both share a rank, so they count as one document.
+    unique: what ``has_unique_ids`` said, if asked before."""
+    if has_unique_ids(docs) if unique is None else unique:
         return docs.withColumn(RID, _never_null(F.col("doc_id").cast("long")))
     key = docs.select("doc_id", F.xxhash64("text").alias("__th")).distinct()
     ranked = ranks(key, [F.col("doc_id").asc_nulls_last(), F.col("__th").asc()], RID)

@@ -34,7 +34,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._frames import RID, documents, extras, mapped, with_rid
+from ._frames import RID, documents, extras, has_unique_ids, mapped, with_rid
 from ._words import U, WHITE, mix, slices, text_buffer, word_bounds, word_hashes
 from .recompress import anchors
 
@@ -295,16 +295,18 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, limit: int = LIMIT) -
 
     limit: bytes of a text that are worked on at a time."""
     others = extras(docs, RID, "n_words", "n_removed", "kept_text", "spans", "pos")
-    docs = with_rid(docs.select(*others))
+    unique = has_unique_ids(docs)
+    docs = with_rid(docs.select(*others), unique)
     rows = docs.repartition(RID)  # one exchange, read by both joins
     rows = rows.select(RID, *others)
-    found = docs.select(RID, "text").transform(mapped, _find(window, limit), f"name long, {RID} long, pos int, known boolean")
+    once = rows if unique else rows.dropDuplicates([RID])  # else a repeated row would be a repeat of itself
+    found = (docs if unique else once).select(RID, "text").transform(mapped, _find(window, limit), f"name long, {RID} long, pos int, known boolean")
     same = Window.partitionBy("name")
     found = found.withColumn("c", F.count(F.lit(1)).over(same)).withColumn("least", F.min(RID).over(same))
     copy = F.col("pos") == _COPY
     found = found.filter(F.col("known") | (F.when(copy, F.col("least") < F.col(RID)).otherwise(F.col("c") > 1)))
     lists = found.groupBy(RID).agg(F.collect_list("pos").alias("pos"))
-    held = rows.join(lists.hint("shuffle_hash"), RID)  # all columns, or it would be another exchange
+    held = once.join(lists.hint("shuffle_hash"), RID)  # all columns, or it would be another exchange
     seen = held.transform(mapped, _expand(window, limit), f"k1 long, k2 int, {RID} long, start int, n int, known boolean")
     nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(RID, "start"))
     again = seen.withColumn("nth", nth).filter("known or nth > 1")
