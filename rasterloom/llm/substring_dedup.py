@@ -11,6 +11,9 @@ starts earlier (smaller doc_id, or same document, earlier start) is removed.
    each, grouped; all but the first occurrence are repeats.
 4. Repeats go back to their documents, which drop the covered words.
 
+Exact copies take no windows: whole documents have two names (64 and 61 bits, both of all words and their
+number), and one whose both names an earlier document has is a repeat from end to end.
+
 Before each shuffle a map task sends one row for a name that it holds many
 times; the other occurrences, already known to repeat, are dealt out by a random
 key.  So no key gets more rows than there are map chunks.
@@ -41,6 +44,7 @@ from .recompress import anchors
 WINDOW = 20
 LIMIT = 4 << 20
 _COPY = -(1 << 31)
+_NAMED = -(1 << 61)  # less a second name of 61 bits: a whole document, before it is known as a copy
 _CHUNK = 400_000
 
 
@@ -132,46 +136,47 @@ def _salt(rid, pos):
 
 
 def _find(size, limit):
-    """Rows (name, rid, pos, kind): pos >= 0 an anchor, ~start a window of its own, _COPY the whole document.
+    """Rows (name, rid, pos, known): pos >= 0 an anchor, ~start a window of its own, _NAMED or less the whole document.
 
-    known: the name has another occurrence (for _COPY: an earlier one) in this chunk."""
+    known: the name has another occurrence (for documents: an earlier one with the same second name) in this chunk."""
 
     def flush(parts):
         name, rid, pos = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((pos, rid, name))
+        order = np.lexsort((pos, rid, np.where(pos <= _NAMED, pos, 0), name))
         once = np.ones(len(order), bool)  # windows far apart can have one anchor occurrence
         once[1:] = (np.diff(pos[order]) != 0) | (np.diff(rid[order]) != 0) | (name[order][1:] != name[order][:-1])
         name, rid, pos = (x[order[once]] for x in (name, rid, pos))
         order = np.arange(len(name))
-        same = name[1:] == name[:-1]
+        copy = pos <= _NAMED
+        same = (name[1:] == name[:-1]) & (~copy[1:] | (pos[1:] == pos[:-1]))
         later = _known(order, same)
         more = np.zeros(len(order), bool)
         more[order[:-1][same]] = True
-        copy = pos == _COPY
         name = np.where(later, _salt(rid, pos), name)
         known = np.where(copy, later, later | more)
-        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(rid), pa.array(pos.astype(np.int32)), pa.array(known)], ["name", RID, "pos", "known"])
+        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(rid), pa.array(pos), pa.array(known)], ["name", RID, "pos", "known"])
 
     def run(batches):
         parts, held = [], 0
         for whole in batches:
-            total, seen = 0, 0  # of a document in stretches
+            total, seen = (0, 0), 0  # of a document in stretches
             for p in _parts(whole, size, limit):
                 rid, at, h, doc, window, _, base, last = p
                 place = np.arange(len(h)) - at[doc] + base
-                power = h * mix(place.astype(U) + U(77))
+                by = mix(place.astype(U) + U(77))
+                powers = h * by, mix(h + by)
                 if base or not last:
-                    new = power[max(0, seen - base) :]
-                    total, seen = (total + int(new.sum(dtype=U))) % (1 << 64), base + len(h)
-                    sums, n = np.array([total], U), np.array([seen])
+                    new = (x[max(0, seen - base) :] for x in powers)
+                    total, seen = tuple((t + int(x.sum(dtype=U))) % (1 << 64) for t, x in zip(total, new)), base + len(h)
+                    (sums, seconds), n = (np.array([t], U) for t in total), np.array([seen])
                     if last:
-                        total = seen = 0
+                        total, seen = (0, 0), 0
                 else:
-                    sum_ = np.append(U(0), np.cumsum(power, dtype=U))
-                    sums, n = sum_[at[1:]] - sum_[at[:-1]], np.diff(at)
+                    (sums, seconds), n = (c[at[1:]] - c[at[:-1]] for c in (np.append(U(0), np.cumsum(x, dtype=U)) for x in powers)), np.diff(at)
                 long = np.flatnonzero(n >= size) if last else np.zeros(0, np.int64)
                 if len(long):
-                    parts.append((mix(sums[long] + n[long].astype(U)), rid[long], np.full(len(long), _COPY)))
+                    second = (mix(seconds[long] ^ mix(n[long].astype(U))) >> U(3)).astype(np.int64)
+                    parts.append((mix(sums[long] + n[long].astype(U)), rid[long], _NAMED - second))
                 if len(window):
                     word, length, name = anchors(h, _first(h, at), window, size)
                     strong = length > 0
@@ -300,11 +305,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, limit: int = LIMIT) -
     rows = docs.repartition(RID)  # one exchange, read by both joins
     rows = rows.select(RID, *others)
     once = rows if unique else rows.dropDuplicates([RID])  # else a repeated row would be a repeat of itself
-    found = (docs if unique else once).select(RID, "text").transform(mapped, _find(window, limit), f"name long, {RID} long, pos int, known boolean")
+    found = (docs if unique else once).select(RID, "text").transform(mapped, _find(window, limit), f"name long, {RID} long, pos long, known boolean")
     same = Window.partitionBy("name")
     found = found.withColumn("c", F.count(F.lit(1)).over(same)).withColumn("least", F.min(RID).over(same))
-    copy = F.col("pos") == _COPY
-    found = found.filter(F.col("known") | (F.when(copy, F.col("least") < F.col(RID)).otherwise(F.col("c") > 1)))
+    copy = F.col("pos") <= _NAMED
+    one = F.min("pos").over(same) == F.max("pos").over(same)  # documents whose second names differ are compared by windows
+    found = found.withColumn("one", one)
+    found = found.filter(F.col("known") | (F.when(copy, F.col("one") & (F.col("least") < F.col(RID))).otherwise(F.col("c") > 1)))
+    found = found.withColumn("pos", F.greatest("pos", F.lit(_COPY)).cast("int"))
     lists = found.groupBy(RID).agg(F.collect_list("pos").alias("pos"))
     held = once.join(lists.hint("shuffle_hash"), RID)  # all columns, or it would be another exchange
     seen = held.transform(mapped, _expand(window, limit), f"k1 long, k2 int, {RID} long, start int, n int, known boolean")
