@@ -1,8 +1,17 @@
-"""Shared helpers: row identities, shared folder, sample selection."""
+"""Shared helpers: row identities, shared folder, sample selection.
+
+Operators with Python workers lower two session options, the rows and bytes of an
+Arrow batch, as Spark reads them when a plan runs; they stay lowered for the
+session, which changes the speed of other queries but no results.
+
+Tables that operators write to the shared folder are removed when the driver's JVM
+ends, as the frames returned read them until then.
+"""
 
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,36 +27,50 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set for this session only where none is configured (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at and spark.sparkContext.getCheckpointDir():
-        return spark.sparkContext.getCheckpointDir()
+    """The folder all executors share.  Where none is configured, one under /tmp in local mode; on a cluster that is an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file:///tmp/checkpoints/{os.getuid()}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame, written to the shared folder; its lineage is cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def removed_at_end(spark: SparkSession, path: str) -> None:
+    """Marks a path for removal when the driver's JVM ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder (columnar, so smaller than a checkpoint)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
+    removed_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_UNITS = {"": 0, "b": 0, "k": 1, "kb": 1, "m": 2, "mb": 2, "g": 3, "gb": 3, "t": 4, "tb": 4, "p": 5, "pb": 5}
+
+
+def size_of(value: str) -> int:
+    """Bytes of a size as Spark writes them: a number and a unit (none: bytes)."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", value.strip().lower()).groups()
+    return int(number) << 10 * _UNITS[unit]
+
+
 def mapped(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow over batches of at most ``BATCH`` rows and ``BATCH_BYTES``, so that workers and Arrow buffers stay small."""
     for name, most in (("Records", BATCH), ("Bytes", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.max{name}PerBatch"
-        if not 0 < int(df.sparkSession.conf.get(key).rstrip("bB")) <= most:
+        if not 0 < size_of(df.sparkSession.conf.get(key)) <= most:
             df.sparkSession.conf.set(key, most)
     return df.mapInArrow(function, schema)
 
@@ -86,7 +109,7 @@ def ranks(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     part = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    part = checkpointed(part.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    part = written(part.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ranks")
     counts = sorted(map(tuple, part.groupBy("__p").agg(F.count(F.lit(1))).collect()))
     base, at = {}, 0
     for p, c in counts:
@@ -107,8 +130,28 @@ def extras(df: DataFrame, *taken: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in low]
 
 
-def sample_ids(labelled: DataFrame, label: str, per_label: int) -> list[tuple]:
-    """(doc_id, label) of at most ``per_label`` rows of each label, least hash first; a bounded list."""
+def sample_ids(labelled: DataFrame, label: str, per_label: int, labels: int) -> list[tuple]:
+    """(doc_id, label) of at most ``per_label`` distinct ids of each of the ``labels`` most frequent labels (of equals
+    the least), least hash first: a list of at most per_label * labels pairs.
+
+    Labels are counted first; then only hashes below a share that leaves about twice the sample are
+    compared, so no task sees more than that of a label, whatever its share of the rows."""
+    keyed = labelled.select("doc_id", label).withColumn("__h", F.xxhash64("doc_id"))
+    counts = keyed.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), label).limit(labels).collect()
+    if not counts:
+        return []
+    kind = labelled.schema[label].dataType.simpleString()
+    shares = [(r[label], min(1.0, (2 * per_label + 64) / r["n"])) for r in counts]
+    share = F.broadcast(labelled.sparkSession.createDataFrame(shares, f"`{label}` {kind}, __share double"))  # at most ``labels`` rows
+    low = keyed.join(share, label).filter(F.col("__h") / float(1 << 63) <= 2 * F.col("__share") - 1).select("doc_id", label, "__h").distinct()
     w = Window.partitionBy(label).orderBy("__h", "doc_id")
-    got = labelled.select("doc_id", label).withColumn("__h", F.xxhash64("doc_id")).withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= per_label)
-    return [(r["doc_id"], r[label]) for r in got.collect()]
+    got = low.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= per_label)
+    return [(r["doc_id"], r[label]) for r in got.limit(per_label * labels).collect()]
+
+
+def sampled_texts(docs: DataFrame, ids: list[tuple], on: list[str], kinds: str) -> list[tuple]:
+    """(doc_id, ..., text) for each of ``ids``, sorted: of rows that share these columns, the least text."""
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(ids or [(None,) * len(kinds.split(", "))], kinds))  # the sample
+    names = [c.split()[0] for c in kinds.split(", ")]
+    got = docs.join(chosen, on).groupBy(*names).agg(F.min("text").alias("text"))
+    return sorted(tuple(r) for r in got.limit(len(ids)).collect()) if ids else []

@@ -17,7 +17,9 @@ share such a key are within 2 bits of each other, so each is linked to the least
 one: rows stay in proportion to the fingerprints and no link is lost.
 
 Components: large-star and small-star rounds over the distinct links, each
-checkpointed.
+written to the shared folder.
+
+Very long texts: a worker holds one text, its words and 16 bytes for each shingle.
 
 Defined cases: null, empty and wordless texts have fingerprint zero, linked like
 any other.  One or two words are one shingle.  Equal texts have equal
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import RID, checkpointed, documents, extras, has_unique_ids, mapped, with_rid, written
+from ._frames import RID, documents, extras, has_unique_ids, mapped, with_rid, written
 from ._words import slices
 
 SHINGLE = 3
@@ -138,7 +140,7 @@ def components(edges: DataFrame) -> DataFrame:
     def least(both, name):
         return both.groupBy("u").agg(F.min("v").alias(name))
 
-    edges = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     state = mark(edges)
     while state[0]:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -147,7 +149,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         low = least(down, "m")
         small = down.join(low, "u").select(F.col("v").alias("b"), F.col("m").alias("a")).union(low.select(F.col("u").alias("b"), F.col("m").alias("a")))
-        edges = checkpointed(small.filter("a <> b").select("a", "b").distinct())
+        edges = written(small.filter("a <> b").select("a", "b").distinct(), "links")
         state, before = mark(edges), state
         if state == before:
             break
