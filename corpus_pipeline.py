@@ -6,6 +6,8 @@ the columns that they got, with text and n_chars as the stage left them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +21,18 @@ from rasterloom.llm.substring_dedup import substring_dedup
 ORACLE_SQL = None
 
 
-def _retexted(out: DataFrame, names: list[str], changed: str) -> DataFrame:
-    """Columns ``names`` of out; rows where ``changed`` is over 0 get kept_text as their text."""
+def _retexted(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], changed: str) -> DataFrame:
+    """docs, with kept_text of ``operator`` as text in rows where its column ``changed`` is over 0.
+
+    Columns that the operator doesn't need travel under names that can't clash with its own."""
+    names = docs.columns
+    aside = {c: f"__in_{k}" for k, c in enumerate(names) if c not in ("doc_id", "text")}
+    out = operator(docs.withColumnsRenamed(aside))
     new = F.col(changed) > 0
-    cols = {"text": F.when(new, F.col("kept_text")).otherwise(F.col("text"))}
+    cols = {c: F.col(aside.get(c, c)) for c in names} | {"text": F.when(new, F.col("kept_text")).otherwise(F.col("text"))}
     if "n_chars" in names:
-        cols["n_chars"] = F.when(new, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return out.select(*(cols[c].alias(c) if c in cols else F.col(c) for c in names))
+        cols["n_chars"] = F.when(new, F.length("kept_text").cast("long")).otherwise(cols["n_chars"])
+    return out.select(*(cols[c].alias(c) for c in names))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +40,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _retexted(line_dedup(docs), docs.columns, "n_dropped")
+    return _retexted(docs, line_dedup, "n_dropped")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +48,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _retexted(substring_dedup(docs), docs.columns, "n_removed")
+    return _retexted(docs, substring_dedup, "n_removed")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
