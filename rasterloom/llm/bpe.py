@@ -8,14 +8,18 @@ token.  A state of the transducer holds the last token emitted and, for each
 position where a longer token may still begin, the bytes since and the tokens that
 lead there.  Reading a byte extends these, and tokens on which all of them agree
 are emitted: no later byte can change them.  A pending token is at most as long as
-the longest token, which bounds the lookahead.  States and transitions are built
-when first met and kept, up to a bound; so are the outputs of whole matches.  A
-match of at most ``_LOOK`` bytes ends within the lookahead: from a token emitted, its
-rest is a single transition, determinised when first met.
+the longest token, which bounds the lookahead.  What is pending when a match ends is
+the state's final output; a match that is a token as a whole is that token, whether
+merges build it or not.  States and transitions are determinised when first met and
+kept, up to a bound; so are the outputs of whole matches, each of which has gone
+through the transducer once.
 
-Decoding joins token bytes; ``Utf8Stream`` is an incremental UTF-8 machine that
+Decoding joins token bytes; ``Utf8Stream`` is a state machine over bytes that
 releases text as soon as its characters are complete.
 
+Very long texts: a worker holds one text, its matches and 4 bytes for each id; a
+match of any length takes one transition a byte.
+
 Defined cases: null texts are empty and have no ids.  Rows are independent, so ids
 may be null or repeat.  Extra columns stay; those named like an output are
 replaced.
@@ -24,6 +28,7 @@ replaced.
 from __future__ import annotations
 
 import base64
+import gc
 from array import array
 from functools import lru_cache
 
@@ -37,10 +42,7 @@ from ._frames import documents, extras, mapped
 from ._words import slices
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-_STATES = 30_000
-_LOOK = 24
-_SHORT = 6
-_ENDS = 400_000
+_STATES = 100_000
 _PAIRS = 500_000
 _STORE = 800_000
 _BLOCK = 1 << 16
@@ -88,7 +90,6 @@ class Transducer:
                 node = child
             self.token[node] = i
         self.whole: dict[int, bool] = {}
-        self.ends: dict[tuple[int, bytes], tuple[int, ...] | None] = {}
         self.pairs: dict[int, bool] = {}
         self.spines: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
         self._reset()
@@ -97,9 +98,10 @@ class Transducer:
         self.names: dict[tuple, int] = {}
         self.kept: list[tuple] = []
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._state((-1, ((0, ()),)))
+        self._state((-1, ((0, ()),), -1))
 
     def _state(self, key: tuple) -> int:
+        """The number of a state: (last token emitted, (node, tokens before it) of each live position, the match so far as a token or -1)."""
         got = self.names.get(key)
         if got is None:
             got = self.names[key] = len(self.kept)
@@ -144,70 +146,66 @@ class Transducer:
                     return False
         return True
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Builds a transition: the state after byte and the ids emitted."""
-        last, live = self.kept[state]
-        after, found, token, step = [], None, self.token, self.next.get
+    def _move(self, key: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
+        """A transition: the state after byte and the ids emitted."""
+        last, live, _ = key
+        after, found, whole = [], None, -1
+        token, inner, step, known = self.token, self.inner, self.next.get, self.pairs.get
         for node, chain in live:
             child = step(node << 8 | byte)
             if child is None:
                 continue
-            t = token[child]
-            if t >= 0 and found is None and self._fits(chain[-1] if chain else last, t):
-                found = (*chain, t)
-            if self.inner[child]:
+            if found is None and (t := token[child]) >= 0:
+                before = chain[-1] if chain else last
+                if before < 0:
+                    whole = t  # from the beginning of the match
+                    if self._fits(-1, t):
+                        found = (t,)
+                else:
+                    fits = known(before << 32 | t)
+                    if self._fits(before, t) if fits is None else fits:
+                        found = (*chain, t)
+            if inner[child]:
                 after.append((child, chain))
         sure = len(found)
         for _, chain in after:  # what all of them begin with is sure
             n = min(sure, len(chain))
-            sure = next((k for k in range(n) if chain[k] != found[k]), n)
+            sure = 0
+            while sure < n and chain[sure] == found[sure]:
+                sure += 1
+            if not sure:
+                after.append((0, found))
+                return (last, tuple(after), whole), ()
         after.append((0, found))
-        if sure:
-            return self._state((found[sure - 1], tuple([(s, c[sure:]) for s, c in after]))), found[:sure]
-        return self._state((last, tuple(after))), ()
-
-    def _finish(self, last: int, rest: bytes) -> tuple[int, ...] | None:
-        """The one transition from a token emitted to the end of a match that lies within the lookahead; None if no encoding goes on so."""
-        key = (last, rest)
-        if key in self.ends:
-            return self.ends[key]
-        node, found, token, step = 0, [], self.token, self.next.get
-        for k, byte in enumerate(rest, 1):
-            node = step(node << 8 | byte)
-            if node is None:
-                break
-            if token[node] >= 0:
-                found.append((token[node], k))
-        out = None
-        for t, k in reversed(found):
-            if self._fits(last, t):
-                more = self._finish(t, rest[k:]) if k < len(rest) else ()
-                if more is not None:
-                    out = (t, *more)
-                    break
-        if last >= 0 and len(rest) <= _SHORT:  # worth keeping: other matches end so
-            if len(self.ends) > _ENDS:
-                self.ends.clear()
-            self.ends[key] = out
-        return out
+        return (found[sure - 1], tuple([(s, c[sure:]) for s, c in after]), whole), found[:sure]
 
-    def encode(self, piece: bytes) -> list[int] | tuple[int, ...]:
-        if piece in self.ranks:
-            return [self.ranks[piece]]
-        if len(piece) <= _LOOK:
-            return self._finish(-1, piece)
+    def encode(self, piece: bytes) -> list[int]:
+        """Follows kept transitions; the first that is missing is built and kept, what comes after it only built until it meets a kept state."""
         if len(self.kept) > _STATES:
             self._reset()
         out: list[int] = []
-        state, moves = 0, self.moves
+        state, moves, kept, names, move = 0, self.moves, self.kept, self.names.get, self._move
         for byte in piece:
-            step = moves.get(state << 8 | byte)
-            if step is None:
-                step = moves[state << 8 | byte] = self._move(state, byte)
-            state, ready = step
+            if state >= 0:
+                step = moves.get(state << 8 | byte)
+                if step is not None:
+                    state, ready = step
+                else:
+                    key, ready = move(kept[state], byte)
+                    n = len(kept)
+                    to = self._state(key)
+                    moves[state << 8 | byte] = to, ready
+                    state = to if to < n else -1
+            else:
+                key, ready = move(key, byte)
+                if ready:
+                    state = names(key, -1)
             if ready:
                 out += ready
-        out += self.kept[state][1][-1][1]
+        _, live, whole = kept[state] if state >= 0 else key
+        if whole >= 0:
+            return [whole]
+        out += live[-1][1]
         return out
 
 
@@ -250,38 +248,76 @@ class Encoder:
         return "".join(out)
 
 
+#: States of ``Utf8Stream``: bytes of an unfinished character read so far.
+_HELD = (0, 1, 1, 1, 1, 2, 1, 1, 1, 2, 3, 0)
+_DONE, _BAD = 0, 11
+
+
+def _utf8_moves() -> list[bytes]:
+    """The state after each byte in each state.
+
+    1: one byte is missing of two; 2 (after E0), 3 (after ED), 4: two of three, 5: one of three;
+    6 (after F0), 7 (after F4), 8: three of four, 9: two, 10: one."""
+    moves = [bytearray([_BAD]) * 256 for _ in _HELD]
+    for states, low, high, to in (
+        ((0,), 0x00, 0x7F, 0), ((0,), 0xC2, 0xDF, 1), ((0,), 0xE0, 0xE0, 2), ((0,), 0xE1, 0xEF, 4), ((0,), 0xED, 0xED, 3),
+        ((0,), 0xF0, 0xF0, 6), ((0,), 0xF1, 0xF3, 8), ((0,), 0xF4, 0xF4, 7), ((1, 5, 10), 0x80, 0xBF, 0),
+        ((2,), 0xA0, 0xBF, 5), ((3,), 0x80, 0x9F, 5), ((4,), 0x80, 0xBF, 5),
+        ((6,), 0x90, 0xBF, 9), ((7,), 0x80, 0x8F, 9), ((8,), 0x80, 0xBF, 9), ((9,), 0x80, 0xBF, 10),
+    ):
+        for state in states:
+            moves[state][low : high + 1] = bytes([to]) * (high + 1 - low)
+    return [bytes(m) for m in moves]
+
+
+_UTF8 = _utf8_moves()
+
+
 class Utf8Stream:
-    """Bytes in, text out: holds back the bytes of a character that isn't complete."""
+    """Bytes in, text out, by a state machine; bytes of a character that isn't complete are held back.
+
+    Bytes that begin no character, and characters cut off, become U+FFFD."""
 
     def __init__(self):
-        self.held = b""
-
-    @staticmethod
-    def pending(data: bytes) -> int:
-        """How many bytes at the end begin a character that needs more bytes."""
-        for back in range(1, min(3, len(data)) + 1):
-            b = data[-back]
-            if b >= 0xC0:
-                need = 2 if b < 0xE0 else 3 if b < 0xF0 else 4
-                return back if need > back else 0
-            if b < 0x80:
-                return 0
-        return 0
+        self.state, self.held = _DONE, b""
 
     def feed(self, data: bytes) -> str:
+        state, moves = self.state, _UTF8
+        for byte in data:
+            state = moves[state][byte]
+        if state == _BAD:
+            return self._repaired(data)
         data = self.held + data
-        cut = len(data) - self.pending(data)
-        self.held = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        cut = len(data) - _HELD[state]
+        self.state, self.held = state, data[cut:]
+        return data[:cut].decode()
+
+    def _repaired(self, data: bytes) -> str:
+        out, state, begin = [], self.state, 0
+        data, at = self.held + data, len(self.held)
+        while at < len(data):
+            after = _UTF8[state][data[at]]
+            if after == _BAD:
+                out.append(data[begin : at - _HELD[state]].decode() + "\ufffd")
+                at += state == _DONE  # else this byte may begin a character of its own
+                state, begin = _DONE, at
+            else:
+                state, at = after, at + 1
+        cut = len(data) - _HELD[state]
+        self.state, self.held = state, data[cut:]
+        return "".join(out) + data[begin:cut].decode()
 
     def close(self) -> str:
-        rest, self.held = self.held, b""
-        return rest.decode("utf-8", "replace")
+        rest, self.state, self.held = self.held, _DONE, b""
+        return "\ufffd" if rest else ""
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    got = Encoder(path)
+    gc.freeze()  # the tables stay: the collector needn't look at them,
+    gc.set_threshold(50_000)  # nor often at states and outputs
+    return got
 
 
 def _both(path, names):
