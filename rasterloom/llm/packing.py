@@ -11,7 +11,10 @@ The tokenizer lower-cases and drops white space, so ids of a word don't depend o
 its neighbours: texts are split at ASCII white space, distinct new words are
 tokenized together and kept in a bounded store for each worker.
 
-Defined cases: a null or empty text has the end id alone.  Rows with a null or
+Very long texts: a worker holds one text, its words and 4 bytes for each id.
+
+Defined cases: a null or empty text has the end id alone.  A special token's literal
+in a text is that token, as the tokenizer has it.  Rows with a null or
 repeated id are documents of their own; equal rows get different sequences.  Extra
 columns are dropped: the result is one row for each piece.
 """
@@ -50,7 +53,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.literals = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = _Known()
         self.letters = {x: y for x, y in zip(range(256), _byte_letters())}
 
@@ -80,7 +83,16 @@ class WordIds:
             known.update(zip(part, self._single([x.decode() for x in part])))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [_apart(t.lower()).split() for t in texts]
+        """ids of each text; texts that hold a special token's literal are tokenized as a whole, as it has an id of its own."""
+        low = [t.lower() for t in texts]
+        special = {k for k, t in enumerate(low) if any(x in t for x in self.literals)}
+        got = self._words([b"" if k in special else t for k, t in enumerate(low)])
+        for k in special:
+            got[k] = self._single([texts[k].decode()])[0]
+        return got
+
+    def _words(self, texts: list[bytes]) -> list[bytes]:
+        split = [_apart(t).split() for t in texts]
         known = self.known
         get, new = known.__getitem__, known.new
         found = []

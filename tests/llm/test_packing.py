@@ -17,11 +17,10 @@ def test_pieces():
 
 def test_against_tokenizer(spark):
     r = random.Random(1)
-    words = ["Don't", "it's", "ÉTÉ", "straße.", "naïve,", "x×y", "İstanbul", "áb", "12ab", "...", "Ⅷ", "日本語", "e f", "\x1c", "the", "Über,", "<|endoftext|>", "ﬁn", "ΣΑΣ", "ǅ", "q r"]
+    words = ["Don't", "it's", "ÉTÉ", "straße.", "naïve,", "x×y", "İstanbul", "áb", "12ab", "...", "Ⅷ", "日本語", "e f", "\x1c", "the", "Über,", "<|endoftext|>", "a<|startoftext|>b", "<|ENDOFTEXT|>", "<|endoftext", "|>", "ﬁn", "ΣΑΣ", "ǅ", "q r"]
     rows = [(d, "".join(r.choice(words) + r.choice([" ", "\n", "  ", "\x0b"]) for _ in range(r.randint(0, 90)))) for d in range(60)] + [(70, None), (71, ""), (72, "word " * 5000), (None, "a b"), (3, "again")]
     got = K.pack(spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, length int"), with_ids=True).collect()
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     want = []
     for d, x in rows:
         ids = np.array(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4").tobytes()
