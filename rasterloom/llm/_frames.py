@@ -134,10 +134,10 @@ def sample_ids(labelled: DataFrame, label: str, per_label: int, labels: int) ->
     """(doc_id, label) of at most ``per_label`` distinct ids of each of the ``labels`` most frequent labels (of equals
     the least), least hash first: a list of at most per_label * labels pairs.
 
-    Labels are counted first; then only hashes below a share that leaves about twice the sample are
+    Ids of each label are counted first (in about; rows may repeat); then only hashes below a share that leaves about twice the sample are
     compared, so no task sees more than that of a label, whatever its share of the rows."""
     keyed = labelled.select("doc_id", label).withColumn("__h", F.xxhash64("doc_id"))
-    counts = keyed.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), label).limit(labels).collect()
+    counts = keyed.groupBy(label).agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.col("n").desc(), label).limit(labels).collect()
     if not counts:
         return []
     kind = labelled.schema[label].dataType.simpleString()

@@ -14,8 +14,8 @@ import pyarrow.compute  # noqa: F401
 
 U = np.uint64
 _BLOCK = 1 << 20
-_K = U(0x9E3779B97F4A7C15 | 1)
-_KINV = U(pow(int(_K), -1, 1 << 64))
+_K = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))  # odd: a base for each of two independent hashes
+_KINV = tuple(U(pow(int(k), -1, 1 << 64)) for k in _K)
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -31,22 +31,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_TABLE = mix(np.arange(1, 257, dtype=U) * U(0xA24BAED4963EE407))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_TABLE = tuple(mix(np.arange(1, 257, dtype=U) * U(x)) for x in (0xA24BAED4963EE407, 0x8CB92BA72F3D8DD7))
+_powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _pow(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     size = _BLOCK if n <= _BLOCK else n
-    if size not in _powers:
-        k = np.full(size, _K)
+    if (size, which) not in _powers:
+        k = np.full(size, _K[which])
         k[0] = 1
-        i = np.full(size, _KINV)
+        i = np.full(size, _KINV[which])
         i[0] = 1
         got = np.cumprod(k, dtype=U), np.cumprod(i, dtype=U)
         if size != _BLOCK:
             return got
-        _powers[size] = got
-    return _powers[size]
+        _powers[size, which] = got
+    return _powers[size, which]
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -74,17 +74,17 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; which: 0 or 1, of two independent ones."""
     out = np.empty(len(starts), U)
     i = 0
     while i < len(starts):
         base = starts[i]
         j = max(i + 1, int(np.searchsorted(ends, base + _BLOCK, "right")))
         span = int(ends[j - 1] - base)
-        k, inv = _pow(span)
+        k, inv = _pow(span, which)
         p = np.zeros(span + 1, U)
-        np.cumsum(_TABLE[data[base : base + span]] * k[:span], out=p[1:])
+        np.cumsum(_TABLE[which][data[base : base + span]] * k[:span], out=p[1:])
         s, e = starts[i:j] - base, ends[i:j] - base
         out[i:j] = (p[e] - p[s]) * inv[s] + (e - s).astype(U)
         i = j

@@ -7,12 +7,17 @@ starts earlier (smaller doc_id, or same document, earlier start) is removed.
    distinct anchor occurrence becomes a row (name, document, position).  Windows
    without a strong anchor stand for themselves.
 2. Anchor names found twice or more reveal candidates.
-3. Candidate windows are verified: one row (95 bits of name, document, start)
-   each, grouped; all but the first occurrence are repeats.
+3. Candidate windows are verified by the symbols that spell them out: one row (their
+   names of 64 and 32 bits, document, start) each, grouped; all but the first
+   occurrence are repeats.
 4. Repeats go back to their documents, which drop the covered words.
 
-Exact copies take no windows: whole documents have two names (64 and 61 bits, both of all words and their
-number), and one whose both names an earlier document has is a repeat from end to end.
+Exact copies take no windows: whole documents have two names (64 and 61 bits, of all
+words and their number), and one whose both names an earlier document has is a repeat
+from end to end.  Names of documents are compared with names of documents only.
+
+First and second names come from two independent hashes of the words' bytes, so words
+or symbols that share one are told apart by the other.
 
 Before each shuffle a map task sends one row for a name that it holds many
 times; the other occurrences, already known to repeat, are dealt out by a random
@@ -39,7 +44,7 @@ from pyspark.sql import functions as F
 
 from ._frames import RID, documents, extras, has_unique_ids, mapped, with_rid
 from ._words import U, WHITE, mix, slices, text_buffer, word_bounds, word_hashes
-from .recompress import anchors
+from .recompress import Levels
 
 WINDOW = 20
 LIMIT = 4 << 20
@@ -51,13 +56,14 @@ _CHUNK = 400_000
 class _Part(NamedTuple):
     """Some documents' words, or a stretch of one long document's.
 
-    rid: of each document; at: index of each document's first word here; h: names of words; doc: document of
-    each word; window: starts of windows; row: of the first document in the batch; base: words of the
+    rid: of each document; at: index of each document's first word here; h, g: first and second names of
+    words; doc: document of each word; window: starts of windows; row: of the first document in the batch; base: words of the
     document before this stretch; last: whether the document ends here."""
 
     rid: np.ndarray
     at: np.ndarray
     h: np.ndarray
+    g: np.ndarray
     doc: np.ndarray
     window: np.ndarray
     row: int
@@ -80,7 +86,12 @@ def _stretches(data: np.ndarray, limit: int):
         i = j
 
 
-def _parts(batch, size, limit):
+def _names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, mask: U) -> tuple[np.ndarray, np.ndarray]:
+    """First and second names of words."""
+    return word_hashes(data, starts, ends) & mask, word_hashes(data, starts, ends, 1)
+
+
+def _parts(batch, size, limit, mask):
     """The batch's words in parts of bounded size.
 
     Stretches of a long document share size - 1 words, so each window lies in one of them; anchors
@@ -91,33 +102,22 @@ def _parts(batch, size, limit):
         data, offsets = text_buffer(b.column("text"))
         if len(rid) > 1 or len(data) <= limit:
             starts, ends, at = word_bounds(data, offsets)
-            h = word_hashes(data, starts, ends)
+            h, g = _names(data, starts, ends, mask)
             doc = np.repeat(np.arange(len(rid)), np.diff(at))
             window = np.flatnonzero(doc[size - 1 :] == doc[: max(0, len(doc) - size + 1)])
-            yield _Part(rid, at, h, doc, window, k, 0, True)
+            yield _Part(rid, at, h, g, doc, window, k, 0, True)
         else:
-            held, base = np.zeros(0, U), 0
+            held, base = (np.zeros(0, U),) * 2, 0
             for i, j in _stretches(data, limit):
                 piece = data[i:j]
-                h = np.concatenate([held, word_hashes(piece, *word_bounds(piece, np.array([0, len(piece)]))[:2])])
+                h, g = map(np.concatenate, zip(held, _names(piece, *word_bounds(piece, np.array([0, len(piece)]))[:2], mask)))
                 window = np.arange(max(0, len(h) - size + 1))
-                yield _Part(rid, np.array([0, len(h)]), h, np.zeros(len(h), np.int64), window, k, base, j == len(data))
-                held = h[max(0, len(h) - size + 1) :]
-                base += len(h) - len(held)
+                yield _Part(rid, np.array([0, len(h)]), h, g, np.zeros(len(h), np.int64), window, k, base, j == len(data))
+                held = tuple(x[max(0, len(x) - size + 1) :] for x in (h, g))
+                base += len(h) - len(held[0])
         k += len(rid)
 
 
-def _window_names(h, window, size):
-    """Two independent names of each window's word sequence."""
-    a, b = np.zeros(len(window), U), np.zeros(len(window), U)
-    ka, kb = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
-    for j in range(size):
-        x = h[window + j]
-        a = a * ka + x
-        b = (b ^ (x >> U(7))) * kb + x
-    return mix(a), mix(b) & U(0x7FFFFFFF)  # 95 bits: the second name travels as an int
-
-
 def _first(h, at):
     first = np.zeros(len(h), bool)
     first[at[:-1][np.diff(at) > 0]] = True
@@ -135,20 +135,21 @@ def _salt(rid, pos):
     return mix(rid.astype(U) * U(0x9E3779B97F4A7C15) + pos.astype(np.int64).astype(U) + U(0x51ED270B))
 
 
-def _find(size, limit):
+def _find(size, limit, mask):
     """Rows (name, rid, pos, known): pos >= 0 an anchor, ~start a window of its own, _NAMED or less the whole document.
 
     known: the name has another occurrence (for documents: an earlier one with the same second name) in this chunk."""
 
     def flush(parts):
         name, rid, pos = (np.concatenate(x) for x in zip(*parts))
+        name &= mask
         order = np.lexsort((pos, rid, np.where(pos <= _NAMED, pos, 0), name))
         once = np.ones(len(order), bool)  # windows far apart can have one anchor occurrence
         once[1:] = (np.diff(pos[order]) != 0) | (np.diff(rid[order]) != 0) | (name[order][1:] != name[order][:-1])
         name, rid, pos = (x[order[once]] for x in (name, rid, pos))
         order = np.arange(len(name))
         copy = pos <= _NAMED
-        same = (name[1:] == name[:-1]) & (~copy[1:] | (pos[1:] == pos[:-1]))
+        same = (name[1:] == name[:-1]) & (copy[1:] == copy[:-1]) & (~copy[1:] | (pos[1:] == pos[:-1]))
         later = _known(order, same)
         more = np.zeros(len(order), bool)
         more[order[:-1][same]] = True
@@ -160,11 +161,11 @@ def _find(size, limit):
         parts, held = [], 0
         for whole in batches:
             total, seen = (0, 0), 0  # of a document in stretches
-            for p in _parts(whole, size, limit):
-                rid, at, h, doc, window, _, base, last = p
+            for p in _parts(whole, size, limit, mask):
+                rid, at, h, g, doc, window, _, base, last = p
                 place = np.arange(len(h)) - at[doc] + base
                 by = mix(place.astype(U) + U(77))
-                powers = h * by, mix(h + by)
+                powers = h * by, mix(g + by)
                 if base or not last:
                     new = (x[max(0, seen - base) :] for x in powers)
                     total, seen = tuple((t + int(x.sum(dtype=U))) % (1 << 64) for t, x in zip(total, new)), base + len(h)
@@ -178,7 +179,8 @@ def _find(size, limit):
                     second = (mix(seconds[long] ^ mix(n[long].astype(U))) >> U(3)).astype(np.int64)
                     parts.append((mix(sums[long] + n[long].astype(U)), rid[long], _NAMED - second))
                 if len(window):
-                    word, length, name = anchors(h, _first(h, at), window, size)
+                    levels = Levels(h, g, _first(h, at))
+                    word, length, name = levels.anchors(window, size)
                     strong = length > 0
                     i, name = word[strong], name[strong]
                     step = np.ones(len(i), bool)
@@ -186,7 +188,7 @@ def _find(size, limit):
                     i, name = i[step], name[step]
                     own = window[~strong]
                     parts.append((name, rid[doc[i]], place[i]))
-                    parts.append((_window_names(h, own, size)[0], rid[doc[own]], ~place[own]))
+                    parts.append((levels.keys(own, size)[0], rid[doc[own]], ~place[own]))
                     held += len(i) + len(own)
                 held += len(long)
                 if held >= _CHUNK:
@@ -198,11 +200,12 @@ def _find(size, limit):
     return run
 
 
-def _expand(size, limit):
+def _expand(size, limit, mask):
     """Rows (k1, k2, rid, start, n, known) of the candidate windows; known rows are repeats already and may stand for n windows."""
 
     def flush(parts):
         k1, k2, rid, start, n, known = (np.concatenate(x) for x in zip(*parts))
+        k1 &= mask
         order = np.lexsort((start, rid, k2, k1))
         same = (k1[order][1:] == k1[order][:-1]) & (k2[order][1:] == k2[order][:-1])
         known |= _known(order, same)
@@ -212,15 +215,15 @@ def _expand(size, limit):
         keep[1:] = ~run
         head = np.flatnonzero(keep)
         n = np.add.reduceat(n, head)
-        cols = [k1[head].view(np.int64), k2[head].astype(np.int32), rid[head], start[head].astype(np.int32), n.astype(np.int32), known[head]]
+        cols = [k1[head].view(np.int64), k2[head], rid[head], start[head].astype(np.int32), n.astype(np.int32), known[head]]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["k1", "k2", RID, "start", "n", "known"])
 
     def run(batches):
         parts, held = [], 0
         for whole in batches:
             column = whole.column("pos")
-            for p in _parts(whole, size, limit):
-                rid, at, h, doc, window, row, base, _ = p
+            for p in _parts(whole, size, limit, mask):
+                rid, at, h, g, doc, window, row, base, _ = p
                 if not len(window):
                     continue
                 lists = column.slice(row, len(rid))
@@ -232,17 +235,18 @@ def _expand(size, limit):
                 n = np.diff(at)
                 for d in np.flatnonzero(copies & (n >= size)):
                     one = np.array([base])
-                    parts.append((_salt(rid[[d]], one), np.zeros(1, U), rid[[d]], one, np.array([n[d] - size + 1]), np.ones(1, bool)))
+                    parts.append((_salt(rid[[d]], one), np.zeros(1, np.int32), rid[[d]], one, np.array([n[d] - size + 1]), np.ones(1, bool)))
                 place = np.where(pos >= 0, pos, ~pos) - base
                 live = (pos != _COPY) & ~copies[of] & (place >= 0) & (place < n[of])
                 of, pos, place = of[live], pos[live], place[live]
                 strong, own = np.zeros(len(h) + 1, bool), np.zeros(len(h) + 1, bool)
                 strong[(at[of] + place)[pos >= 0]] = True
                 own[(at[of] + place)[pos < 0]] = True
-                word, length, _ = anchors(h, _first(h, at), window, size)
+                levels = Levels(h, g, _first(h, at))
+                word, length, _ = levels.anchors(window, size)
                 w = window[np.where(length > 0, strong[word], own[window])]
                 if len(w):
-                    k1, k2 = _window_names(h, w, size)
+                    k1, k2 = levels.keys(w, size)
                     parts.append((k1, k2, rid[doc[w]], w - at[doc[w]] + base, np.ones(len(w), np.int64), np.zeros(len(w), bool)))
                 held += len(w)
                 if held >= _CHUNK:
@@ -295,31 +299,36 @@ def _drop(size, schema, limit):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, limit: int = LIMIT) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, limit: int = LIMIT, bits: int = 64) -> DataFrame:
     """docs with n_words, n_removed (long) and kept_text: the kept words, joined by one space.
 
-    limit: bytes of a text that are worked on at a time."""
+    limit: bytes of a text that are worked on at a time; bits: how many of first names are kept (results don't depend on it)."""
+    mask = U((1 << bits) - 1)
     others = extras(docs, RID, "n_words", "n_removed", "kept_text", "spans", "pos")
     unique = has_unique_ids(docs)
     docs = with_rid(docs.select(*others), unique)
-    rows = docs.repartition(RID)  # one exchange, read by both joins
-    rows = rows.select(RID, *others)
-    once = rows if unique else rows.dropDuplicates([RID])  # else a repeated row would be a repeat of itself
-    found = (docs if unique else once).select(RID, "text").transform(mapped, _find(window, limit), f"name long, {RID} long, pos long, known boolean")
-    same = Window.partitionBy("name")
-    found = found.withColumn("c", F.count(F.lit(1)).over(same)).withColumn("least", F.min(RID).over(same))
+    if unique:
+        rows = docs.repartition(RID)  # one exchange, read by both joins
+        rows = rows.select(RID, *others)
+        once, read = rows, docs
+    else:  # one row of each document is searched, or a repeated row would be a repeat of itself
+        rows, once = docs, docs.select(RID, "text").dropDuplicates([RID])
+        read = once
+    found = read.select(RID, "text").transform(mapped, _find(window, limit, mask), f"name long, {RID} long, pos long, known boolean")
     copy = F.col("pos") <= _NAMED
+    same = Window.partitionBy("name", "copy")
+    found = found.withColumn("copy", copy).withColumn("c", F.count(F.lit(1)).over(same)).withColumn("least", F.min(RID).over(same))
     one = F.min("pos").over(same) == F.max("pos").over(same)  # documents whose second names differ are compared by windows
     found = found.withColumn("one", one)
-    found = found.filter(F.col("known") | (F.when(copy, F.col("one") & (F.col("least") < F.col(RID))).otherwise(F.col("c") > 1)))
+    found = found.filter(F.col("known") | (F.when(F.col("copy"), F.col("one") & (F.col("least") < F.col(RID))).otherwise(F.col("c") > 1)))
     found = found.withColumn("pos", F.greatest("pos", F.lit(_COPY)).cast("int"))
     lists = found.groupBy(RID).agg(F.collect_list("pos").alias("pos"))
     held = once.join(lists.hint("shuffle_hash"), RID)  # all columns, or it would be another exchange
-    seen = held.transform(mapped, _expand(window, limit), f"k1 long, k2 int, {RID} long, start int, n int, known boolean")
+    seen = held.transform(mapped, _expand(window, limit, mask), f"k1 long, k2 int, {RID} long, start int, n int, known boolean")
     nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(RID, "start"))
     again = seen.withColumn("nth", nth).filter("known or nth > 1")
     spans = again.groupBy(RID).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    out = rows.join(spans.hint("shuffle_hash"), RID, "left").select(*others, "spans")
+    out = rows.join(spans.hint("shuffle_hash") if unique else spans, RID, "left").select(*others, "spans")  # repeated rows: AQE splits a hot document
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*others).dtypes)
     return out.transform(mapped, _drop(window, others, limit), f"{kinds}, n_words long, n_removed long, kept_text string")
 

@@ -1,21 +1,27 @@
 """Operator 7: toxicity scores of noisily written text.
 
 1. Counts of character trigrams are gathered over all texts: a character language
-   model with a bounded alphabet.
+   model over Latin, Greek and Cyrillic letters.  Letters of other scripts are one
+   symbol, so words in them are scored as written.
 2. Noisy channel: a written word is a lattice of the characters it may stand for
    (leet digits and signs, separators between letters, repeated letters, letters
    set apart by spaces or signs).  Viterbi decoding under the language model gives
-   the word meant.  A word without any such sign has one path.
+   the word meant.  A word without any such sign has one path.  Words cut by spaces
+   into pieces of two letters or more are scored piece by piece.
 3. A classifier over restored words (the word, its ends and inner n-grams) is
-   fitted on at most ``SAMPLE`` labelled documents of either class, none over
-   ``LONGEST`` characters; half of them find the markers by which the other half's
-   documents are weighed.  Scores are logistic in the strongest words.
+   fitted on the driver on at most ``SAMPLE`` labelled documents of either class,
+   none over ``LONGEST`` characters; half of them find the markers by which the other
+   half's documents are weighed.  Scores are logistic in the strongest words.
 
 Labels are taken only from documents whose crc32(doc_id as text) mod 3 is not 1;
 scores depend on the text alone.
 
+Very long texts: a worker holds one text, its words and their scores.
+
 Defined cases: null and empty texts have no words and get the score of a text
-without markers.  Rows are scored one by one, so ids may be null or repeat.
+without markers.  Rows are scored one by one, so ids may be null or repeat; of texts
+that share a labelled id the least is sampled, and an id labelled both ways counts
+for both.
 Without labels of both classes all scores are 0.  Extra columns stay; those named
 like an output are replaced.
 """
@@ -31,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import documents, extras, mapped, sample_ids
+from ._frames import documents, extras, mapped, sample_ids, sampled_texts
 from ._words import slices
 
 SAMPLE = 2000
@@ -39,18 +45,25 @@ LONGEST = 12_000
 CUT = 0.7
 _STORE = 500_000
 _OFTEN = 4
-_LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýœ"
-_A = 64
-_OTHER = 63
+#: Lower-case letters of the language model's alphabet: Latin, Greek, Cyrillic (fixed values).
+_LETTERS = (
+    "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýœ"
+    "αβγδεζηθικλμνξοπρςστυφχψωάέήίόύώϊϋ"
+    "абвгдежзийклмнопрстуфхцчшщъыьэюяёєі"
+)
+_A = 128
+_OTHER = _A - 1
 
 #: What a sign may stand for between letters (fixed values).
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
 }
+#: Greek and Cyrillic letters that look like Latin ones (fixed values); they are meant in words of these scripts.
+ALIKE = {"o": "οо", "e": "εе", "a": "αа", "i": "ιи", "t": "τт", "b": "βв", "z": "ζз", "s": "σс", "l": "λл", "c": "ςс", "g": "γг"}
 SEPARATORS = ".-_*~'`^,:;/\\ "
 
-_CODE = np.full(0x180, _OTHER, np.int64)
+_CODE = np.full(0x480, _OTHER, np.int64)
 for _i, _c in enumerate(_LETTERS):
     _CODE[ord(_c)] = _i + 1
 _CODE[[0x20, *range(9, 14)]] = 0
@@ -75,10 +88,10 @@ def _count(batches):
 
 def language_model(docs: DataFrame) -> np.ndarray:
     """log P(c | a, b) as float32 [a, b, c], from trigrams of all texts, smoothed by bigrams and letters."""
-    rows = docs.select("text").transform(mapped, _count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most 64 ** 3
+    rows = docs.select("text").transform(mapped, _count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    got = rows.limit(_A**3).toArrow()  # there aren't more
     count = np.zeros(_A**3)
-    for r in rows:
-        count[r["gram"]] = r["n"]
+    count[np.asarray(got.column("gram"))] = np.asarray(got.column("n"))
     return smoothed(count)
 
 
@@ -104,10 +117,22 @@ def _code(c: str) -> int:
 def suspicious(word: str) -> bool:
     """Whether a word (lower case, marks at its ends stripped) has more than one path."""
     if word.isalpha():
-        return any(a == b == c for a, b, c in zip(word, word[1:], word[2:]))
+        return any(a == b == c for a, b, c in zip(word, word[1:], word[2:])) or _doubled(word)
     return any(c.isalpha() for c in word)
 
 
+def _doubled(word: str) -> bool:
+    """Whether letters are doubled throughout: three pairs or more, which are most of the word."""
+    if len(word) < 6:
+        return False
+    pairs, i = 0, 1
+    while i < len(word):
+        same = word[i] == word[i - 1]
+        pairs += same
+        i += 1 + same
+    return pairs >= 3 and 3 * pairs > len(word)
+
+
 def lattice(word: str) -> list[list[tuple[str, float]]]:
     """For each run of a written character: what it may stand for, and the channel's log weight."""
     runs: list[list] = []
@@ -116,13 +141,17 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
             runs[-1][1] += 1
         else:
             runs.append([c, 1])
+    latin = all(c < "\u0370" for c in word if c.isalpha())
     out = []
     for c, n in runs:
+        meant = LEET.get(c, "")
+        if not latin:
+            meant += "".join(ALIKE.get(x, "") for x in meant)
         if c.isalpha():
-            options = [(c * n, _STAY)] if n <= 2 else [(c, _REPEAT), (c * 2, _REPEAT)]
+            options = [(c, _STAY)] if n == 1 else [(c, _REPEAT), (c * 2, _STAY if n == 2 else _REPEAT)]
         else:
             options = [(c * min(n, 2), _KEEP_SIGN)]
-            options += [(x * k, _LEET_COST * min(n, 2)) for x in LEET.get(c, "") for k in {1, min(n, 2)}]
+            options += [(x * k, _LEET_COST * min(n, 2)) for x in meant for k in {1, min(n, 2)}]
             if c in SEPARATORS or c not in LEET:
                 options.append(("", _DROP))
         out.append(options)
@@ -304,11 +333,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
-    labelled = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
-    ids = sample_ids(labelled, "toxic", sample)
-    chosen = docs.sparkSession.createDataFrame(ids or [(None, None)], "doc_id long, toxic int")
-    texts = docs.select("doc_id", "text").filter(F.length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id")  # at most 2 * sample rows
-    rows = sorted((r["doc_id"], r["toxic"], r["text"]) for r in texts.collect())
+    labelled = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    ids = sample_ids(labelled, "toxic", sample, 2)
+    texts = docs.select("doc_id", "text").filter(F.length("text") <= LONGEST)
+    rows = sampled_texts(texts, ids, ["doc_id"], "doc_id long, toxic int")
     return fit(language_model(docs), [(t, y) for _, y, t in rows])
 
 

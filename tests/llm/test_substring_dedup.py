@@ -1,6 +1,10 @@
 import random
 import re
 
+import numpy as np
+
+from rasterloom.llm._words import mix
+from rasterloom.llm.recompress import Levels
 from rasterloom.llm.substring_dedup import substring_dedup
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -58,6 +62,40 @@ def test_against_brute_force(spark):
         assert sum(x[1] for x in want.values()) > 500
 
 
+def test_colliding_names(spark):
+    """First names of few bits, so that words, symbols, windows and documents share them: second names tell them apart."""
+    rows = texts(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows, 20)
+    for bits in (16, 6):
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup(df, bits=bits).collect()} == want
+
+
+def test_keys_spell_windows_out():
+    """Windows have equal names exactly if their words are equal, wherever they stand."""
+    r = random.Random(7)
+    for vocab, size in ((2, 6), (3, 20), (30, 20)):
+        words = np.array([r.randrange(vocab) for _ in range(3000)])
+        words[1000:1100] = words[200:300]
+        words[2000:2080] = 1
+        h, g = (mix(words.astype(np.uint64) + np.uint64(k)) for k in (1, 1 << 40))
+        first = np.zeros(3000, bool)
+        first[[0, 700, 1500]] = True
+        window = np.array([i for i in range(3000 - size + 1) if not first[i + 1 : i + size].any()])
+        a, b = Levels(h, g, first).keys(window, size)
+        by_words = [tuple(words[i : i + size]) for i in window]
+        assert len(set(by_words)) == len(set(a.tolist())) == len(set(zip(by_words, a.tolist(), b.tolist())))
+
+
+def test_hot_document(spark):
+    """A third of all rows are one row; each gets that document's result."""
+    rows = texts(6)
+    df = spark.createDataFrame(rows + [rows[30]] * 70 + [rows[131]] * 5, "doc_id long, text string").repartition(6)
+    got = substring_dedup(df).collect()
+    want = brute(rows, 20)
+    assert len(got) == len(rows) + 75 and all((r["n_words"], r["n_removed"], r["kept_text"]) == want[r["doc_id"]] for r in got)
+
+
 def test_odd_tables(spark):
     one = " ".join(f"a{i}" for i in range(30))
     rows = [(None, one, "x"), (3, one, "y"), (3, one, "y"), (3, one + " more", "z")]

@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -59,3 +60,40 @@ def test_restore():
         assert T.tokens("x " * 2 + "word " + " ".join(w))[-1] == w
     s = T.Scorer(lm, {"^grum": 3.0, "~tion": 2.0, "skruvell": 9.0, "olor$": 4.0}, [])
     assert all(s.word(w) == max((s.markers.get(f, 0.0) for f in T.features(w)), default=0.0) for w in [*BAD, "station", "ab", "color"])
+
+
+def test_viterbi():
+    """The likeliest of all paths through the lattice, by trying them all; in three scripts."""
+    docs, _ = corpus(3, 200)
+    lm = T.smoothed(T.trigram_counts([t for _, t in docs] + ["σκληρός κακός", "плохой злой"] * 40).astype(float))
+
+    def weigh(text):
+        a, b, s = 0, 0, 0.0
+        for c in text + " ":
+            k = T._code(c)
+            s += float(lm[a, b, k])
+            a, b = b, k
+        return s
+
+    for word in ["gr0mbl0r", "s.n.a", "th33", "1n6", "ooonnn", "g-r", "a|b", "κκκ4κ", "пл0х", "ttiinngg"]:
+        paths = {}
+        for path in itertools.product(*T.lattice(word)):
+            meant, cost = "".join(x for x, _ in path), sum(w for _, w in path)
+            paths[meant] = max(paths.get(meant, -1e9), cost + weigh(meant))
+        assert paths[T.restore(word, lm)] > max(paths.values()) - 1e-3
+    assert T.suspicious("ttiinngg") and not T.suspicious("book") and not T.suspicious("mississippi")
+    assert T.restore("пл0хой", lm) == "плохой" and T.restore("κ.α.κ.ό.ς", lm) == "κακός"
+
+
+def test_driver_gets_the_sample(spark):
+    """Repeated rows of labels and documents don't multiply; a text of 200 000 words is scored whole."""
+    docs, labels = corpus(5, 300)
+    hot = spark.createDataFrame(docs[:2] * 3000, "doc_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string").unionByName(hot)
+    lab = spark.createDataFrame(labels + labels[:2] * 4000, "doc_id long, toxic int")
+    ids = T.sample_ids(lab, "toxic", 40, 2)
+    assert len(ids) <= 80 and len(set(ids)) == len(ids)
+    assert [x[:2] for x in T.sampled_texts(df, ids, ["doc_id"], "doc_id long, toxic int")] == sorted(ids)
+    long = spark.createDataFrame([(-1, docs[0][1].replace(BAD[0], "") + " the ing" * 100_000 + " " + " ".join(BAD)), (-2, "the ing " * 100_000)], "doc_id long, text string")
+    got = {x["doc_id"]: x["score"] for x in T.toxicity(df.unionByName(long), lab).filter("doc_id < 0").collect()}
+    assert got[-1] > 0.5 > got[-2]
