@@ -1,15 +1,19 @@
 """Operator 6: WARC records in ZIP-packaged archives, read by ranges.
 
 Writing: pages whose payloads are equal (SHA-1 and length) have one response, the
-smallest page_id; the others are revisits.  A task packs its records, each a gzip
-member of its own, into archives of a bounded size: a ZIP file with two stored
-members, ``data.warc.gz`` and ``index.cdx`` (offset and length of each record).
+smallest page_id; the others are revisits.  A task streams its records, each a gzip
+member of its own, into archives of about a bounded size: ZIP files in the shared
+folder with two stored members, ``data.warc.gz`` and ``index.cdx`` (offset and length
+of each record).  Files of failed attempts have names of their own; only those that
+the returned table lists count.
 
 Reading: ``ZipReader`` parses the end record, the ZIP64 records and the central
-directory, finds where stored members begin, and reads records by their ranges
-without extracting a member.  It reads from any source of ranges: bytes held in a
-row, or a file.  Archives go through a Parquet table in the shared folder, so any
-executor can read them.
+directory, finds where stored members begin and reads the index.  Its ranges, in
+chunks of ``CHUNK`` records, are dealt out to all tasks, which read just these ranges
+of the files without extracting a member.
+
+Very long payloads: a worker holds one record, or when reading one chunk of records
+of at most ``ARCHIVE_BYTES`` (or one record), and its payload.
 
 Defined cases: null html is an empty payload.  A page without page_id is a
 response and never the one that others refer to.  Equal rows are both responses if
@@ -24,19 +28,22 @@ import gzip
 import hashlib
 import io
 import struct
+import uuid
 import zipfile
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import mapped, written
+from ._frames import fresh_path, mapped, removed_at_end, written
 from ._words import slices
 
 LEAST = 0
-ARCHIVE_BYTES = 4 << 20
+ARCHIVE_BYTES = 16 << 20
+CHUNK = 256
 DATA, INDEX = "data.warc.gz", "index.cdx"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -58,14 +65,21 @@ class BytesSource:
         return bytes(self.data[start : start + length])
 
 
+def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's filesystem for a URI as Hadoop writes it, and the path in it."""
+    return fs.FileSystem.from_uri("s3://" + uri[6:] if uri.startswith("s3a://") else uri)
+
+
 class FileSource:
-    def __init__(self, path: str):
-        self.file = open(path, "rb")  # noqa: SIM115
-        self.size = self.file.seek(0, 2)
+    """Ranges of a file on any filesystem that Arrow opens by URI."""
+
+    def __init__(self, uri: str):
+        system, path = _filesystem(uri)
+        self.file = system.open_input_file(path)
+        self.size = self.file.size()
 
     def read(self, start: int, length: int) -> bytes:
-        self.file.seek(start)
-        return self.file.read(length)
+        return self.file.read_at(length, start)
 
 
 # ---- ZIP -------------------------------------------------------------------
@@ -201,86 +215,130 @@ def _page(urn: str | None) -> int | None:
 
 
 class ArchiveWriter:
-    def __init__(self):
-        self.data, self.index = io.BytesIO(), []
+    """Streams records into an archive on ``sink``, a file open for writing."""
+
+    def __init__(self, sink, zip64: bool = False):
+        self.zip = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED)
+        self.data = self.zip.open(zipfile.ZipInfo(DATA), "w", force_zip64=zip64)
+        self.size, self.index = 0, []
 
     def add(self, data: bytes, note: str) -> None:
         packed = gzip.compress(data, 6, mtime=0)
-        self.index.append(f"{self.data.tell()} {len(packed)} {note}")
-        self.data.write(packed)
+        self.index.append(f"{self.size} {len(packed)} {note}")
+        self.size += self.data.write(packed)
+
+    def close(self) -> None:
+        self.data.close()
+        with self.zip.open(zipfile.ZipInfo(INDEX), "w") as f:
+            f.write("\n".join(self.index).encode())
+        self.zip.close()
 
-    def close(self, zip64: bool = False) -> bytes:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-            for name, content in ((DATA, self.data.getvalue()), (INDEX, "\n".join(self.index).encode())):
-                with z.open(zipfile.ZipInfo(name), "w", force_zip64=zip64) as f:
-                    f.write(content)
-        return out.getvalue()
+
+def ranges(z: ZipReader) -> list[tuple[int, int]]:
+    """(offset in the archive, length) of each record that the index lists."""
+    begin = z.begin(DATA)
+    return [(begin + int(start), int(length)) for start, length, _ in (line.split(" ", 2) for line in z.read(INDEX).decode().splitlines())]
 
 
 def read_archive(source):
     """(fields, payload) of each record, by the ranges of the index."""
-    z = ZipReader(source)
-    for line in z.read(INDEX).decode().splitlines():
-        start, length = map(int, line.split(" ", 2)[:2])
-        yield parse_record(gzip.decompress(z.read(DATA, start, length)))
+    for start, length in ranges(ZipReader(source)):
+        yield parse_record(gzip.decompress(source.read(start, length)))
 
 
-def _write(size):
+def _write(size, folder):
     def run(batches):
-        task, k, out = TaskContext.get().partitionId(), 0, ArchiveWriter()
+        name = f"{folder}/part-{TaskContext.get().partitionId()}-{uuid.uuid4().hex}"
+        system, path = _filesystem(name)
+        done, out, sink = [], None, None
 
-        def row():
-            return pa.RecordBatch.from_arrays([pa.array([f"part-{task}-{k}.zip"]), pa.array([out.close()], pa.binary())], ["archive", "content"])
+        def close():
+            out.close()
+            sink.close()
+            done.append((f"{name}-{len(done)}.zip", len(out.index)))
 
         for whole in batches:
             for b in slices(whole, "html", 2 << 20):
                 for page, url, html, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to"))):
                     payload = (html or "").encode()
                     digest = digest_of(payload)
+                    if out is None:
+                        system.create_dir(path.rpartition("/")[0], recursive=True)
+                        sink = system.open_output_stream(f"{path}-{len(done)}.zip")
+                        out = ArchiveWriter(sink)
                     out.add(record(page, url, payload, digest, len(payload), refers), digest)
-                    if out.data.tell() >= size:
-                        yield row()
-                        k, out = k + 1, ArchiveWriter()
-        if out.index:
-            yield row()
+                    if out.size >= size:
+                        close()
+                        out = None
+        if out is not None:
+            close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done]), pa.array([n for _, n in done], pa.int64())], ["archive", "records"])
 
     return run
 
 
+def _index(batches):
+    for b in batches:
+        for uri in b.column("archive").to_pylist():
+            chunks, held = [[]], 0
+            for start, length in ranges(ZipReader(FileSource(uri))):
+                if chunks[-1] and (len(chunks[-1]) >= CHUNK or held + length > ARCHIVE_BYTES):
+                    chunks.append([])
+                    held = 0
+                chunks[-1].append((start, length))
+                held += length
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([uri] * len(chunks)), pa.array([[s for s, _ in c] for c in chunks], kind), pa.array([[n for _, n in c] for c in chunks], kind)], ["archive", "start", "length"])
+
+
 def _read(batches):
     for b in batches:
-        for content in b.column("content"):
-            rows = []
-            for fields, payload in read_archive(BytesSource(content.as_buffer())):
+        for uri, starts, lengths in zip(*(b.column(c).to_pylist() for c in ("archive", "start", "length"))):
+            if not starts:
+                continue
+            source, rows = FileSource(uri), []
+            for start, length in zip(starts, lengths):
+                fields, payload = parse_record(gzip.decompress(source.read(start, length)))
                 kind = fields["warc-type"]
                 if kind == "response":
                     size, digest = len(payload), digest_of(payload)
                 else:
                     size, digest = int(fields["x-payload-length"]), fields["warc-payload-digest"].removeprefix("sha1:")
                 rows.append((_page(fields["warc-record-id"]), size, digest, kind, _page(fields.get("warc-refers-to")), fields.get("warc-target-uri")))
-            cols = zip(*rows)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
 
 def with_references(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, url, html and refers_to: the smallest page_id of an equal payload of at least ``least`` bytes, null for that page itself."""
     html = F.coalesce("html", F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("size"))
+    key = ["page_id", "digest", "size"]  # payloads travel once, by their own page; common digests only in rows of ids
     first = pages.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    joined = pages.join(first, ["digest", "size"], "left")
-    return joined.select("page_id", "url", "html", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+    refers = pages.select(*key).join(first, ["digest", "size"]).filter("page_id <> first").distinct()
+    return pages.join(refers, key, "left").select("page_id", "url", "html", F.col("first").alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, least: int = LEAST, size: int = ARCHIVE_BYTES) -> DataFrame:
-    """(archive, content): the archives, as a table in the shared folder."""
-    return written(with_references(pages, least).transform(mapped, _write(size), "archive string, content binary"), "archives")
+    """(archive, records): the URIs of ZIP files written to the shared folder, and how many records each holds."""
+    spark = pages.sparkSession
+    folder = fresh_path(spark, "archives")
+    out = written(with_references(pages, least).transform(mapped, _write(size, folder), "archive string, records long"), "archive-list")
+    removed_at_end(spark, folder)
+    return out
+
+
+def archives_in(spark: SparkSession, folder: str) -> DataFrame:
+    """(archive): the ZIP files in a folder; their contents aren't read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder).select(F.col("path").alias("archive"))
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """One row for each record of archives.content; ``spark.read.format("binaryFile")`` gives such rows, too."""
-    return archives.select("content").transform(mapped, _read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    """One row for each record of the files that archives.archive names."""
+    chunks = archives.select("archive").transform(mapped, _index, "archive string, start array<long>, length array<long>")
+    n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return chunks.repartition(n).transform(mapped, _read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

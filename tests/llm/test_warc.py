@@ -10,15 +10,17 @@ from rasterloom.llm import warc as W
 def test_zip_forms(tmp_path):
     """ZIP64, a comment, bytes before the archive, and a file read by ranges."""
     for zip64 in (False, True):
-        out = W.ArchiveWriter()
+        sink = io.BytesIO()
+        out = W.ArchiveWriter(sink, zip64)
         for i in range(5):
             out.add(W.record(i, f"http://x/{i}", b"p\r\n\r\n" * i, W.digest_of(b"p\r\n\r\n" * i), 5 * i, None), "n")
-        data = out.close(zip64)
+        out.close()
+        data = sink.getvalue()
         for form in (data, b"stub" * 9 + data):
             got = list(W.read_archive(W.BytesSource(form)))
             assert [p for _, p in got] == [b"p\r\n\r\n" * i for i in range(5)]
         (tmp_path / "a.zip").write_bytes(data)
-        assert len(list(W.read_archive(W.FileSource(str(tmp_path / "a.zip"))))) == 5
+        assert len(list(W.read_archive(W.FileSource(f"file://{tmp_path}/a.zip")))) == 5
     many = io.BytesIO()
     with zipfile.ZipFile(many, "w") as z:
         for i in range(66_000):  # more entries than 16 bits hold
@@ -46,7 +48,11 @@ def test_round_trip(spark, tmp_path):
     rows = [(i, f"http://h/{i}", r.choice(html), "z") for i in range(300)] + [(None, None, "<p>none", "z"), (None, None, "<p>none", "z")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, REFERS_TO string").repartition(7)
     archives = W.write_archives(df, size=3000)
-    assert archives.count() > 7
+    assert archives.count() > 7 and archives.agg({"records": "sum"}).first()[0] == len(rows)
+    files = [r["archive"] for r in archives.collect()]
+    with zipfile.ZipFile(files[0].removeprefix("file://")) as z:
+        assert z.namelist() == [W.DATA, W.INDEX] and z.testzip() is None
+    assert W.read_archives(W.archives_in(spark, files[0].rpartition("/")[0])).count() == len(rows)
     got = W.read_archives(archives).collect()
     first = {}
     for i, _, h, _ in rows:
@@ -63,3 +69,13 @@ def test_round_trip(spark, tmp_path):
     small = W.with_references(df, least=1).filter("coalesce(html, '') = '' and refers_to is not null")
     assert small.count() == 0
     assert W.read_archives(W.write_archives(df.limit(0))).count() == 0
+
+
+def test_hot_and_long_payloads(spark):
+    """A third of all pages with one payload, and a payload of 3 MB."""
+    rows = [(i, "u", f"<p>{i}") for i in range(200)] + [(1000 + i, "u", "<p>same") for i in range(100)] + [(5000, "u", "long é" * 500_000), (5001, "u", "long é" * 500_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    got = {r["page_id"]: r for r in W.read_archives(W.write_archives(df)).collect()}
+    assert len(got) == len(rows) and all(got[i]["refers_to"] is None for i in range(200))
+    assert [got[1000 + i]["refers_to"] for i in range(100)] == [None] + [1000] * 99
+    assert got[5000]["payload_bytes"] == 3_500_000 and got[5001]["refers_to"] == 5000
