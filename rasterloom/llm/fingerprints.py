@@ -9,10 +9,15 @@ all texts of a language.
 ``likeness`` turns the share of differing bits into the cosine of the weighted
 terms that it estimates (0 where that is negative).
 
-``near`` finds all fingerprints within a Hamming radius r: the bits are cut into
-r + ``SPARE`` blocks; a pair within r agrees in at least ``SPARE`` blocks, so for
-each choice of ``SPARE`` blocks a table holds all fingerprints with these blocks in
+``near`` finds all fingerprints within a Hamming radius r: the hex digits are cut into
+r + ``spare`` blocks; a pair within r agrees in at least ``spare`` blocks, so for
+each choice of ``spare`` blocks a table holds all fingerprints with these blocks in
 front, and pairs are joined on them and verified.  Equal fingerprints are one row.
+Where over ``PAIRS`` fingerprints share their front, what is behind it is cut into
+r + 1 blocks, one of which a pair must share as well: such fingerprints are joined on
+both.  No pair within r is lost.
+
+Very long texts: a worker holds one text, its words and 12 bytes for each.
 
 Defined cases: null, empty and wordless texts have the fingerprint of no bits.
 Equal texts have equal fingerprints.  Documents with a null id come last, those
@@ -29,7 +34,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._frames import RID, documents, mapped, with_rid, written
@@ -37,7 +42,8 @@ from ._words import U, mix, word_bounds, word_hashes
 
 WORDS64 = 4
 BITS = 64 * WORDS64
-SPARE = 2
+RADIUS = 3
+PAIRS = 64
 _TERMS = 1 << 15
 _SALTS = [U(0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1) for k in range(WORDS64)]
 
@@ -145,22 +151,88 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     return rows.filter("kind = 0").unionByName(met).drop("kind", "part", "text")
 
 
-def near(fps: DataFrame, radius: int, queries: DataFrame | None = None) -> DataFrame:
-    """(a, b, apart): all pairs of different fingerprints (hex) in fps within radius; a from queries where given."""
-    size = BITS // (radius + SPARE)
-    cuts = [(k * size, BITS if k == radius + SPARE - 1 else (k + 1) * size) for k in range(radius + SPARE)]
+_DIGITS = BITS // 4
+
+
+def _cuts(n: int, parts: int) -> list[tuple[int, int]]:
+    """(first digit from 1, digits) of n digits cut into parts."""
+    ends = [n * k // parts for k in range(parts + 1)]
+    return [(i + 1, j - i) for i, j in zip(ends, ends[1:])]
+
+
+def _tables(df: DataFrame, radius: int, spare: int) -> DataFrame:
+    """Every row of df (fp: hex, and others) in each permuted table t, with k: a hash of the blocks in front, and rest: the digits behind."""
+    cuts = _cuts(_DIGITS, radius + spare)
+    rows = []
+    for t, chosen in enumerate(itertools.combinations(range(len(cuts)), spare)):
+        front, rest = ([F.substring("fp", *cuts[k]) for k in range(len(cuts)) if (k in chosen) == there] for there in (True, False))
+        rows.append(F.struct(F.lit(t).alias("t"), F.xxhash64(*front).alias("k"), F.unhex(F.concat(*front, *rest)).alias("bits")))
+    return df.select(*(c for c in df.columns if c != "fp"), F.explode(F.array(*rows)).alias("x")).select(*(c for c in df.columns if c != "fp"), "x.*")
+
+
+def _plain(radius: int, spare: int):
+    """The fingerprint (hex) of a row's bits in the order of its table t."""
+    cuts = _cuts(_DIGITS, radius + spare)
+    h, out = F.lower(F.hex("bits")), None
+    for t, chosen in enumerate(itertools.combinations(range(len(cuts)), spare)):
+        at, place = 1, {}
+        for k in [*chosen, *(k for k in range(len(cuts)) if k not in chosen)]:
+            place[k] = F.substring(h, at, cuts[k][1])
+            at += cuts[k][1]
+        fp = F.concat(*(place[k] for k in sorted(place)))
+        out = F.when(F.col("t") == t, fp) if out is None else out.when(F.col("t") == t, fp)
+    return out
+
+
+def _apart(a: str, b: str):
+    """Bits that differ between two binaries of ``BITS``."""
+    part = [[F.conv(F.hex(F.substring(x, 1 + 8 * k, 8)), 16, -10).cast("long") for k in range(WORDS64)] for x in (a, b)]
+    return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(*part)), F.lit(0))
+
+
+def neighbours(fps: DataFrame, radius: int, queries: DataFrame, spare: int = 1, pairs: int = PAIRS) -> DataFrame:
+    """(a, b, n, apart): every fp of ``queries`` (hex) with every other one of fps (hex, n) within radius."""
+    at = ["t", "k"]
+    index = _tables(fps.select("fp", "n"), radius, spare).withColumn("many", F.count(F.lit(1)).over(Window.partitionBy(*at)))
+    asked = _tables(queries.select("fp").distinct(), radius, spare).withColumnRenamed("bits", "own")
+    few = index.filter(F.col("many") <= pairs).join(asked, at).select(*at, "own", "bits", "n")
+    hot = index.filter(F.col("many") > pairs)
+    width = _cuts(_DIGITS, radius + spare)
+    smallest = sum(sorted(n for _, n in width)[:spare])  # digits that are in front in every table
+    behind = _cuts(_DIGITS - smallest, radius + 1)
+
+    def cut(df: DataFrame, name: str) -> DataFrame:
+        h = F.substring(F.hex(name), smallest + 1, _DIGITS)
+        return df.withColumn("y", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.substring(h, *c).alias("v")) for i, c in enumerate(behind)]))).select("*", "y.*").drop("y", "many")
+
+    keys = hot.select(*at).distinct()
+    more = cut(hot, "bits").join(cut(asked.join(keys, at, "left_semi"), "own"), [*at, "i", "v"]).select(*at, "own", "bits", "n")
+    both = few.unionByName(more).withColumn("apart", _apart("own", "bits")).filter((F.col("apart") <= radius) & (F.col("apart") > 0))
+    a = both.select(F.col("own").alias("bits"), "t", F.col("bits").alias("other"), "n", "apart").withColumn("a", _plain(radius, spare))
+    b = a.select("a", "t", F.col("other").alias("bits"), "n", "apart").withColumn("b", _plain(radius, spare))
+    return b.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("apart").alias("apart"))
+
+
+def near(fps: DataFrame, radius: int, queries: DataFrame | None = None, spare: int = 2, pairs: int = PAIRS) -> DataFrame:
+    """(a, b, apart): all pairs of different fingerprints (hex) in fps within radius; a from queries where given, else a < b."""
+    index = fps.select("fp").distinct().withColumn("n", F.lit(1).cast("long"))
+    out = neighbours(index, radius, fps if queries is None else queries, spare, pairs).select("a", "b", "apart")
+    return out.filter("a < b") if queries is None else out
+
 
-    def tables(df: DataFrame, name: str) -> DataFrame:
-        bits = F.concat(*[F.lpad(F.conv(F.substring("fp", 1 + 8 * k, 8), 16, 2), 32, "0") for k in range(BITS // 32)])
-        df = df.select("fp").distinct().select(F.col("fp").alias(name), bits.alias("bits"))
-        keys = [F.struct(F.lit(t).alias("t"), F.xxhash64(*[F.substring("bits", cuts[k][0] + 1, cuts[k][1] - cuts[k][0]) for k in chosen]).alias("k")) for t, chosen in enumerate(itertools.combinations(range(len(cuts)), SPARE))]
-        return df.select(name, F.explode(F.array(*keys)).alias("key")).select(name, "key.*")
+def with_links(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """docs (doc_id, fingerprint) with n_near (long): how many other documents' fingerprints lie within radius.
 
-    apart = sum(F.bit_count(F.conv(F.substring("a", 1 + 8 * k, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("b", 1 + 8 * k, 8), 16, 10).cast("long"))) for k in range(BITS // 32))
-    both = tables(fps if queries is None else queries, "a").join(tables(fps, "b"), ["t", "k"])
-    both = both.filter(F.col("a") < F.col("b")) if queries is None else both.filter(F.col("a") != F.col("b"))
-    return both.withColumn("apart", apart).filter(F.col("apart") <= radius).select("a", "b", "apart").distinct()
+    Asked for ids divisible by 100, against all documents; null for others."""
+    asked = F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))
+    fps = docs.groupBy(F.col("fingerprint").alias("fp")).agg(F.count(F.lit(1)).alias("n"))
+    queries = docs.filter(asked)
+    own = queries.select(F.col("fingerprint").alias("fp")).distinct().join(fps, "fp").select("fp", (F.col("n") - 1).alias("n"))
+    other = neighbours(fps, radius, own).select(F.col("a").alias("fp"), "n")
+    links = own.unionByName(other).groupBy(F.col("fp").alias("fingerprint")).agg(F.sum("n").alias("n_near"))
+    return queries.join(links, "fingerprint").unionByName(docs.filter(~asked).withColumn("n_near", F.lit(None).cast("long")))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_edits(documents(spark, sf_dir)).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    out = with_links(fingerprint_edits(documents(spark, sf_dir)))
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_near")

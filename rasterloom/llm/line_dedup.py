@@ -7,6 +7,8 @@ their lines.  Positions to drop go back to their document, which is reassembled
 from the lines that stay.  Only hashes and positions are exploded, never texts.  Keys
 with over 1 in ``COMMON`` of all lines, so at most that many, are joined by broadcast.
 
+Very long texts: a row holds its lines, 16 bytes for each line's key, and its positions to drop.
+
 Defined cases: null and empty texts have one empty line.  Empty keys never count.
 Rows equal in id and text are one document, each gets the same result; rows that
 share only the id, or have no id, are documents of their own.  Extra columns stay;

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 from rasterloom.llm import fingerprints as P
 
@@ -36,13 +37,63 @@ def test_near_finds_all(spark):
                 x ^= 1 << b
             fps.append(f"{x:0{P.BITS // 4}x}")
     df = spark.createDataFrame([(f,) for f in fps], "fp string")
-    for radius in (1, 3, 6):
+    for radius, spare in ((1, 1), (3, 1), (3, 2), (6, 2)):
         want = {(a, b): (int(a, 16) ^ int(b, 16)).bit_count() for a in set(fps) for b in set(fps) if a < b and (int(a, 16) ^ int(b, 16)).bit_count() <= radius}
-        assert {(x["a"], x["b"]): x["apart"] for x in P.near(df, radius).collect()} == want
+        for pairs in (64, 1):  # all fronts few, all fronts hot
+            assert {(x["a"], x["b"]): x["apart"] for x in P.near(df, radius, spare=spare, pairs=pairs).collect()} == want
     one = df.limit(1)
     assert P.near(df, 6, one).count() == sum(fps[0] in p for p in want)
 
 
+def test_links(spark):
+    """How many documents lie within the radius, against brute force; a third of them exact copies, and hot fronts."""
+    r = random.Random(4)
+    c = r.getrandbits(P.BITS)
+    fps = [f"{c:064x}"] * 40 + [f"{c ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 4))):064x}" for _ in range(120)] + [f"{r.getrandbits(P.BITS):064x}" for _ in range(40)]
+    rows = [(10 * d, f) for d, f in enumerate(fps)] + [(None, fps[0])]
+    got = {x["doc_id"]: x["n_near"] for x in P.with_links(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()}
+    for d, f in rows:
+        want = sum((int(f, 16) ^ int(g, 16)).bit_count() <= P.RADIUS for _, g in rows) - 1
+        assert got[d] == (want if d is not None and d % 100 == 0 else None)
+
+
+def brute_fingerprint(text):
+    """The weighted vote by Python's integers, word by word."""
+    words = [w.encode() for w in re.findall("[^\x20\x09-\x0d]+", text)]
+    big, odd = 1 << 64, 0xD6E8FEB86659FD93
+
+    def mix(x):
+        x = (x ^ x >> 32) * odd % big
+        x = (x ^ x >> 32) * odd % big
+        return x ^ x >> 32
+
+    def name(w):
+        return mix((sum(mix((b + 1) * 0xA24BAED4963EE407 % big) * pow(0x9E3779B97F4A7C15, i, big) for i, b in enumerate(w)) + len(w)) % big)
+
+    h = [name(w) for w in words]
+    terms = [(x, min(len(w) / 8, 1.5) ** 2) for x, w in zip(h, words)] + [(mix((x * 0xC2B2AE3D27D4EB4F + y) % big), 1.0) for x, y in zip(h, h[1:])]
+    out = 0
+    for bit in range(P.BITS):
+        salt = 0x9E3779B97F4A7C15 * (2 * (bit // 64) + 1) % big
+        if sum(w if mix((x + salt) % big) >> bit % 64 & 1 else -w for x, w in terms) > 0:
+            out |= 1 << bit
+    return out.to_bytes(P.BITS // 8, "little")
+
+
+def test_vote():
+    r = random.Random(6)
+    for n in (0, 1, 2, 17, 80):
+        t = " ".join("".join(r.choice("abcdéß日") for _ in range(r.randint(1, 14))) for _ in range(n))
+        assert P.fingerprints_of([t.encode()])[0] == brute_fingerprint(t)
+    assert P.likeness(bytes(32), bytes(32)) == 1.0 and P.likeness(bytes(32), b"\xff" * 32) == 0.0
+
+
+def test_long_text(spark):
+    t = " ".join(f"w{i % 977}" for i in range(200_000))
+    got = P.fingerprint_edits(spark.createDataFrame([(1, t), (2, t + " end"), (3, "x y")], "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["near_next"] > 0.9 for x in got} == {1: True, 2: False, 3: False}
+
+
 def test_odd_tables(spark):
     rows = [(None, "a b c d e", 1), (1, "x", 2), (1, "x", 2), (1, "y y y y", 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, N_CHARS int")
