@@ -1,8 +1,8 @@
 """Operator 8: quality rules by weak supervision, with DataFrame functions alone.
 
 Rules vote against a document (0), abstain (1) or vote for it (2).  How often each
-pattern of votes occurs is counted over all documents that pass the base (at most
-3 ** len(RULES) patterns, so the table that reaches the driver is bounded), and
+pattern of votes occurs is counted over all documents of ``LEAST`` words or more (at
+most 3 ** len(RULES) patterns, so the table that reaches the driver is bounded), and
 expectation-maximisation estimates the share of good documents and how each rule
 votes on good and on bad ones.  A document is kept if it passes the base and its
 posterior probability of being good is at least ``KEEP``.
@@ -42,7 +42,8 @@ ROUNDS = 60
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _MORE = ("n_lines", "n_letters", "n_capitals", "n_marks", "n_plain", "n_ends")
 _TAKEN = (*STATS, *_MORE, "base_failed", "kept", "p_good", "pattern")
-_BASE = "(n_words < 50 or 100 * n_repeat_words > 50 * n_words)"
+LEAST = 50
+_BASE = f"(n_words < {LEAST} or 100 * n_repeat_words > 50 * n_words)"
 #: A word of letters and digits, with quotes or brackets before and usual marks after.
 _PLAIN = r"""^["'(\[«„“‚‘¿¡]*[\p{L}\p{N}][\p{L}\p{M}\p{N}'’-]*[.,;:!?…"')\]»”’]*$"""
 _END = r"""[.!?…。！？]["')\]»”’]*$"""
@@ -121,8 +122,8 @@ def repeat_words(words: Column, hashed: Callable[[Column, Column, Column], Colum
     return _let(words, of)
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """docs with the five base statistics and those that the rules also need."""
+def statistics(docs: DataFrame, repeats: bool = True) -> DataFrame:
+    """docs with the five base statistics and those that the rules also need; repeats: with n_repeat_words, which no rule needs."""
     docs = docs.select(*extras(docs, *_TAKEN))
     text = F.coalesce("text", F.lit(""))
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -132,7 +133,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            repeat_words(w).cast("long").alias("n_repeat_words"),
+            *([repeat_words(w).cast("long").alias("n_repeat_words")] if repeats else []),
             F.size(F.filter(w, lambda x: x.rlike(_PLAIN))).cast("long").alias("n_plain"),
             F.size(F.filter(w, lambda x: x.rlike(_END))).cast("long").alias("n_ends"),
         )
@@ -186,33 +187,34 @@ def fit(counts: dict[int, int], rules: int, rounds: int = ROUNDS) -> tuple[dict[
     return good, share, tables
 
 
-def judge(stats: DataFrame) -> DataFrame:
-    """stats (a table, as it is read twice) with base_failed, p_good and kept."""
+def judge(stats: DataFrame, counted: DataFrame) -> DataFrame:
+    """stats with base_failed, p_good and kept; votes are counted over ``counted``, which has all documents' statistics."""
     spark = stats.sparkSession
-    marked = stats.withColumns({"pattern": pattern(), "base_failed": F.expr(_BASE)})
-    found = marked.groupBy("pattern").agg(F.count_if(~F.col("base_failed")).alias("n")).collect()  # at most 3 ** len(RULES)
+    found = counted.groupBy(pattern().alias("pattern")).agg(F.count_if(F.col("n_words") >= LEAST).alias("n")).collect()  # at most 3 ** len(RULES)
     good, _, _ = fit({r["pattern"]: r["n"] for r in found}, len(RULES))
     rows = ", ".join(f"({c}, {p!r}D)" for c, p in (good or {0: 0.0}).items())
     table = spark.sql(f"select int(c) as pattern, double(p) as p_good from values {rows} as t(c, p)")
-    out = marked.join(F.broadcast(table), "pattern").drop("pattern")
+    out = stats.withColumn("pattern", pattern()).join(F.broadcast(table), "pattern").drop("pattern")
+    out = out.withColumn("base_failed", F.expr(_BASE))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= KEEP))
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with the columns of docs.
 
-    Rows that pass the base are written with their statistics, which are so taken once."""
+    Texts are read twice, the first time for the rules' votes alone: nothing is written in between."""
     names = docs.columns
     low = {x.lower() for x in _TAKEN}
     clash = [c for c in names if c.lower() in low]
     carried = docs.withColumnsRenamed({c: f"__in_{c}" for c in clash})
-    out = judge(written(statistics(carried).filter(f"not {_BASE}"), "quality")).filter("kept")
+    out = judge(statistics(carried), statistics(docs.select("text"), repeats=False)).filter("kept")
     return out.select(*(F.col(f"__in_{c}").alias(c) if c in clash else F.col(c) for c in names))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """docs without text, with the statistics, base_failed, p_good and kept."""
-    return judge(written(statistics(docs).drop("text"), "quality"))
+    stats = written(statistics(docs).drop("text"), "quality")
+    return judge(stats, stats)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
