@@ -3,8 +3,9 @@
 A tag that has a slot adds to it; a new tag takes a free slot; with none free it takes
 the slot whose first depth is farthest (the first of equals) and starts it anew.
 
-Cells of at most four tags, the usual case, are two aggregations with partial sums.
-Only cells with more tags are folded in order of arrival.
+Where no more than four tags are about, which a look at the pixels' tags says, slots
+are two aggregations with partial sums.  Else cells are folded in order of arrival.
+Either way the warp is evaluated once.
 """
 
 from __future__ import annotations
@@ -14,24 +15,29 @@ from pyspark.sql import functions as F
 
 from ..consts import SLOTS, Background, WarpParams
 from .resolve import over
-from .warp import contribution, corners
+from .warp import contribution, corners, place
 
 KEYS = ["frame_id", "dx", "dy"]
 _SUMS = (("lum", "slum"), ("cb", "scb"), ("cr", "scr"), ("w", "sw"))
 _SLOT = "struct<tag:smallint,z:int,slum:bigint,scb:bigint,scr:bigint,sw:bigint>"
 
 
-def slots(frags: DataFrame, params: WarpParams, order: list[str] | None = None) -> DataFrame:
-    """(frame_id, dx, dy, slots): occupied slots by first use. order: columns of arrival (default layer if there, py, px, sy, sx)."""
+def tag_count(pixels: DataFrame) -> int:
+    """How many different tags pixels have, counted up to one over the slots; a scan of one column."""
+    return pixels.select("tag").distinct().limit(SLOTS + 1).count() if "tag" in pixels.columns else 1
+
+
+def slots(frags: DataFrame, params: WarpParams, order: list[str] | None = None, tags: int | None = None) -> DataFrame:
+    """(frame_id, dx, dy, slots): occupied slots. order: columns of arrival (default layer if there, py, px, sy, sx); tags: how many there are, if known."""
     order = order or [c for c in ("layer", "py", "px", "sy", "sx") if c in frags.columns]
     c = corners(frags, params).withColumn("seq", F.struct(*order))
-    c = c.selectExpr(*KEYS, "tag", "z", "seq", *(f"{contribution(a)} as {b}" for a, b in _SUMS))
+    c = place(c.selectExpr("frame_id", "cell", "tag", "z", "seq", *(f"{contribution(a)} as {b}" for a, b in _SUMS)), params)
+    if tags is None or tags > SLOTS:
+        return fold(c)
     each = c.groupBy(*KEYS, "tag").agg(F.min_by("z", "seq").alias("z"), F.min("seq").alias("seq"), *(F.sum(b).alias(b) for _, b in _SUMS))
     slot = F.struct("seq", F.struct("tag", "z", *(b for _, b in _SUMS)).alias("s"))
-    cells = each.groupBy(*KEYS).agg(F.array_sort(F.collect_list(slot)).alias("all"))  # a tag is a byte: 256 at most
-    few = cells.filter(F.size("all") <= SLOTS).selectExpr(*KEYS, "transform(all, q -> q.s) as slots")
-    many = cells.filter(F.size("all") > SLOTS).select(*KEYS)
-    return few.unionByName(fold(c.join(many, KEYS, "left_semi")))
+    cells = each.groupBy(*KEYS).agg(F.array_sort(F.collect_list(slot)).alias("all"))
+    return cells.selectExpr(*KEYS, "transform(all, q -> q.s) as slots")
 
 
 def fold(contributions: DataFrame) -> DataFrame:
@@ -61,11 +67,10 @@ def resolve(cells: DataFrame, mode: str, background: Background = Background())
     return df.selectExpr(*KEYS, *(f"cast(c.{c} as int) as {c}" for c in parts))
 
 
-def composite_kbuffer(frags: DataFrame, frames: DataFrame, params: WarpParams) -> DataFrame:
+def composite_kbuffer(frags: DataFrame, frames: DataFrame, params: WarpParams, tags: int | None = None) -> DataFrame:
     """Every destination cell of every frame, resolved in ``params.kbuffer`` mode."""
-    got = resolve(slots(frags, params), params.kbuffer, params.background)
-    cells = frames.selectExpr("frame_id", f"explode(sequence(0, {params.width * params.height - 1})) as i")
-    grid = cells.selectExpr("frame_id", f"cast(i % {params.width} as int) as dx", f"cast(i div {params.width} as int) as dy")
+    got = resolve(slots(frags, params, tags=tags), params.kbuffer, params.background)
+    grid = place(frames.selectExpr("frame_id", f"explode(sequence(0, {params.width * params.height - 1})) as cell"), params)
     b = params.background
     out = grid.join(got, KEYS, "left")
     return out.selectExpr(*KEYS, f"coalesce(lum, {b.lum}) as lum", f"coalesce(cb, {b.cb}) as cb", f"coalesce(cr, {b.cr}) as cr")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +83,23 @@ def morph(start: DataFrame, end: DataFrame, t: float) -> DataFrame:
     return both.selectExpr("row", "col", *(f"a.{c} * {u!r}D + b.{c} * {float(t)!r}D as {c}" for c in "xyz"))
 
 
+def quantised(lattice: DataFrame, bits: int = 20) -> DataFrame:
+    """The lattice with every coordinate rounded to a multiple of 2 ** -bits."""
+    return lattice.selectExpr("row", "col", *(f"round({c} * {float(1 << bits)!r}D) / {float(1 << bits)!r}D as {c}" for c in "xyz"))
+
+
+def points(lattice: DataFrame) -> np.ndarray:
+    """[x y z, row, col] of a lattice on the driver: 129 x 129 points, whatever the frames."""
+    got = lattice.select("row", "col", "x", "y", "z").limit((N + 1) ** 2 + 1).toArrow()
+    if got.num_rows != (N + 1) ** 2:
+        raise ValueError(f"a lattice has {N + 1} x {N + 1} points")
+    out = np.zeros((3, N + 1, N + 1))
+    row, col = (np.asarray(got.column(c)) for c in ("row", "col"))
+    for k, c in enumerate("xyz"):
+        out[k, row, col] = np.asarray(got.column(c))
+    return out
+
+
 def stencils(lattice: DataFrame) -> DataFrame:
     """(ci, cj, lx, ly, lz): for each of 128 x 128 cells the 16 points around it, edges repeated.
 
@@ -98,7 +116,8 @@ def stencils(lattice: DataFrame) -> DataFrame:
 
 def _small_methods(spark: SparkSession) -> None:
     """The JVM doesn't compile methods over 8000 bytes of bytecode, and the spline's sums make such methods in
-    whole-stage code.  With this limit Spark evaluates them by split functions: three times as fast here."""
+    whole-stage code.  With this limit Spark evaluates them by split functions: three times as fast here.
+    The setting stays for the session; it changes the speed of other queries with very large methods, not results."""
     key = "spark.sql.codegen.hugeMethodLimit"
     if int(spark.conf.get(key)) > HUGE:
         spark.conf.set(key, HUGE)

@@ -6,26 +6,33 @@ pixels --stencil join, Jacobian--> sub-samples --on-raster filter--> fragments
 The stencil table has a fixed size and is broadcast; the only exchange of a plain warp
 is that of the aggregation, with partial sums before it.  Sums are integers, so results
 are the same for any partitioning.
+
+``swept`` does the same steps, up to partial sums, for one sample a pixel on Arrow
+batches: the same operations in the same order on vectors, so the same bits, at about
+half the time of the plan of SQL expressions, whose code the JVM finds too large.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..consts import SUBPIXEL, Supersample, WarpParams
+from ..consts import LATTICE_MAX, SAMPLE_MAX, SUBPIXEL, WEIGHT_UNITY, Supersample, WarpParams
 from ..functions import spline
 from ..functions.fixed import rounded, weight
 from . import lattice as L
 
 FRAGMENT = ["frame_id", "tx", "ty", "qx", "qy", "lum", "cb", "cr", "w", "z", "tag"]
 SEQ = ["py", "px", "sy", "sx"]
+_SUMS = (("lum", "slum"), ("cb", "scb"), ("cr", "scr"), ("w", "sw"))
 
 
 def _pixel_jacobian(df: DataFrame, width: int, height: int) -> DataFrame:
     """x and y partials for one pixel instead of one lattice cell; z partials aren't scaled."""
-    su = f"{128.0 / (width - 1)!r}D" if width > 1 else "0D"
-    sv = f"{128.0 / (height - 1)!r}D" if height > 1 else "0D"
+    su = f"{float(LATTICE_MAX) / (width - 1)!r}D" if width > 1 else "0D"
+    sv = f"{float(LATTICE_MAX) / (height - 1)!r}D" if height > 1 else "0D"
     return df.withColumns({c: F.expr(f"{c} * {su if c.endswith('du') else sv}") for c in ("dxdu", "dxdv", "dydu", "dydv")})
 
 
@@ -45,11 +52,16 @@ def _neighbourhoods(pixels: DataFrame) -> DataFrame:
 def fragments(pixels: DataFrame, stencil: DataFrame, width: int, height: int, params: WarpParams, rows: tuple[int, int] | None = None) -> DataFrame:
     """Fragments of every sub-sample that lands on the destination, with the order they arise in (py, px, sy, sx).
 
-    rows: only source rows in [start, end); positions don't change."""
-    if rows is not None:
-        pixels = pixels.filter((F.col("py") >= rows[0]) & (F.col("py") < rows[1]))
+    Columns ``tag`` and ``depth`` of pixels, where there, stand for the warp's tag and the lattice's z.
+    rows: only source rows in [start, end); positions and samples between rows don't change, so bands add up to the whole."""
     s, t = params.supersample, params.tile
-    source = pixels if s.most <= 1 else _neighbourhoods(pixels)
+    source = pixels
+    if s.most > 1:
+        if rows is not None:  # samples at a band's edge lie between its rows and those beside it
+            source = source.filter((F.col("py") >= rows[0] - 1) & (F.col("py") <= rows[1]))
+        source = _neighbourhoods(source)
+    if rows is not None:
+        source = source.filter((F.col("py") >= rows[0]) & (F.col("py") < rows[1]))
     at = L.located(source, stencil, spline.lattice_coordinate("px", width), spline.lattice_coordinate("py", height))
     if s.most <= 1:  # no pixel is magnified: the centre is the only sample
         one = L.evaluated(at)
@@ -84,7 +96,9 @@ def _bilinear(df: DataFrame, width: int, height: int) -> DataFrame:
 def _landed(df: DataFrame, params: WarpParams, t: int) -> DataFrame:
     on = f"x >= 0D and x < {float(params.width)}D and y >= 0D and y < {float(params.height)}D"
     k = L.density(L.DETERMINANT, params.max_k)
-    df = df.selectExpr("*", f"{weight(f'{k} * (1.0D / cast(n * n as double))')} as w", f"{rounded('z')} as zq", "cast(floor(x) as int) as bx", "cast(floor(y) as int) as by")
+    depth = "cast(depth as int)" if "depth" in df.columns else rounded("z")
+    tag = "tag" if "tag" in df.columns else str(params.tag)
+    df = df.selectExpr("*", f"{weight(f'{k} * (1.0D / cast(n * n as double))')} as w", f"{depth} as zq", "cast(floor(x) as int) as bx", "cast(floor(y) as int) as by")
     df = df.selectExpr("*", *(f"cast(b{a} div {t} as int) as t{a}" for a in "xy"), *(f"b{a} % {t} as l{a}" for a in "xy"), "x - cast(bx as double) as fx", "y - cast(by as double) as fy")
     tiles = {"x": -(-params.width // t), "y": -(-params.height // t)}
     reach = {a: f"(l{a} = {t - 1} and t{a} + 1 < {tiles[a]})" for a in "xy"}
@@ -95,18 +109,24 @@ def _landed(df: DataFrame, params: WarpParams, t: int) -> DataFrame:
     place = {a: rounded(f"(cast(l{a} as double) + f{a} - cast(c{a} * {t} as double) + 1.0D) * {float(SUBPIXEL)}D") for a in "xy"}
     return df.selectExpr(
         "frame_id", "tx + cx as tx", "ty + cy as ty", f"{place['x']} as qx", f"{place['y']} as qy",
-        "lum", "cb", "cr", "w", "zq as z", f"cast({params.tag} as smallint) as tag", *SEQ, "cx + cy > 0 as replica",
+        "lum", "cb", "cr", "w", "zq as z", f"cast({tag} as smallint) as tag", *SEQ, "cx + cy > 0 as replica",
     )
 
 
 def corners(frags: DataFrame, params: WarpParams) -> DataFrame:
-    """Up to four weighted contributions of each fragment copy, inside its own tile and the destination; raw is over 0."""
+    """Up to four weighted contributions of each fragment copy, inside its own tile and the destination: cell (dy * width + dx) and raw (over 0).
+
+    Corners that don't count have cell -1 until a filter, which the generator keeps from moving down."""
     t = params.tile
     df = frags.selectExpr("*", "(qx - 16) >> 4 as bx", "(qx - 16) & 15 as fx", "(qy - 16) >> 4 as by", "(qy - 16) & 15 as fy")
-    four = ", ".join(f"struct({i} as ox, {j} as oy, ({'fx' if i else '16 - fx'}) * ({'fy' if j else '16 - fy'}) as raw)" for j in (0, 1) for i in (0, 1))
-    inside = f"c.raw > 0 and bx + c.ox between 0 and {t - 1} and by + c.oy between 0 and {t - 1} and tx * {t} + bx + c.ox < {params.width} and ty * {t} + by + c.oy < {params.height}"
-    df = df.selectExpr("*", f"inline(filter(array({four}), c -> {inside}))")
-    return df.selectExpr("*", f"tx * {t} + bx + ox as dx", f"ty * {t} + by + oy as dy")
+    four = []
+    for j in (0, 1):
+        for i in (0, 1):
+            raw = f"({'fx' if i else '(16 - fx)'} * {'fy' if j else '(16 - fy)'})"
+            dx, dy = f"(tx * {t} + bx + {i})", f"(ty * {t} + by + {j})"
+            inside = f"{raw} > 0 and bx + {i} between 0 and {t - 1} and by + {j} between 0 and {t - 1} and {dx} < {params.width} and {dy} < {params.height}"
+            four.append(f"struct(case when {inside} then {dy} * {params.width} + {dx} else -1 end as cell, {raw} as raw)")
+    return df.selectExpr("*", f"inline(array({', '.join(four)}))").filter("cell >= 0")
 
 
 def contribution(c: str) -> str:
@@ -114,21 +134,26 @@ def contribution(c: str) -> str:
     return f"((cast({c} as bigint) * w * raw) >> 8)" if c != "w" else "((cast(w as bigint) * raw) >> 8)"
 
 
-def splat(frags: DataFrame, params: WarpParams) -> DataFrame:
-    """Cells (frame_id, dx, dy, sy, scb, scr, w): colour and weight sums."""
-    c = corners(frags, params)
-    return c.groupBy("frame_id", "dx", "dy").agg(*(F.sum(F.expr(contribution(a))).alias(b) for a, b in (("lum", "slum"), ("cb", "scb"), ("cr", "scr"), ("w", "sw"))))
+def place(cells: DataFrame, params: WarpParams) -> DataFrame:
+    """cells with dx and dy instead of their cell."""
+    rest = [c for c in cells.columns if c not in ("frame_id", "cell")]
+    return cells.selectExpr("frame_id", f"cast(cell % {params.width} as int) as dx", f"cast(cell div {params.width} as int) as dy", *rest)
+
+
+def _summed(parts: DataFrame, params: WarpParams, frames: DataFrame | None) -> DataFrame:
+    """Cells of partial sums (frame_id, cell, slum, scb, scr, sw); frames: with a row for every destination cell of these.
 
+    Empty cells go into the same aggregation, so no join with the grid is needed."""
+    if frames is not None:
+        grid = frames.selectExpr("frame_id", f"explode(sequence(0, {params.width * params.height - 1})) as cell")
+        parts = parts.unionByName(grid.selectExpr("*", *(f"0L as {b}" for _, b in _SUMS)))
+    return place(parts.groupBy("frame_id", "cell").agg(*(F.sum(b).alias(b) for _, b in _SUMS)), params)
 
-def splat_over_grid(frags: DataFrame, frames: DataFrame, params: WarpParams) -> DataFrame:
-    """Like ``splat`` with a row for every destination cell of every frame: empty cells go
-    into the same aggregation, so no join with the grid is needed."""
-    c = corners(frags, params).selectExpr("frame_id", "dx", "dy", *(f"{contribution(a)} as {b}" for a, b in (("lum", "slum"), ("cb", "scb"), ("cr", "scr"), ("w", "sw"))))
-    cells = frames.selectExpr("frame_id", f"explode(sequence(0, {params.width * params.height - 1})) as i")
-    zero = ["cast(0 as bigint) as " + x for x in ("slum", "scb", "scr", "sw")]
-    grid = cells.selectExpr("frame_id", f"cast(i % {params.width} as int) as dx", f"cast(i div {params.width} as int) as dy", *zero)
-    both = c.selectExpr("frame_id", "cast(dx as int) as dx", "cast(dy as int) as dy", "slum", "scb", "scr", "sw").unionByName(grid)
-    return both.groupBy("frame_id", "dx", "dy").agg(*(F.sum(x).alias(x) for x in ("slum", "scb", "scr", "sw")))
+
+def splat(frags: DataFrame, params: WarpParams, frames: DataFrame | None = None) -> DataFrame:
+    """Cells (frame_id, dx, dy, slum, scb, scr, sw): colour and weight sums; frames: with a row for every destination cell of these."""
+    c = corners(frags, params).selectExpr("frame_id", "cell", *(f"{contribution(a)} as {b}" for a, b in _SUMS))
+    return _summed(c, params, frames)
 
 
 def bin_stats(pixels: DataFrame, stencil: DataFrame, width: int, height: int, params: WarpParams) -> DataFrame:
@@ -140,3 +165,108 @@ def bin_stats(pixels: DataFrame, stencil: DataFrame, width: int, height: int, pa
     kept = fragments(pixels, stencil, width, height, params).agg(F.count_if(~F.col("replica")).alias("primary_fragments"), F.count_if(F.col("replica")).alias("replica_fragments"))
     both = samples.join(kept)  # one row each
     return both.selectExpr("source_samples", "primary_fragments", "replica_fragments", "source_samples - primary_fragments as dropped_off_raster")
+
+
+# ---- the same on vectors -------------------------------------------------------
+
+
+def _axis(p: np.ndarray, size: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(cell, weights of the four neighbours, their derivatives) along one axis, as ``spline`` has them."""
+    u = p * float(LATTICE_MAX) / float(size - 1) if size > 1 else np.zeros(len(p))
+    u = np.clip(u, 0.0, float(LATTICE_MAX))
+    cell = np.minimum(np.floor(u).astype(np.int64), LATTICE_MAX - 1)
+    t = u - cell
+    t2 = t * t
+    t3 = t2 * t
+    value = [-0.5 * t3 + t2 - 0.5 * t, 1.5 * t3 - 2.5 * t2 + 1.0, -1.5 * t3 + 2.0 * t2 + 0.5 * t, 0.5 * t3 - 0.5 * t2]
+    slope = [-1.5 * t2 + 2.0 * t - 0.5, 4.5 * t2 - 5.0 * t, -4.5 * t2 + 4.0 * t + 0.5, 1.5 * t2 - t]
+    return cell, value, slope
+
+
+def _half_up(x: np.ndarray) -> np.ndarray:
+    """x clamped to 0..65535 and rounded half up."""
+    x = np.clip(x, 0.0, float(SAMPLE_MAX))
+    low = np.floor(x)
+    return low.astype(np.int64) + (x - low >= 0.5)
+
+
+def _surface(points: np.ndarray, px: np.ndarray, py: np.ndarray, width: int, height: int):
+    """(x, y, determinant for one pixel) at source pixels; points: x and y of the lattice, edges repeated by one before and two after."""
+    ci, wu, du = _axis(px, width)
+    cj, wv, dv = _axis(py, height)
+    sums = [[0.0] * 3 for _ in points]
+    for a in range(4):
+        for b in range(4):
+            weights = wv[a] * wu[b], wv[a] * du[b], dv[a] * wu[b]
+            for c, plane in enumerate(points):
+                p = plane[cj + a, ci + b]
+                for k, w in enumerate(weights):
+                    sums[c][k] = sums[c][k] + w * p
+    su = float(LATTICE_MAX) / (width - 1) if width > 1 else 0.0
+    sv = float(LATTICE_MAX) / (height - 1) if height > 1 else 0.0
+    (x, xu, xv), (y, yu, yv) = sums
+    return x, y, (xu * su) * (yv * sv) - (xv * sv) * (yu * su)
+
+
+def _contributions(x, y, det, colours, params: WarpParams):
+    """(index of the pixel, cell, the four contributions) of all corners that count."""
+    t = params.tile
+    on = np.flatnonzero((x >= 0) & (x < params.width) & (y >= 0) & (y < params.height))
+    x, y = x[on], y[on]
+    with np.errstate(divide="ignore"):
+        w = _half_up(np.minimum(1.0 / np.abs(det[on]), params.max_k) * float(WEIGHT_UNITY))
+    spots = {}
+    for name, p, size in (("x", x, params.width), ("y", y, params.height)):
+        base = np.floor(p).astype(np.int64)
+        tile, inside, part = base // t, base % t, p - base
+        for copy in (0, 1):
+            q = _half_up((inside + part - copy * t + 1.0) * float(SUBPIXEL)) - SUBPIXEL
+            there = (inside == t - 1) & (tile + 1 < -(-size // t)) if copy else None
+            for corner in (0, 1):
+                at, far = (q >> 4) + corner, q & 15
+                near = far if corner else SUBPIXEL - far
+                d = (tile + copy) * t + at
+                ok = (near > 0) & (at >= 0) & (at < t) & (d < size)
+                spots[name, copy, corner] = (ok if there is None else ok & there), d, near
+    found = []
+    for cy, j, cx, i in np.ndindex(2, 2, 2, 2):
+        (okx, dx, nx), (oky, dy, ny) = spots["x", cx, i], spots["y", cy, j]
+        k = np.flatnonzero(okx & oky)
+        if len(k):
+            found.append((k, dy[k] * params.width + dx[k], nx[k] * ny[k]))
+    if not found:
+        return on[:0], on[:0], [on[:0]] * 4
+    k, cell, raw = (np.concatenate(c) for c in zip(*found))
+    weighed = w[k] * raw
+    return on[k], cell, [(c[on[k]] * weighed) >> 8 for c in colours] + [weighed >> 8]
+
+
+def swept(pixels: DataFrame, control: DataFrame, width: int, height: int, params: WarpParams) -> DataFrame:
+    """Partial sums (frame_id, cell, slum, scb, scr, sw) of one sample for each pixel, added up within Arrow batches."""
+    points = np.pad(L.points(control)[:2], ((0, 0), (1, 2), (1, 2)), mode="edge")
+    cells = params.width * params.height
+
+    def run(batches):
+        for b in batches:
+            frame, px, py, *colours = (np.asarray(b.column(c)).astype(np.int64) for c in ("frame_id", "px", "py", "lum", "cb", "cr"))
+            at, cell, parts = _contributions(*_surface(points, px.astype(np.float64), py.astype(np.float64), width, height), colours, params)
+            if not len(at):
+                continue
+            frames, of = np.unique(frame, return_inverse=True)
+            key = of[at] * cells + cell
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            sums = [np.add.reduceat(p[order], head) for p in parts]
+            key = key[head]
+            yield pa.RecordBatch.from_arrays([pa.array(frames[key // cells]), pa.array((key % cells).astype(np.int32)), *map(pa.array, sums)], ["frame_id", "cell", *(s for _, s in _SUMS)])
+
+    kinds = "frame_id long, cell int, " + ", ".join(f"{s} long" for _, s in _SUMS)
+    return pixels.select("frame_id", "px", "py", "lum", "cb", "cr").mapInArrow(run, kinds)
+
+
+def cells(pixels: DataFrame, control: DataFrame, width: int, height: int, params: WarpParams, frames: DataFrame | None = None) -> DataFrame:
+    """Colour and weight sums of a warp by the lattice ``control``; frames: with a row for every destination cell of these."""
+    if params.supersample.most <= 1:
+        return _summed(swept(pixels, control, width, height, params), params, frames)
+    return splat(fragments(pixels, L.stencils(control), width, height, params), params, frames)

@@ -14,13 +14,16 @@ def d(x: float) -> str:
 
 
 PX = """
-ht as (select (count(*) // 100)::int as h from events),
+ht as (select ((count(*) + 99) // 100)::int as h from events),
 px as (
   select (event_id % 100)::int as px, (event_id // 100)::int as py,
          ((4 + floor(value * 100)::bigint % 1016) * 64)::int as lum,
          ((4 + (user_id * 7) % 1016) * 64)::int as cb,
          ((4 + (event_id * 31) % 1016) * 64)::int as cr
-  from events, ht where event_id // 100 < h
+  from events
+  union all
+  select (i % 100)::int, (i // 100)::int, 4096, 32768, 32768
+  from range((select count(*) from events), (select (count(*) + 99) // 100 * 100 from events)) t(i)
 )"""
 GRID = "grid as (select (i // 129)::int as r, (i % 129)::int as c, (i % 129)::double / 128 as s, (i // 129)::double / 128 as t from range(16641) g(i))"
 
@@ -45,6 +48,10 @@ def page_turn(width: str, height: str, radius: str, progress: float, cx: str, cy
       {cy} + (t - '0.5'::DOUBLE) * {height} as y, case when s * {width} <= {flat} then 0::double else {radius} * (1 - cos({bend})) end as z from grid, ht"""
 
 
+def quantised(lat: str) -> str:
+    return f"select r, c, round(x * 1048576::double) / 1048576::double as x, round(y * 1048576::double) / 1048576::double as y, round(z * 1048576::double) / 1048576::double as z from ({lat})"
+
+
 def _cells(lat: str, name: str = "") -> str:
     """The 16 points around each cell, in rows."""
     return f"""lat{name} as ({lat}),
@@ -165,7 +172,7 @@ select dx, dy, {_composite()}, coalesce(w, 0)::bigint as w from dest left join a
 HALF = _warp(affine(0.5, 0.5), "50", "(select greatest(1, h // 2) from ht)", False)
 
 
-def _curved(lat: str) -> str:
+def _projected(lat: str) -> str:
     return f"""with {PX}, {GRID}, {_cells(lat)}, {_surface('px', 'px::double', 'py::double', 'hit')}
 select px, py, round(sx, 6) + 0 as x, round(sy, 6) + 0 as y, round(sz, 6) + 0 as z from hit"""
 
@@ -185,6 +192,8 @@ JACOBIAN = f"""with {PX}, {GRID}, {_cells(PAGE)}, {_surface('px', 'px::double',
 e as (select *, rxu * ryv - rxv * ryu as det, rxu * rxu + rxv * rxv as p, ryu * ryu + ryv * ryv as q, rxu * ryu + rxv * ryv as o from hit),
 f as (select *, sqrt((p - q) * (p - q) / 4 + o * o) as f from e)
 select px, py, round(det, 4) + 0 as det, round(least(1::double / abs(det), 1000::double), 4) + 0 as k, round(sqrt(greatest((p + q) / 2 + f, 0)), 4) + 0 as major, round(sqrt(greatest((p + q) / 2 - f, 0)), 4) + 0 as minor,
+  case when f > 0 and sqrt(greatest((p + q) / 2 + f, 0)) - sqrt(greatest((p + q) / 2 - f, 0)) > {d(0.001)} then round(cos(atan2(2 * o, p - q)), 4) + 0 else 0 end as axis_cos,
+  case when f > 0 and sqrt(greatest((p + q) / 2 + f, 0)) - sqrt(greatest((p + q) / 2 - f, 0)) > {d(0.001)} then round(sin(atan2(2 * o, p - q)), 4) + 0 else 0 end as axis_sin,
   round(ryv * rzu - rzv * ryu, 4) + 0 as nx, round(rzv * rxu - rxv * rzu, 4) + 0 as ny, round(rxv * ryu - ryv * rxu, 4) + 0 as nz from f"""
 
 CODE = "least(greatest(({} + 32) >> 6, 4), 1019)"
@@ -292,6 +301,34 @@ def _blend() -> str:
     return f"{sql} select dx, dy, l5::int as lum, b5::int as cb, r5::int as cr from u1"
 
 
+def _evicted() -> str:
+    """Contributions of each cell one by one, in order of arrival."""
+    new = "struct_pack(tag := a.tag, z := a.z, l := a.l, b := a.b, r := a.r, w := a.w)"
+    added = "struct_pack(tag := x.tag, z := x.z, l := x.l + a.l, b := x.b + a.b, r := x.r + a.r, w := x.w + a.w)"
+    farthest = "list_position(list_transform(s, lambda q: q.z), list_max(list_transform(s, lambda q: q.z)))"
+    sql = _kslots(7).replace("with ", "with recursive ", 1)
+    return f"""{sql},
+arr as materialized (
+  select dx, dy, row_number() over (partition by dx, dy order by py, px, jy, jx) as n, tag, z, (lum::bigint * w * raw) >> 8 as l, (cb::bigint * w * raw) >> 8 as b, (cr::bigint * w * raw) >> 8 as r, (w * raw) >> 8 as w
+  from hitcell
+),
+run as (
+  select dx, dy, n, [{new}] as s from arr a where n = 1
+  union all
+  select a.dx, a.dy, a.n,
+    case when list_contains(list_transform(s, lambda q: q.tag), a.tag) then list_transform(s, lambda x: case when x.tag = a.tag then {added} else x end)
+         when len(s) < 4 then list_append(s, {new})
+         else list_transform(s, lambda x, i: case when i = {farthest} then {new} else x end) end
+  from run join arr a on a.dx = run.dx and a.dy = run.dy and a.n = run.n + 1
+),
+held as (select dx, dy, unnest(arg_max(s, n)) as e from run group by dx, dy),
+one as (select dx, dy, e.l as l, e.b as b, e.r as r, e.w as w, row_number() over (partition by dx, dy order by e.z, e.tag) as n from held)
+select dx, dy, {_composite()} from one where n = 1"""
+
+
+KFRAME = f"""select dx, dy, coalesce(lum, 4096)::int as lum, coalesce(cb, 32768)::int as cb, coalesce(cr, 32768)::int as cr
+from (select x::int as dx, y::int as dy from range(100) a(x), range((select (count(*) + 99) // 100 from events)) b(y)) g left join ({_blend()}) k using (dx, dy)"""
+
 CAPTURE = "cap as (select user_id as source_id, event_id as frame_no, event_type <> 'click' as has_signal, event_id as at from events), kept as (select * from (select *, lag(has_signal, 1, false) over (partition by source_id order by frame_no) as before from cap) where has_signal and before)"
 RING = """with recursive e as (select user_id as source_id, event_id as seq, case when event_type = 'click' then 'pop' else 'push' end as kind, row_number() over (partition by user_id order by event_id) as n from events),
 run as (
@@ -301,10 +338,7 @@ run as (
   from run join e on e.source_id = run.source_id and e.n = run.n + 1
 )
 select source_id, seq, kind, ok, depth::int as depth from run"""
-REPEAT = f"""with {CAPTURE}, tick as (select s::bigint as source_id, t::bigint as tick, (t * 200)::bigint as "at" from range(20) a(s), range((select greatest(1, count(*) // 200) from events)) b(t)),
-shown as (select t.source_id, t.tick, t."at", max(k.frame_no) as frame_no from tick t left join kept k on k.source_id = t.source_id and k."at" <= t."at" group by all)
-select source_id, tick, "at", frame_no, coalesce(frame_no = lag(frame_no) over (partition by source_id order by tick), false) as repeated from shown"""
-REPEAT_ALL = f"""with {CAPTURE}, tick as (select source_id, t::bigint as tick, (t * 200)::bigint as "at" from (select distinct source_id from cap), range((select greatest(1, count(*) // 200) from events)) b(t)),
+REPEAT = f"""with {CAPTURE}, tick as (select source_id, t::bigint as tick, (t * 200)::bigint as "at" from (select distinct source_id from cap), range((select greatest(1, count(*) // 200) from events)) b(t)),
 shown as (select t.source_id, t.tick, t."at", max(k.frame_no) as frame_no from tick t left join kept k on k.source_id is not distinct from t.source_id and k."at" <= t."at" group by all)
 select source_id, tick, "at", frame_no, coalesce(frame_no = lag(frame_no) over (partition by source_id order by tick), false) as repeated from shown"""
 LATEST = f"with {CAPTURE} select source_id, max(frame_no) as frame_no, arg_max(has_signal, frame_no) as has_signal from cap group by source_id"
@@ -312,14 +346,39 @@ AS_OF = f"""with {CAPTURE}, s as (select user_id as source_id, event_id as at, f
 select cap.source_id, cap.frame_no, s.value from cap asof left join s on cap.source_id = s.source_id and cap.at >= s.at"""
 ROUND_TRIP = f"with {PX} select px as x, py as y, ({CODE.format('lum')} * 64)::int as v from px"
 
+COUNTERS = f"""select source_id, (count(*) filter (where kind = 'push'))::bigint as pushed, (count(*) filter (where kind = 'push' and not ok))::bigint as dropped,
+  (count(*) filter (where kind = 'pop'))::bigint as popped, (count(*) filter (where kind = 'pop' and not ok))::bigint as empty from ({RING}) group by source_id"""
+_KEYS = "['left', 'right', 'up', 'down', 'x', 'X', 'y', 'Y', 'z', 'Z', 'z', 'q', 'other']"
+CONTROLS = f"""with recursive e as (select user_id as source_id, event_id as seq, {_KEYS}[((event_id * 5 + user_id) % 13)::int + 1] as key, row_number() over (partition by user_id order by event_id) as n from events),
+run as (
+  select source_id, n, seq, key, false as over_, 0::double as yaw, 0::double as pitch, 0::double as cx, 0::double as cy, 40::double as radius from (select source_id, 0 as n, 0::bigint as seq, '' as key from e group by source_id)
+  union all
+  select e.source_id, e.n, e.seq, e.key, run.over_ or run.key = 'q',
+    yaw + case e.key when 'left' then {d(-0.05)} when 'right' then {d(0.05)} else 0 end, pitch + case e.key when 'up' then {d(-0.05)} when 'down' then {d(0.05)} else 0 end,
+    cx + case e.key when 'x' then -10 when 'X' then 10 else 0 end, cy + case e.key when 'y' then -10 when 'Y' then 10 else 0 end,
+    case e.key when 'z' then greatest(20, radius - 10) when 'Z' then radius + 10 else radius end
+  from run join e on e.source_id = run.source_id and e.n = run.n + 1
+)
+select source_id, seq, key, round(yaw, 6) + 0 as yaw, round(pitch, 6) + 0 as pitch, round(cx, 6) + 0 as cx, round(cy, 6) + 0 as cy, round(radius, 6) + 0 as radius from run where n > 0 and not over_"""
+GEOMETRY = "select w::int as width, w % 2 = 0 as supported, (w // 2)::int as chroma_width, ((w + 5) // 6)::int as groups, ((w + 5) // 6 * 16)::int as row_bytes, (((w + 5) // 6 * 16 + 127) // 128 * 128)::int as row_bytes_aligned from range(1, 2001) t(w)"
+BLACK_FRAME = "select x::int as x, y::int as y, 4096 as v, case when x % 2 = 0 then 32768 end as cb, case when x % 2 = 0 then 32768 end as cr from range(22) a(x), range(7) b(y)"
+SLANTED = f"with ht as (select 0 as h), {GRID} select r as row, c as col, 2 * s + t as x, t - {d(0.5)} as y, s * t as z from grid"
+
 ORACLE_SQL = {
     "warp_affine_half": HALF,
     "warp_identity": _warp(affine(1.0, 1.0), "100", "(select h from ht)", True),
     "warp_magnify2x": _warp(affine(1.5, 1.25, 3.0, 5.0), "150", "(select h from ht)", True),
-    "warp_cylinder": _curved(CYLINDER),
-    "warp_sphere": _curved(SPHERE),
-    "warp_page_turn": _curved(PAGE),
+    "warp_cylinder": _warp(quantised(CYLINDER), "100", "(select h from ht)", True),
+    "project_cylinder": _projected(CYLINDER),
+    "warp_sphere": _warp(quantised(SPHERE), "100", "(select h from ht)", True),
+    "project_sphere": _projected(SPHERE),
+    "warp_page_turn": _warp(quantised(PAGE), "100", "(select h from ht)", True),
+    "project_page_turn": _projected(PAGE),
+    "row_bands": _warp(affine(1.5, 1.25, 3.0, 5.0), "150", "(select h from ht)", True),
     "lattice_morph": MORPH,
+    "shape_registered": SLANTED,
+    "v210_geometry": GEOMETRY,
+    "black_frame": BLACK_FRAME,
     "lattice_rotate": ROTATE,
     "jacobian_quantities": JACOBIAN,
     "v210_pack": _pack(),
@@ -336,10 +395,20 @@ ORACLE_SQL = {
     "coverage_grey": GREY,
     "kbuffer_opaque": NEAREST,
     "kbuffer_blend": _blend(),
+    "kbuffer_evict": _evicted(),
+    "kbuffer_frame": KFRAME,
+    "capture_stream_counts": f"with {CAPTURE} select source_id, count(*)::bigint as frames, sum(frame_no)::bigint as numbers from kept group by source_id",
+    "consume_stream": "select got, count(*)::bigint as frames, sum(event_id)::bigint as numbers from events, (values ('sink'), ('coverage')) t(got) where event_type <> 'click' group by got",
+    "consumer_counts": "select count(*)::bigint as popped, (count(*) filter (where event_type <> 'purchase' and user_id % 5 <> 0))::bigint as processed, (count(*) filter (where event_type = 'purchase' or user_id % 5 = 0))::bigint as failed from events",
+    "ring_counters": COUNTERS,
+    "playback_results": "select " + ", ".join(f"(count(*) filter (where (event_id * 7 + user_id) % 4 = {i}))::bigint as {r}" for i, r in enumerate(("completed", "late", "dropped", "flushed"))) + " from events",
+    "controls_fold": CONTROLS,
+    "frame_bytes": ROUND_TRIP,
+    "frame_file": ROUND_TRIP,
+    "frames_sink": f"select f::bigint as frame_id, row_no, packed from ({_pack()}) p, range(3) t(f)",
     "capture_gate": f"with {CAPTURE} select source_id, frame_no from kept",
     "ring_drop": RING,
     "stream_latest_repeat": REPEAT,
-    "stream_latest_repeat_all": REPEAT_ALL,
     "latest_frame": LATEST,
     "settings_as_of": AS_OF,
     "frame_round_trip": ROUND_TRIP,

@@ -11,12 +11,14 @@ from ..sources import v210
 
 
 def run_frame(pixels: DataFrame, control: DataFrame, width: int, height: int, params: WarpParams, frames: DataFrame | None = None) -> DataFrame:
-    """(frame_id, dx, dy, lum, cb, cr and, without a k-buffer, the coverage w): pixels warped by the lattice ``control``."""
+    """(frame_id, dx, dy, lum, cb, cr and, without a k-buffer, the coverage w): pixels warped by the lattice ``control``.
+
+    With a k-buffer, columns ``tag`` and ``depth`` of pixels, where there, say what goes to which slot."""
     frames = pixels.select("frame_id").distinct() if frames is None else frames
-    frags = warp.fragments(pixels, lattice.stencils(control), width, height, params)
     if params.kbuffer != "off":
-        return kbuffer.composite_kbuffer(frags, frames, params)
-    return resolve.composite(warp.splat_over_grid(frags, frames, params), params.background)
+        frags = warp.fragments(pixels, lattice.stencils(control), width, height, params)
+        return kbuffer.composite_kbuffer(frags, frames, params, kbuffer.tag_count(pixels))
+    return resolve.composite(warp.cells(pixels, control, width, height, params, frames), params.background)
 
 
 def to_444(luma: DataFrame, chroma422: DataFrame) -> DataFrame:

@@ -7,12 +7,14 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import consts
 from ..consts import Background, Supersample, WarpParams
 from ..functions import spline
 from ..operators import chroma, kbuffer, resolve, warp
 from ..operators import lattice as L
 from ..sources import patterns, v210
 from ..sources.frames import events_frame, planes
+from ..sources.paths import scratch
 from ..streaming import live
 from . import pipeline
 from .oracle import ORACLE_SQL  # noqa: F401
@@ -48,11 +50,23 @@ def warp_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(_warp(spark, sf_dir, L.build(spark, "affine", width=w, height=h), WarpParams(w, h), frame))
 
 
+def _magnified(spark: SparkSession, w: int, h: int) -> tuple[DataFrame, WarpParams]:
+    return L.build(spark, "affine", width=w, height=h, scale_x=1.5, scale_y=1.25, offset_x=3.0, offset_y=5.0), WarpParams(150, h)
+
+
 def warp_magnify2x(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = events_frame(spark, sf_dir)
-    _, w, h = frame
-    control = L.build(spark, "affine", width=w, height=h, scale_x=1.5, scale_y=1.25, offset_x=3.0, offset_y=5.0)
-    return _out(_warp(spark, sf_dir, control, WarpParams(150, h), frame))
+    return _out(_warp(spark, sf_dir, *_magnified(spark, *frame[1:]), frame))
+
+
+def row_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The magnified frame in three bands of source rows, each warped by itself and their cells added up."""
+    pixels, w, h = events_frame(spark, sf_dir)
+    control, params = _magnified(spark, w, h)
+    cuts = [0, h // 3, h // 3 + 1, h]
+    bands = [warp.splat(warp.fragments(pixels, L.stencils(control), w, h, params, b), params) for b in zip(cuts, cuts[1:])]
+    empty = warp.place(_one(spark).selectExpr("frame_id", f"explode(sequence(0, {params.width * params.height - 1})) as cell", *(f"0L as {s}" for s in ("slum", "scb", "scr", "sw"))), params)
+    return _out(resolve.composite(resolve.sum_cells(*bands, empty)))
 
 
 def _curved(w: int, h: int) -> dict[str, dict]:
@@ -65,7 +79,18 @@ def _curved(w: int, h: int) -> dict[str, dict]:
 
 def _warp_curved(shape: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """The curved warp's projection, rounded: sines of different engines differ in the last bit."""
+        """The picture, off-raster parts and folds included; control points lie on a grid of 2 ** -20, as sines of different engines differ in the last bit."""
+        frame = events_frame(spark, sf_dir)
+        _, w, h = frame
+        control = L.quantised(L.build(spark, shape, **_curved(w, h)[shape]))
+        return _out(_warp(spark, sf_dir, control, WarpParams(w, h), frame))
+
+    return run
+
+
+def _project(shape: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Where the curved lattice sends every pixel, rounded."""
         pixels, w, h = events_frame(spark, sf_dir)
         stencil = L.stencils(L.build(spark, shape, **_curved(w, h)[shape]))
         at = L.located(pixels, stencil, spline.lattice_coordinate("px", w), spline.lattice_coordinate("py", h))
@@ -85,15 +110,28 @@ def lattice_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.rotate(a, 0.3, -0.2, 128.0, 96.0, 100.0).selectExpr("row", "col", *(f"round({c}, 6) + 0D as {c}" for c in "xyz"))
 
 
+def shape_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shape of the user's own."""
+    L.register("slanted")(lambda k=3.0: (f"({k!r}D * s + t)", "(t - 0.5D)", "(s * t)"))
+    return L.build(spark, "slanted", k=2.0)
+
+
 def jacobian_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Determinant, density, ellipse and normal; the ellipse's angle by cosine and sine of its double, 0 where it is a circle."""
     pixels, w, h = events_frame(spark, sf_dir)
     stencil = L.stencils(L.build(spark, "page_turn", **_curved(w, h)["page_turn"]))
     at = L.located(pixels, stencil, spline.lattice_coordinate("px", w), spline.lattice_coordinate("py", h))
     j = L.footprint(L.spent(L.evaluated(at, point=False)))
     cols = {"det": L.DETERMINANT, "k": L.density(L.DETERMINANT, 1000.0), "major": "major", "minor": "minor"} | L.NORMAL
+    cols |= {f"axis_{f}": f"case when major - minor > 0.001D then {f}(2D * angle) else 0D end" for f in ("cos", "sin")}
     return j.selectExpr("px", "py", *(f"round({e}, 4) + 0D as {n}" for n, e in cols.items()))
 
 
+def v210_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(w, consts.supported_width(w), consts.chroma_width(w), consts.groups(w), consts.row_bytes_min(w), consts.row_bytes_aligned(w)) for w in range(1, 2001)]
+    return spark.createDataFrame(rows, "width int, supported boolean, chroma_width int, groups int, row_bytes int, row_bytes_aligned int")
+
+
 def v210_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels, w, _ = events_frame(spark, sf_dir)
     return v210.pack(*planes(pixels), w).selectExpr("row_no", "lower(hex(bytes)) as packed")
@@ -106,6 +144,11 @@ def v210_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return luma.selectExpr("x", "y", "v", "x div 2 as cx", "x % 2 as odd").join(c, ["cx", "y"], "left").selectExpr("x", "y", "v", "case when odd = 0 then cb end as cb", "case when odd = 0 then cr end as cr")
 
 
+def black_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    luma, c = v210.unpack(v210.black_frame(spark, 22, 7), 22)
+    return luma.join(c.selectExpr("cx * 2 as x", "y", "cb", "cr"), ["x", "y"], "left").select("x", "y", "v", "cb", "cr")
+
+
 def chroma_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels, _, _ = events_frame(spark, sf_dir)
     return chroma.upsample(planes(pixels)[1]).select("x", "y", "cb", "cr")
@@ -137,7 +180,7 @@ def _layers(spark: SparkSession, sf_dir: str):
     cells = []
     for scale, off in ((0.75, 2.0), (0.5, 10.0)):
         control = L.build(spark, "affine", width=w, height=h, scale_x=scale, scale_y=scale, offset_x=off, offset_y=off / 2)
-        cells.append(warp.splat_over_grid(warp.fragments(pixels, L.stencils(control), w, h, params), _one(spark), params))
+        cells.append(warp.cells(pixels, control, w, h, params, _one(spark)))
     return cells
 
 
@@ -161,28 +204,28 @@ def coverage_grey(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tagged(spark: SparkSession, sf_dir: str, tags: int):
-    """The events frame at three quarters, tagged and at depths by user."""
-    pixels, w, h = events_frame(spark, sf_dir)
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    """The events frame, tagged and at depths by user, its lattice at three quarters, and parameters."""
+    extra = {"tag": f"cast((user_id + event_id * 3) % {tags} as smallint)", "depth": "cast((event_id * 7919) % 60000 as int)"}
+    pixels, w, h = events_frame(spark, sf_dir, extra=extra)
     params = WarpParams(w, h, supersample=PLAIN, kbuffer="blend", background=Background(4096, 32768, 32768))
-    control = L.build(spark, "affine", width=w, height=h, scale_x=0.75, scale_y=0.75)
-    frags = warp.fragments(pixels, L.stencils(control), w, h, params).drop("tag", "z")
-    extra = events.selectExpr("cast(event_id % 100 as int) as px", "cast(event_id div 100 as int) as py", f"cast((user_id + event_id * 3) % {tags} as smallint) as tag", "cast((event_id * 7919) % 60000 as int) as z")
-    return frags.join(extra, ["px", "py"]), params
+    return pixels, L.build(spark, "affine", width=w, height=h, scale_x=0.75, scale_y=0.75), params
 
 
-def _kbuffer(mode: str):
+def _kbuffer(mode: str, tags: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        frags, params = _tagged(spark, sf_dir, 4)
-        return _out(kbuffer.resolve(kbuffer.slots(frags, params), mode, params.background), "dx", "dy", "lum", "cb", "cr")
+        """Covered cells."""
+        pixels, control, params = _tagged(spark, sf_dir, tags)
+        frags = warp.fragments(pixels, L.stencils(control), params.width, params.height, params)
+        cells = kbuffer.slots(frags, params, tags=kbuffer.tag_count(pixels))
+        return _out(kbuffer.resolve(cells, mode, params.background), "dx", "dy", "lum", "cb", "cr")
 
     return run
 
 
-def kbuffer_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven tags in four slots."""
-    frags, params = _tagged(spark, sf_dir, 7)
-    return _out(kbuffer.resolve(kbuffer.slots(frags, params), "opaque", params.background), "dx", "dy", "lum", "cb", "cr")
+def kbuffer_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole picture, from tagged pixels at depths."""
+    pixels, control, params = _tagged(spark, sf_dir, 4)
+    return _out(pipeline.run_frame(pixels, control, params.width, params.height, params, _one(spark)), "dx", "dy", "lum", "cb", "cr")
 
 
 def _capture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,28 +237,76 @@ def capture_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.captured(_capture(spark, sf_dir)).select("source_id", "frame_no")
 
 
-def ring_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ring of three frames; each click takes one."""
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of frames."""
+    path = f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    return events.selectExpr("user_id as source_id", "event_id as frame_no", "event_type <> 'click' as has_signal")
+
+
+def capture_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each source, how many frames the streaming gate lets through, and the sum of their numbers."""
+    at = scratch(spark, "captured")
+    writer = live.captured_stream(_streamed(spark, sf_dir)).writeStream.format("parquet").option("path", f"{at}/frames").option("checkpointLocation", f"{at}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema("source_id long, frame_no long").parquet(f"{at}/frames")
+    return got.groupBy("source_id").agg(F.count(F.lit(1)).alias("frames"), F.sum("frame_no").alias("numbers"))
+
+
+def consume_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with a signal through the consumer: what the sink and what the coverage callback got."""
+    at = scratch(spark, "consumed")
+
+    def into(name: str):
+        return lambda df, n: df.selectExpr(f"'{name}' as got", "frame_no").write.mode("append").parquet(f"{at}/rows")
+
+    query = live.consume(_streamed(spark, sf_dir), lambda df: df.filter("has_signal"), into("sink"), into("coverage"))
+    query.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema("got string, frame_no long").parquet(f"{at}/rows")
+    return got.groupBy("got").agg(F.count(F.lit(1)).alias("frames"), F.sum("frame_no").alias("numbers"))
+
+
+def _ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id as source_id", "event_id as seq", "case when event_type = 'click' then 'pop' else 'push' end as kind")
     return live.admitted(events, 3)
 
 
-def _played(capture: DataFrame, sources: DataFrame, n: int) -> DataFrame:
-    """Ticks every 200 of n events, for each of the sources, against the frames captured."""
-    ticks = sources.selectExpr("source_id", f"explode(sequence(0L, {max(0, n // 200 - 1)}L)) as tick").selectExpr("source_id", "tick", "tick * 200 as at")
-    return live.playback(live.captured(capture), ticks)
+def ring_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ring of three frames; each click takes one."""
+    return _ring(spark, sf_dir)
 
 
-def stream_latest_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Playback of sources 0 to 19 only, as its SQL has it; ``stream_latest_repeat_all`` plays every source."""
-    capture = _capture(spark, sf_dir)
-    return _played(capture.filter("source_id < 20"), spark.range(20).selectExpr("id as source_id"), capture.count())
+def ring_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.ring_counters(_ring(spark, sf_dir))
+
+
+def consumer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames in two formats and two widths; 1920 wide in the packed format is what the consumer takes."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    frames = events.selectExpr("case when event_type = 'purchase' then 'rgb' else 'v210' end as mode", "case when user_id % 5 = 0 then 720 else 1920 end as width", "1080 as height")
+    return live.consumer_stats(frames, 1920, 1080)
+
+
+def playback_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = ", ".join(f"'{r}'" for r in ("completed", "late", "dropped", "flushed"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return live.results(events.selectExpr(f"element_at(array({results}), cast((event_id * 7 + user_id) % 4 as int) + 1) as result"))
+
+
+def controls_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source's keys, up to the one that ends its loop; the radius starts near its floor."""
+    keys = ", ".join(f"'{k}'" for k in (*live.CONTROLS, "z", "q", "other"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    got = live.controls(events.selectExpr("user_id as source_id", "event_id as seq", f"element_at(array({keys}), cast((event_id * 5 + user_id) % 13 as int) + 1) as key"), radius=40.0)
+    return got.selectExpr("source_id", "seq", "key", *(f"round({c}, 6) + 0D as {c}" for c in ("yaw", "pitch", "cx", "cy", "radius")))
 
 
-def stream_latest_repeat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Playback of every source of the events."""
+def stream_latest_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Playback of every source of the n events: ticks every 200 numbers, against the frames captured."""
     capture = _capture(spark, sf_dir)
-    return _played(capture, capture.select("source_id").distinct(), capture.count())
+    ticks = capture.agg(F.greatest(F.expr("count(1) div 200"), F.lit(1)).alias("n")).selectExpr("explode(sequence(0L, n - 1)) as tick")
+    ticks = capture.select("source_id").distinct().join(F.broadcast(ticks)).selectExpr("source_id", "tick", "tick * 200 as at")  # the result: every tick of every source
+    return live.playback(live.captured(capture), ticks)
 
 
 def latest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,13 +320,44 @@ def settings_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.as_of(_capture(spark, sf_dir), settings).select("source_id", "frame_no", "value")
 
 
+def _identity(spark: SparkSession, w: int, h: int):
+    return L.build(spark, "affine", width=w, height=h), w, h, WarpParams(w, h)
+
+
 def frame_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed rows through the identity warp: luma comes back to the bit."""
     pixels, w, h = events_frame(spark, sf_dir)
-    rows = v210.pack(*planes(pixels), w)
-    out = pipeline.run_frame_rows(rows, L.build(spark, "affine", width=w, height=h), w, h, WarpParams(w, h))
-    luma, _ = v210.unpack(out, w)
-    return luma.select("x", "y", "v")
+    out = pipeline.run_frame_rows(v210.pack(*planes(pixels), w), *_identity(spark, w, h))
+    return v210.unpack(out, w)[0].select("x", "y", "v")
+
+
+def frame_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole image whose rows begin every 384 bytes to one whose rows begin every 512."""
+    pixels, w, h = events_frame(spark, sf_dir)
+    image = v210.images_of(v210.pack(*planes(pixels), w), w, 384)
+    out = pipeline.run_frame_bytes(image, *_identity(spark, w, h), 384, 512)
+    return v210.unpack(v210.image_rows(out, w, h, 512), w)[0].select("x", "y", "v")
+
+
+def frame_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A packed file, warped into another, read back."""
+    pixels, w, h = events_frame(spark, sf_dir)
+    at = scratch(spark, "frames")
+    if not v210.write_v210_file(*planes(pixels), w, h, f"{at}/a.v210"):
+        raise RuntimeError("the frame could not be written")
+    control, _, _, params = _identity(spark, w, h)
+    if not pipeline.run_frame_file(spark, control, f"{at}/a.v210", w, h, params, f"{at}/b.v210"):
+        raise RuntimeError("the frame could not be warped")
+    return v210.read_v210_file(spark, f"{at}/b.v210", w, h)[0].select("x", "y", "v")
+
+
+def frames_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three packed frames through the distributed sink."""
+    pixels, w, _ = events_frame(spark, sf_dir)
+    rows = v210.pack(*planes(pixels), w).selectExpr("explode(array(0L, 1L, 2L)) as frame_id", "row_no", "bytes")
+    at = scratch(spark, "sink")
+    v210.write_frames(rows, f"{at}/frames")
+    return spark.read.parquet(f"{at}/frames").selectExpr("cast(frame_id as bigint) as frame_id", "row_no", "lower(hex(bytes)) as packed")
 
 
 def determinism(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,14 +373,17 @@ QUERIES = {
     "warp_affine_half": warp_affine_half,
     "warp_identity": warp_identity,
     "warp_magnify2x": warp_magnify2x,
-    "warp_cylinder": _warp_curved("cylinder"),
-    "warp_sphere": _warp_curved("sphere"),
-    "warp_page_turn": _warp_curved("page_turn"),
+    "row_bands": row_bands,
+    **{f"warp_{s}": _warp_curved(s) for s in ("cylinder", "sphere", "page_turn")},
+    **{f"project_{s}": _project(s) for s in ("cylinder", "sphere", "page_turn")},
     "lattice_morph": lattice_morph,
     "lattice_rotate": lattice_rotate,
+    "shape_registered": shape_registered,
     "jacobian_quantities": jacobian_quantities,
+    "v210_geometry": v210_geometry,
     "v210_pack": v210_pack,
     "v210_unpack": v210_unpack,
+    "black_frame": black_frame,
     "chroma_up": chroma_up,
     "chroma_down": chroma_down,
     "pattern_ramp": _pattern("ramp"),
@@ -269,15 +394,24 @@ QUERIES = {
     "layered_sum": layered_sum,
     "union_sum": union_sum,
     "coverage_grey": coverage_grey,
-    "kbuffer_opaque": _kbuffer("opaque"),
-    "kbuffer_blend": _kbuffer("blend"),
-    "kbuffer_evict": kbuffer_evict,
+    "kbuffer_opaque": _kbuffer("opaque", 4),
+    "kbuffer_blend": _kbuffer("blend", 4),
+    "kbuffer_evict": _kbuffer("opaque", 7),
+    "kbuffer_frame": kbuffer_frame,
     "capture_gate": capture_gate,
+    "capture_stream_counts": capture_stream_counts,
+    "consume_stream": consume_stream,
+    "consumer_counts": consumer_counts,
     "ring_drop": ring_drop,
+    "ring_counters": ring_counters,
     "stream_latest_repeat": stream_latest_repeat,
-    "stream_latest_repeat_all": stream_latest_repeat_all,
     "latest_frame": latest_frame,
     "settings_as_of": settings_as_of,
+    "playback_results": playback_results,
+    "controls_fold": controls_fold,
     "frame_round_trip": frame_round_trip,
+    "frame_bytes": frame_bytes,
+    "frame_file": frame_file,
+    "frames_sink": frames_sink,
     "determinism": determinism,
 }

@@ -5,24 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..consts import CHROMA_ZERO, LUMA_BLACK
+
 WIDTH = 100
 
 
-def events_frame(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
-    """(pixels, width, height) of the events table as a raster of 100 columns; event_id is dense from 0."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "value")
-    height = events.count() // WIDTH
+def events_frame(spark: SparkSession, sf_dir: str, count: int | None = None, extra: dict[str, str] | None = None) -> tuple[DataFrame, int, int]:
+    """(pixels, width, height) of the events table as a raster of 100 columns; event_id is dense from 0.
+
+    What is missing of the last row is black.  count: the table's rows, if known; else they are counted, which
+    reads the files' footers.  extra: more columns, as SQL over the table's."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    count = events.count() if count is None else count
+    height = -(-count // WIDTH)
     cores = spark.sparkContext.defaultParallelism
-    if events.rdd.getNumPartitions() < cores:  # one small file: spread it, as warps cost far more than its exchange
+    if len(events.inputFiles()) < cores:  # few files: spread them, as warps cost far more than this exchange
         events = events.repartition(cores)
-    return events.selectExpr(
+    pixels = events.selectExpr(
         "cast(0 as bigint) as frame_id",
         f"cast(event_id % {WIDTH} as int) as px",
         f"cast(event_id div {WIDTH} as int) as py",
         "cast((4 + cast(floor(value * 100D) as bigint) % 1016) << 6 as int) as lum",
         "cast((4 + (user_id * 7) % 1016) << 6 as int) as cb",
         "cast((4 + (event_id * 31) % 1016) << 6 as int) as cr",
-    ).filter(F.col("py") < height), WIDTH, height
+        *(f"{e} as {n}" for n, e in (extra or {}).items()),
+    )
+    if count % WIDTH:
+        black = spark.range(count, height * WIDTH, 1, 1).selectExpr("0L as frame_id", f"cast(id % {WIDTH} as int) as px", f"cast(id div {WIDTH} as int) as py", f"{LUMA_BLACK} as lum", f"{CHROMA_ZERO} as cb", f"{CHROMA_ZERO} as cr")
+        black = black.select("*", *(F.lit(0).cast(pixels.schema[n].dataType).alias(n) for n in extra or {}))
+        pixels = pixels.unionByName(black)
+    return pixels, WIDTH, height
 
 
 def many_frames(pixels: DataFrame, count: int) -> DataFrame:

@@ -6,13 +6,13 @@ Word order (three 10-bit fields each, lowest first; fixed values of the format):
 
 from __future__ import annotations
 
-import os
-
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..consts import CODE_BLACK, CODE_CHROMA_ZERO, chroma_width, groups, row_bytes_min, supported_width
 from ..functions.fixed import code_of_sample
+from .paths import filesystem
 
 WORDS = (("b0", "y0", "r0"), ("y1", "b1", "y2"), ("r1", "y3", "b2"), ("y4", "r2", "y5"))
 
@@ -77,30 +77,35 @@ def read_v210_file(spark: SparkSession, path: str, width: int, height: int) -> t
     """(luma422, chroma422), or None if the geometry isn't supported or the file is missing or short; a longer file is read as far as needed."""
     if not supported_width(width) or height <= 0:
         return None
-    try:
-        files = spark.read.format("binaryFile").load(path)
-        short = files.filter(F.col("length") < row_bytes_min(width) * height).isEmpty()
-    except Exception as e:  # Spark reports a missing path when it plans or reads
-        if "PATH_NOT_FOUND" in str(e) or "FileNotFound" in str(e):
-            return None
-        raise
-    if not short or files.isEmpty():
+    fs, where = filesystem(spark, path)
+    if not fs.exists(where) or not fs.getFileStatus(where).isFile() or fs.getFileStatus(where).getLen() < row_bytes_min(width) * height:
         return None
+    files = spark.read.format("binaryFile").load(path)
     return unpack(image_rows(files.selectExpr("cast(0 as bigint) as frame_id", "content as bytes"), width, height), width)
 
 
 def write_v210_file(luma: DataFrame, chroma: DataFrame, width: int, height: int, path: str) -> bool:
-    """Writes one frame's rows without gaps; one frame is bounded, so it goes through the driver."""
+    """Writes one frame's rows without gaps to any of Spark's filesystems; one frame is bounded, so it goes through the driver.
+
+    False if the geometry isn't supported, the folder doesn't exist or the file can't be written."""
     if not supported_width(width) or height <= 0:
         return False
+    fs, where = filesystem(spark := luma.sparkSession, path)
+    if not fs.exists(filesystem(spark, path.rpartition("/")[0] or "/")[1]):
+        return False
     rows = pack(luma, chroma, width).orderBy("row_no").toLocalIterator()
     try:
-        with open(path, "wb") as f:
+        out = fs.create(where, True)
+        try:
             for r in rows:
-                f.write(r["bytes"])
-        return os.path.getsize(path) == row_bytes_min(width) * height
-    except OSError:
-        return False
+                out.write(bytearray(r["bytes"]))
+        finally:
+            out.close()
+        return fs.getFileStatus(where).getLen() == row_bytes_min(width) * height
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getName() in ("java.io.IOException", "java.io.FileNotFoundException", "org.apache.hadoop.security.AccessControlException"):
+            return False
+        raise
 
 
 def write_frames(rows: DataFrame, path: str) -> None:

@@ -22,64 +22,78 @@ def captured(frames: DataFrame, source: str = "source_id") -> DataFrame:
 
 
 def captured_stream(frames: DataFrame, source: str = "source_id") -> DataFrame:
-    """Streaming ``captured``: one boolean of state for each source. Columns: source, frame_no."""
+    """Streaming ``captured``: a boolean and a number of state for each source. Columns: source, frame_no.
+
+    A source's frames may come in any order within a micro-batch, whose frames of one source are sorted in
+    memory; from one micro-batch to the next their numbers must rise, else the query fails."""
 
     def step(key, batches: Iterator[pd.DataFrame], state):
-        before = state.get[0] if state.exists else False
-        for rows in batches:
-            rows = rows.sort_values("frame_no")
-            now = rows["has_signal"].astype(bool)
-            keep = now & now.shift(fill_value=before)
-            if len(rows):
-                before = bool(now.iloc[-1])
-            yield pd.DataFrame({source: key[0], "frame_no": rows["frame_no"][keep]})
-        state.update((before,))
+        before, last = state.get if state.exists else (False, -(1 << 63))
+        rows = pd.concat(list(batches)).sort_values("frame_no")
+        if int(rows["frame_no"].iloc[0]) <= last:
+            raise ValueError(f"source {key[0]}: frame {rows['frame_no'].iloc[0]} came after frame {last}")
+        now = rows["has_signal"].astype(bool)
+        keep = now & now.shift(fill_value=before)
+        state.update((bool(now.iloc[-1]), int(rows["frame_no"].iloc[-1])))
+        yield pd.DataFrame({source: key[0], "frame_no": rows["frame_no"][keep]})
 
-    return frames.select(source, "frame_no", "has_signal").groupBy(source).applyInPandasWithState(step, f"{source} long, frame_no long", "before boolean", "append", "NoTimeout")
+    rows = frames.filter("has_signal is not null").select(source, "frame_no", "has_signal")
+    return rows.groupBy(source).applyInPandasWithState(step, f"{source} long, frame_no long", "before boolean, last long", "append", "NoTimeout")
 
 
 # ---- the ring: bounded, drops the newest ---------------------------------------
 
 
-class Ring:
-    """A bounded queue that refuses what arrives while it is full, and counts it."""
+def _joined(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """a with b's other columns, by equal keys; null keys are equal."""
+    b = b.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return a.join(b, on).drop(*(f"__{k}" for k in keys))
 
-    def __init__(self, capacity: int):
-        if capacity <= 0:
-            raise ValueError("a ring needs a positive capacity")
-        self._items: list = []
-        self._capacity = capacity
-        self._dropped = 0
 
-    def try_push(self, item) -> bool:
-        if len(self._items) >= self._capacity:
-            self._dropped += 1
-            return False
-        self._items.append(item)
-        return True
+def admitted(events: DataFrame, capacity: int, source: str = "source_id", block: int = 256) -> DataFrame:
+    """events (source, seq, kind push or pop) with ``depth`` after the event and ``ok``: whether a push was admitted or a pop got an item.
 
-    def try_pop(self):
-        return self._items.pop(0) if self._items else None
+    An event moves the depth x to min(max(x + a, lo), hi), and such moves one after another are one such move.
+    So events are folded by blocks of ``block`` numbers, blocks by groups of as many, and groups by source; then
+    each block starts from its own depth.  No task holds a source's events."""
+    start = f"named_struct('a', 0L, 'lo', 0L, 'hi', {capacity}L)"
 
-    def dropped_count(self) -> int:
-        return self._dropped
+    def clamp(x: str) -> str:
+        return f"least(greatest({x}, 0L), {capacity}L)"
 
-    def capacity(self) -> int:
-        return self._capacity
+    by = "(case when e.kind = 'push' then 1L else -1L end)"
+    one = f"(acc, e) -> named_struct('a', acc.a + {by}, 'lo', {clamp(f'acc.lo + {by}')}, 'hi', {clamp(f'acc.hi + {by}')})"
+    many = "(acc, e) -> named_struct('a', acc.a + e.a, 'lo', least(greatest(acc.lo + e.a, e.lo), e.hi), 'hi', least(greatest(acc.hi + e.a, e.lo), e.hi))"
 
+    def starts(moves: str, depth: str, number: str) -> str:
+        """Rows (number, d): the depth before each of moves, from ``depth``."""
+        step = f"(acc, e) -> named_struct('d', least(greatest(acc.d + e.a, e.lo), e.hi), 'out', concat(acc.out, array(named_struct('{number}', e.{number}, 'd', acc.d))))"
+        return f"inline(aggregate({moves}, named_struct('d', {depth}, 'out', cast(array() as array<struct<{number}:bigint,d:bigint>>)), {step}).out)"
 
-def admitted(events: DataFrame, capacity: int, source: str = "source_id") -> DataFrame:
-    """events (source, seq, kind push or pop) with ``depth`` after the event and ``ok``: whether a push was admitted or a pop got an item.
+    def gathered(df: DataFrame, *keys: str, number: str) -> DataFrame:
+        moves = F.array_sort(F.collect_list(F.struct(number, "f.a", "f.lo", "f.hi")))
+        return df.groupBy(*keys).agg(moves.alias("moves"))
 
-    A fold in order of arrival for each source, in one JVM expression."""
-    step = f"""named_struct(
-        'd', case when e.kind = 'push' then least(acc.d + 1, {capacity}) else greatest(acc.d - 1, 0) end,
-        'out', concat(acc.out, array(named_struct('seq', e.seq, 'kind', e.kind,
-            'ok', case when e.kind = 'push' then acc.d < {capacity} else acc.d > 0 end,
-            'depth', case when e.kind = 'push' then least(acc.d + 1, {capacity}) else greatest(acc.d - 1, 0) end))))"""
-    start = "named_struct('d', 0, 'out', cast(array() as array<struct<seq:bigint,kind:string,ok:boolean,depth:int>>))"
-    rows = events.groupBy(source).agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), "kind"))).alias("es"))
-    return rows.selectExpr(source, f"inline(aggregate(es, {start}, (acc, e) -> {step}).out)")
+    rows = events.selectExpr(source, "cast(seq as bigint) as seq", "kind", f"cast(seq as bigint) div {block} as b1")
+    blocks = rows.groupBy(source, "b1").agg(F.array_sort(F.collect_list(F.struct("seq", "kind"))).alias("es"))
+    blocks = blocks.selectExpr(source, "b1", f"b1 div {block} as b2", "es", f"aggregate(es, {start}, {one}) as f")
+    groups = gathered(blocks, source, "b2", number="b1").selectExpr(source, "b2", "moves", f"aggregate(moves, {start}, {many}) as f")
+    first = gathered(groups, source, number="b2").selectExpr(source, starts("moves", "0L", "b2"))
+    second = _joined(groups.select(source, "b2", "moves"), first, source, "b2").selectExpr(source, starts("moves", "d", "b1"))
+    move = clamp(f"acc.d + {by}")
+    ok = f"case when e.kind = 'push' then acc.d < {capacity} else acc.d > 0 end"
+    step = f"(acc, e) -> named_struct('d', {move}, 'out', concat(acc.out, array(named_struct('seq', e.seq, 'kind', e.kind, 'ok', {ok}, 'depth', cast({move} as int)))))"
+    empty = "cast(array() as array<struct<seq:bigint,kind:string,ok:boolean,depth:int>>)"
+    out = _joined(blocks.select(source, "b1", "es"), second, source, "b1")
+    return out.selectExpr(source, f"inline(aggregate(es, named_struct('d', d, 'out', {empty}), {step}).out)")
+
+
+def ring_counters(admitted_events: DataFrame, source: str = "source_id") -> DataFrame:
+    """For each source: pushes, those dropped as the ring was full, pops, and those that found it empty."""
+    push, ok = F.col("kind") == "push", F.col("ok")
+    counts = {"pushed": push, "dropped": push & ~ok, "popped": ~push, "empty": ~push & ~ok}
+    return admitted_events.groupBy(source).agg(*(F.count_if(c).alias(n) for n, c in counts.items()))
 
 
 # ---- consumption -----------------------------------------------------------------
@@ -162,12 +176,18 @@ CONTROLS = {
     "left": ("yaw", -0.05), "right": ("yaw", 0.05), "up": ("pitch", -0.05), "down": ("pitch", 0.05),
     "x": ("cx", -10.0), "X": ("cx", 10.0), "y": ("cy", -10.0), "Y": ("cy", 10.0), "z": ("radius", -10.0), "Z": ("radius", 10.0),
 }
+QUIT = ("q", "Q")
 LEAST_RADIUS = 20.0
 
 
 def controls(keys: DataFrame, radius: float = 200.0) -> DataFrame:
-    """(seq, yaw, pitch, cx, cy, radius) after each key of (source_id, seq, key): running sums; the radius is folded, as it never falls under its least."""
-    w = Window.partitionBy("source_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """(seq, yaw, pitch, cx, cy, radius) after each key of (source_id, seq, key), up to the first that ends the loop.
+
+    Running sums; the radius, which never falls under its least, is the sum lifted by what the floor has cut off."""
+    by_seq = Window.partitionBy("source_id").orderBy("seq")
+    w = by_seq.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    quit_before = F.max(F.col("key").isin(*QUIT)).over(by_seq.rowsBetween(Window.unboundedPreceding, -1))
+    keys = keys.withColumn("__q", F.coalesce(quit_before, F.lit(False))).filter(~F.col("__q")).drop("__q")
 
     def steps(name: str):
         out = F.lit(0.0)

@@ -6,7 +6,8 @@ from rasterloom import consts
 from rasterloom.operators import chroma
 from rasterloom.sources import patterns, v210
 
-KNOWN = bytes.fromhex("010934100415641007219410" + "0A2DC410")
+# Fixed value of the format: one packed group.
+KNOWN = bytes.fromhex("01 09 34 10 04 15 64 10 07 21 94 10 0A 2D C4 10")
 
 
 def rows(spark, data: list[bytes]):
@@ -45,12 +46,14 @@ def _chroma(spark, values):
 
 
 def test_upsample(spark):
+    # fixed values: the filter's impulse and step responses
     got = [x["cb"] for x in chroma.upsample(_chroma(spark, [0, 0, 0, 16, 0, 0, 0, 0])).orderBy("x").collect()]
     assert got == [0, 0, 0, 65535, 0, 9, 16, 9, 0, 65535, 0, 0, 0, 0, 0, 0]
     got = [x["cr"] for x in chroma.upsample(_chroma(spark, [10000] * 4 + [42000] * 4)).orderBy("x").collect()]
     assert (got[5], got[7], got[9]) == (8000, 26000, 44000)
 
 
+# fixed values: the filter's responses to an impulse at an even and at an odd column
 @pytest.mark.parametrize("at, want", [(12, [0] * 6 + [256] + [0] * 5), (13, [0, 0, 0, 0, 3, 65511, 150, 150, 65511, 3, 0, 0])])
 def test_downsample(spark, at, want):
     full = spark.createDataFrame([(0, i, 0, 512 * (i == at), 512 * (i == at)) for i in range(24)], "frame_id long, x int, y int, cb int, cr int")
@@ -71,6 +74,13 @@ def test_files(spark, tmp_path):
     assert codes[0] == 4 and codes[-1] == 1019
 
 
+def test_frames_sink(spark, tmp_path):
+    rows = v210.black_frame(spark, 8, 3).selectExpr("explode(array(4L, 7L)) as frame_id", "row_no", "bytes")
+    v210.write_frames(rows, str(tmp_path / "frames"))
+    got = spark.read.parquet(str(tmp_path / "frames")).selectExpr("cast(frame_id as bigint) as frame_id", "row_no", "bytes")
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.collect())) and (tmp_path / "frames" / "frame_id=4").is_dir()
+
+
 def test_strides_and_black(spark):
     black = v210.black_frame(spark, 8, 3)
     image = v210.images_of(black, 8, 40)
