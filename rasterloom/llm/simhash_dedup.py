@@ -171,7 +171,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     unique = has_unique_ids(docs)
     with_id = with_rid(docs.select(*extras(docs, RID, "fp", "first", "__keep"), *[c for c in docs.columns if c.lower() in ("fp", "first")]))
     table = written(fingerprints(with_id.select(RID, "text")), "simhash")
-    keep = clusters(table, RID).select("first").distinct()
+    keep = clusters(table, RID).select("first").distinct().hint("merge")  # it grows with the table: the same plan at every size, no broadcast of a small one
     out = with_id.join(keep, with_id[RID] == keep["first"], "left_semi")
     if not unique:
         out = out.dropDuplicates([RID])
