@@ -8,8 +8,8 @@ is that of the aggregation, with partial sums before it.  Sums are integers, so
 are the same for any partitioning.
 
 ``swept`` does the same steps, up to partial sums, for one sample a pixel on Arrow
-batches: the same operations in the same order on vectors, so the same bits, at about
-half the time of the plan of SQL expressions, whose code the JVM finds too large.
+batches: the same operations in the same order on vectors, so the same bits, without
+the session setting that the SQL expressions' large methods need.
 """
 
 from __future__ import annotations
