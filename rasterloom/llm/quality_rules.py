@@ -53,7 +53,7 @@ def _vote(bad: str, good: str) -> str:
     return f"(case when {bad} then 0 when {good} then 2 else 1 end)"
 
 
-#: Thresholds follow published heuristic filters (symbols to words, mean word length, repeated lines, terminal marks).
+#: Thresholds for symbols, word length and repeated lines follow published heuristic filters; the others are this module's own.
 RULES = {
     "symbols": _vote("n_symbols > 0.1 * n_words", "n_symbols <= 0.02 * n_words"),
     "plain": _vote("n_plain < 0.6 * n_words", "n_plain >= 0.8 * n_words"),
