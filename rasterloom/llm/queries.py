@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import line_dedup, warc
+from . import exact_dedup, line_dedup, warc
 from .bpe import op3_byte_bpe
+from .exact_dedup import op13_exact_dedup
 from .fingerprints import op4_fingerprints
 from .language_id import op5_language_id
 from .line_dedup import op10_line_dedup
@@ -25,9 +26,11 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_warc": warc.SQL,
     "op10_line_dedup": line_dedup.SQL,
+    "op13_exact_dedup": exact_dedup.SQL,
 }
