@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, warc
+from . import exact_dedup, filter_audit, line_dedup, warc
 from .bpe import op3_byte_bpe
 from .exact_dedup import op13_exact_dedup
+from .filter_audit import op11_filter_audit
 from .fingerprints import op4_fingerprints
 from .language_id import op5_language_id
 from .line_dedup import op10_line_dedup
@@ -26,11 +27,13 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_filter_audit": op11_filter_audit,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_warc": warc.SQL,
     "op10_line_dedup": line_dedup.SQL,
+    "op11_filter_audit": filter_audit.SQL,
     "op13_exact_dedup": exact_dedup.SQL,
 }
