@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, filter_audit, line_dedup, warc
+from . import exact_dedup, filter_audit, hard_negatives, line_dedup, warc
 from .bpe import op3_byte_bpe
 from .exact_dedup import op13_exact_dedup
 from .filter_audit import op11_filter_audit
 from .fingerprints import op4_fingerprints
+from .hard_negatives import op12_hard_negatives
 from .language_id import op5_language_id
 from .line_dedup import op10_line_dedup
 from .packing import op2_packing
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_line_dedup": op10_line_dedup,
     "op11_filter_audit": op11_filter_audit,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
@@ -35,5 +37,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_warc": warc.SQL,
     "op10_line_dedup": line_dedup.SQL,
     "op11_filter_audit": filter_audit.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
     "op13_exact_dedup": exact_dedup.SQL,
 }
