@@ -1,9 +1,8 @@
 """Vectorised word splitting and word hashing over Arrow string columns.
 
 Words are ``[^\\x20\\x09-\\x0D]+``.  A chunk of texts is one byte buffer with
-offsets; word hashes are 64-bit polynomial hashes taken from prefix sums, so no
-Python loop runs over words.  Buffers are hashed in blocks of a bounded number
-of bytes, whatever the length of a text.
+offsets; words are hashed eight bytes at a time, all words at once, so no Python
+loop runs over words but over those longer than ``_LONG`` bytes.
 """
 
 from __future__ import annotations
@@ -11,11 +10,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 
 U = np.uint64
-_BLOCK = 1 << 20
-_K = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))  # odd: a base for each of two independent hashes
-_KINV = tuple(U(pow(int(k), -1, 1 << 64)) for k in _K)
+_LONG = 64
+_K = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))  # odd: for each of two independent hashes
+_SEED = (U(0xA24BAED4963EE407), U(0x8CB92BA72F3D8DD7))
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -31,24 +31,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_TABLE = tuple(mix(np.arange(1, 257, dtype=U) * U(x)) for x in (0xA24BAED4963EE407, 0x8CB92BA72F3D8DD7))
-_powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _pow(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    size = _BLOCK if n <= _BLOCK else n
-    if (size, which) not in _powers:
-        k = np.full(size, _K[which])
-        k[0] = 1
-        i = np.full(size, _KINV[which])
-        i[0] = 1
-        got = np.cumprod(k, dtype=U), np.cumprod(i, dtype=U)
-        if size != _BLOCK:
-            return got
-        _powers[size, which] = got
-    return _powers[size, which]
-
-
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -75,20 +57,29 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; which: 0 or 1, of two independent ones."""
-    out = np.empty(len(starts), U)
-    i = 0
-    while i < len(starts):
-        base = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, base + _BLOCK, "right")))
-        span = int(ends[j - 1] - base)
-        k, inv = _pow(span, which)
-        p = np.zeros(span + 1, U)
-        np.cumsum(_TABLE[which][data[base : base + span]] * k[:span], out=p[1:])
-        s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = (p[e] - p[s]) * inv[s] + (e - s).astype(U)
-        i = j
-    return mix(out)
+    """A 64-bit hash of each word's bytes; which: 0 or 1, of two independent ones.
+
+    Eight bytes at a time are mixed into what came before, so a byte's effect depends on its place and on all before it;
+    words of equal length up to eight bytes never share a hash.  Words of over ``_LONG`` bytes go through XXH3, a half of 128 bits each."""
+    size = ends - starts
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 8,), "<u8", padded, strides=(1,))
+    out = mix(size.astype(U) * _K[which] + _SEED[which])
+    short = np.flatnonzero(size <= _LONG)
+    at = 0
+    while len(short):
+        left = size[short] - at
+        x = eight[starts[short] + at].astype(U)
+        part = left < 8
+        x[part] &= (U(1) << (left[part] * 8).astype(U)) - U(1)
+        out[short] = mix(out[short] ^ mix((x + U(at)) * _K[which]))
+        at += 8
+        short = short[left > 8]
+    for i in np.flatnonzero(size > _LONG):
+        both = xxhash.xxh3_128_intdigest(data[starts[i] : ends[i]].tobytes())
+        out[i] = U(both >> 64 if which else both & (1 << 64) - 1)
+    return out
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):

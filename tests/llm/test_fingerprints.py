@@ -68,7 +68,10 @@ def brute_fingerprint(text):
         return x ^ x >> 32
 
     def name(w):
-        return mix((sum(mix((b + 1) * 0xA24BAED4963EE407 % big) * pow(0x9E3779B97F4A7C15, i, big) for i, b in enumerate(w)) + len(w)) % big)
+        h = mix((len(w) * 0x9E3779B97F4A7C15 + 0xA24BAED4963EE407) % big)
+        for i in range(0, len(w), 8):
+            h = mix(h ^ mix((int.from_bytes(w[i : i + 8], "little") + i) * 0x9E3779B97F4A7C15 % big))
+        return h
 
     h = [name(w) for w in words]
     terms = [(x, min(len(w) / 8, 1.5) ** 2) for x, w in zip(h, words)] + [(mix((x * 0xC2B2AE3D27D4EB4F + y) % big), 1.0) for x, y in zip(h, h[1:])]

@@ -107,3 +107,15 @@ def test_odd_tables(spark):
     assert sum(r["n_removed"] == 0 for r in firsts) in (1, 2)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert substring_dedup(empty).count() == 0
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """The Thue-Morse word and its complement: equal under any polynomial hash modulo 2 ** 64."""
+    a = "a"
+    for _ in range(12):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    other = [f"w{k}" for k in range(19)]
+    rows = [(k, " ".join([*other[:9], x[:n], *other[9:]])) for k, (x, n) in enumerate((x, n) for n in (64, 512, 1024, 4096) for x in (a, b))]
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict.fromkeys(range(8), 0)
