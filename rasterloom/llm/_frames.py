@@ -155,3 +155,12 @@ def sampled_texts(docs: DataFrame, ids: list[tuple], on: list[str], kinds: str)
     names = [c.split()[0] for c in kinds.split(", ")]
     got = docs.join(chosen, on).groupBy(*names).agg(F.min("text").alias("text"))
     return sorted(tuple(r) for r in got.limit(len(ids)).collect()) if ids else []
+
+
+def stretched(text: Column, key: Column, most: int, pieces: int) -> Column:
+    """The text, or of a text of over ``most`` characters ``pieces`` stretches of most / pieces characters in all, joined by spaces.
+
+    The text is cut into as many equal parts, and each gives a stretch at a place that a hash of key and part says: any place is as likely."""
+    size, part = most // pieces, F.floor(F.length(text) / pieces)
+    spots = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda k: (k * part + F.pmod(F.xxhash64(key, k), F.greatest(part - size, F.lit(1))) + 1).cast("int"))
+    return F.when(F.length(text) > most, F.array_join(F.transform(spots, lambda at: F.substring(text, at, F.lit(size))), " ")).otherwise(text)

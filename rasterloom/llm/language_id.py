@@ -21,8 +21,8 @@ text and its words' posteriors.
 
 The field is fitted on the driver on a bounded sample: ``SAMPLE`` texts for each of
 the ``LANGUAGES`` most frequent languages (of equals the least by name), ``TEXTS`` in
-all at most, none over ``LONGEST`` characters, whose crc32(doc_id as text) mod 4 is
-not 2.  Rarer languages than that are never predicted.  Fitting goes by batches of
+all at most, whose crc32(doc_id as text) mod 4 is not 2; of a text of over ``LONGEST``
+characters stretches of as many in all, from hashed places all over it.  Rarer languages than that are never predicted.  Fitting goes by batches of
 about ``BATCH`` words, whose sums alone it holds.  Predictions depend on the text
 alone.
 
@@ -42,13 +42,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import documents, extras, mapped, sample_ids, sampled_texts
+from ._frames import documents, extras, mapped, sample_ids, sampled_texts, stretched
 from ._words import slices
 
 SAMPLE = 250
 LANGUAGES = 64
 TEXTS = 2_000
 LONGEST = 6_000
+PIECES = 4
 STRETCH = (4, 30)
 UNIT = 16
 BLOCK = 64
@@ -357,13 +358,13 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Field:
     fair = docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    short = fair.filter(F.length("text") <= LONGEST).select("doc_id", "lang", "text")
-    ids = sample_ids(short, "lang", sample, languages)
+    texts = fair.filter(F.col("text").isNotNull()).select("doc_id", "lang", stretched(F.col("text"), F.col("doc_id"), LONGEST, PIECES).alias("text"))
+    ids = sample_ids(texts, "lang", sample, languages)
     each = TEXTS // max(1, len({y for _, y in ids}))
     if each < sample:
         seen = Counter()
         ids = [x for x in sorted(ids) if seen.update([x[1]]) or seen[x[1]] <= each]
-    return fit([(t, y) for _, y, t in sampled_texts(short, ids, ["doc_id", "lang"], "doc_id long, lang string")])
+    return fit([(t, y) for _, y, t in sampled_texts(texts, ids, ["doc_id", "lang"], "doc_id long, lang string")])
 
 
 def _label(field, names):

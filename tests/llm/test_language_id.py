@@ -137,3 +137,12 @@ def test_repeated_rows_and_long_texts(spark):
     long = spark.createDataFrame([(1, text(r, "cc", 200) * 1000, None)], "doc_id long, text string, lang string")
     out = L.language_id(df.limit(0).unionByName(spark.createDataFrame(rows[:300], df.schema)).unionByName(long)).filter("lang is null").collect()
     assert [x["lang_pred"] for x in out] == ["cc"]
+
+
+def test_long_texts_only(spark):
+    """Every labelled text is longer than what is sampled of one: all is learned from stretches of it."""
+    r = random.Random(8)
+    rows = [(d, text(r, x := "aabb"[d % 2 * 2 :][:2], 1500), x) for d in range(40)]
+    assert min(len(t) for _, t, _ in rows) > L.LONGEST
+    got = L.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(x["lang_pred"] == x["lang"] and x["score"] > 0.9 for x in got)
