@@ -4,14 +4,16 @@
    model over Latin, Greek and Cyrillic letters.  Letters of other scripts are one
    symbol, so words in them are scored as written.
 2. Noisy channel: a written word is a lattice of the characters it may stand for
-   (leet digits and signs, separators between letters, repeated letters, letters
-   set apart by spaces or signs).  Viterbi decoding under the language model gives
-   the word meant.  A word without any such sign has one path.  Words cut by spaces
-   into pieces of two letters or more are scored piece by piece.
+   (leet digits and signs, separators between letters, repeated letters).  Viterbi
+   decoding under the language model gives the word meant.  A word without any such
+   sign has one path.  A run of short pieces with a single letter among them is one
+   lattice in which every space may be meant or not, so the model decides where
+   words end.  Words cut into pieces of two letters or more are scored piece by piece.
 3. A classifier over restored words (the word, its ends and inner n-grams) is
-   fitted on the driver on at most ``SAMPLE`` labelled documents of either class,
-   none over ``LONGEST`` characters; half of them find the markers by which the other
-   half's documents are weighed.  Scores are logistic in the strongest words.
+   fitted on the driver on at most ``SAMPLE`` labelled documents of either class (of
+   one of over ``LONGEST`` characters, stretches of as many from hashed places all
+   over it); the documents of each of ``FOLDS`` folds are weighed by the markers that the
+   others give.  Scores are logistic in the strongest words.
 
 Labels are taken only from documents whose crc32(doc_id as text) mod 3 is not 1;
 scores depend on the text alone.
@@ -37,11 +39,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import documents, extras, mapped, sample_ids, sampled_texts
+from ._frames import documents, extras, mapped, sample_ids, sampled_texts, stretched
 from ._words import slices
 
 SAMPLE = 2000
 LONGEST = 12_000
+PIECES = 12
+FOLDS = 4
 CUT = 0.7
 _STORE = 500_000
 _OFTEN = 4
@@ -107,7 +111,9 @@ def smoothed(count: np.ndarray) -> np.ndarray:
 
 # ---- the channel -----------------------------------------------------------
 
-_STAY, _LEET_COST, _DROP, _REPEAT, _KEEP_SIGN = 0.0, -1.0, -1.0, -0.7, -9.0
+_STAY, _LEET_COST, _DROP, _REPEAT, _KEEP_SIGN, _JOIN, _SPACED = 0.0, -1.0, -1.0, -0.7, -9.0, -3.0, 2.0
+PIECE = 3  # letters of a piece
+RUN = 64  # pieces of a lattice
 
 
 def _code(c: str) -> int:
@@ -143,7 +149,13 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
             runs.append([c, 1])
     latin = all(c < "\u0370" for c in word if c.isalpha())
     out = []
-    for c, n in runs:
+    letter = [c.isalpha() and n == 1 for c, n in runs]
+    gap = [c == " " for c, _ in runs]
+    alone = [x and (i < 1 or gap[i - 1]) and (i + 1 == len(runs) or gap[i + 1]) for i, x in enumerate(letter)]
+    for i, (c, n) in enumerate(runs):
+        if c == " ":  # between two single letters a space is likelier to be none
+            out.append([(" ", _STAY), ("", _SPACED if alone[i - 1] and alone[i + 1] else _JOIN)])
+            continue
         meant = LEET.get(c, "")
         if not latin:
             meant += "".join(ALIKE.get(x, "") for x in meant)
@@ -181,21 +193,23 @@ _ENDS = ".,;:!?\"'()[]{}<>«»…*#%&$-_"
 
 
 def tokens(text: str) -> list[str]:
-    """Lower-case words; letters set apart one by one are joined."""
+    """Lower-case words; a run of short pieces with a single letter among them is one, with its spaces."""
     words = text.lower().split()
-    out, i, n = [], 0, len(words)
-    while i < n:
-        if len(words[i]) == 1 and i + 2 < n and len(words[i + 1]) == 1 and len(words[i + 2]) == 1:
-            j = i
-            while j < n and len(words[j]) == 1:
-                j += 1
-            joined = "".join(words[i:j])
-            if sum(map(str.isalpha, joined)) >= 3:
-                out.append(joined)
-                i = j
-                continue
-        out.append(words[i])
-        i += 1
+    if not any(len(w) == 1 for w in words):
+        return words
+    out, run = [], []
+    for w in [*words, ""]:
+        if 0 < len(w) <= PIECE and any(map(str.isalpha, w)):
+            run.append(w)
+            continue
+        if len(run) > 1 and any(len(p) == 1 for p in run) and sum(map(len, run)) > PIECE:
+            for i in range(0, len(run), RUN):
+                out.append(" ".join(run[i : i + RUN]))
+        else:
+            out += run
+        run = []
+        if w:
+            out.append(w)
     return out
 
 
@@ -208,6 +222,16 @@ def features(word: str) -> set[str]:
     return got
 
 
+def meant(word: str, lm: np.ndarray) -> list[str]:
+    """The words of over two letters that a token stands for."""
+    core = word.strip(_ENDS)
+    if " " in core:
+        found = restore(core, lm).split()
+    else:
+        found = [restore(core, lm) if suspicious(core) else restore(word, lm) if suspicious(word) else core]
+    return [w for w in found if len(w) > 2]
+
+
 class _Scores(dict):
     """Scores of words, computed when first asked for."""
 
@@ -246,23 +270,18 @@ class Scorer:
         return a.iter
 
     def word(self, word: str) -> float:
-        core = word.strip(_ENDS)
-        if suspicious(core):
-            core = restore(core, self.lm)
-        elif suspicious(word):
-            core = restore(word, self.lm)
         self.find = self.find or self._automaton()
-        return max((x for _, x in self.find(f"^{core}$")), default=0.0) if len(core) > 2 else 0.0
+        return max((x for core in meant(word, self.lm) for _, x in self.find(f"^{core}$")), default=0.0)
 
     def strongest(self, text: str | None) -> list[float]:
-        """The second strongest word, the mean of the three strongest, how many are strong (log), 1."""
+        """The strongest and the second strongest word, the mean of the three strongest, how many are strong (log), 1."""
         words = tokens(text) if text else []
         known = self.known
         if len(known) > _STORE:
             known.clear()
         found = sorted(filter(None, map(known.__getitem__, words)), reverse=True)
         top = (found[:3] + [0.0] * 3)[:3]
-        return [top[1], sum(top) / 3, math.log1p(sum(x > 3 for x in found)), 1.0]
+        return [top[0], top[1], sum(top) / 3, math.log1p(sum(x > 3 for x in found)), 1.0]
 
     def score(self, text: str | None) -> float:
         z = sum(a * b for a, b in zip(self.weights, self.strongest(text)))
@@ -296,36 +315,37 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
 def fit(lm: np.ndarray, sample: list[tuple[str, int]]) -> Scorer:
     """A scorer from (text, label) rows."""
     if len({y for _, y in sample}) < 2:
-        return Scorer(lm, {}, [0.0, 0.0, 0.0, -30.0])
+        return Scorer(lm, {}, [0.0, 0.0, 0.0, 0.0, -30.0])
 
     @lru_cache(maxsize=20_000)
     def of(word: str) -> frozenset:
-        core = word.strip(_ENDS)
-        core = restore(core, lm) if suspicious(core) else restore(word, lm) if suspicious(word) else core
-        return frozenset(features(core)) if len(core) > 2 else frozenset()
+        return frozenset().union(*map(features, meant(word, lm)))
 
     def found(text: str | None) -> set[str]:
         return set().union(*map(of, set(tokens(text)))) if text else set()
 
-    count = [[Counter(), Counter()] for _ in range(2)]  # by half and label
-    size = [[0, 0], [0, 0]]
+    count = [[Counter(), Counter()] for _ in range(FOLDS)]  # by fold and label
+    size = [[0, 0] for _ in range(FOLDS)]
+    often: set[str] = set()
     for label in (1, 0):  # toxic texts first: only what is frequent in them is counted in the others
-        if label == 0:
-            often = {f for f, n in (count[0][1] + count[1][1]).items() if n >= _OFTEN}
-            for half in (0, 1):
-                count[half][1] = Counter({f: n for f, n in count[half][1].items() if f in often})
-        for half in (0, 1):
-            for t, y in sample[half::2]:
+        for fold in range(FOLDS):
+            for t, y in sample[fold::FOLDS]:
                 if y == label:
-                    size[half][label] += 1
-                    count[half][label].update(found(t) if label else found(t) & often)
+                    size[fold][label] += 1
+                    count[fold][label].update(found(t) if label else found(t) & often)
+        if label:
+            total = sum((count[fold][1] for fold in range(FOLDS)), Counter())
+            often = {f for f, n in total.items() if n >= _OFTEN}
+            for fold in range(FOLDS):
+                count[fold][1] = Counter({f: n for f, n in count[fold][1].items() if f in often})
+    both = [sum((count[fold][y] for fold in range(FOLDS)), Counter()) for y in (0, 1)]
+    n = [sum(size[fold][y] for fold in range(FOLDS)) for y in (0, 1)]
     rows = []
-    for half in (0, 1):
-        side = Scorer(lm, find_markers(count[half][1], count[half][0], size[half][1], size[half][0]), [])
-        rows += [(side.strongest(t), y) for t, y in sample[1 - half :: 2]]
+    for fold in range(FOLDS):  # each fold's documents are weighed by the markers of the others
+        side = Scorer(lm, find_markers(both[1] - count[fold][1], both[0] - count[fold][0], n[1] - size[fold][1], n[0] - size[fold][0]), [])
+        rows += [(side.strongest(t), y) for t, y in sample[fold::FOLDS]]
     weights = _logistic(np.array([x for x, _ in rows]), np.array([y for _, y in rows], float))
-    both = [count[0][y] + count[1][y] for y in (0, 1)]
-    return Scorer(lm, find_markers(both[1], both[0], size[0][1] + size[1][1], size[0][0] + size[1][0]), weights)
+    return Scorer(lm, find_markers(both[1], both[0], n[1], n[0]), weights)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -335,7 +355,7 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     labelled = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     ids = sample_ids(labelled, "toxic", sample, 2)
-    texts = docs.select("doc_id", "text").filter(F.length("text") <= LONGEST)
+    texts = docs.select("doc_id", stretched(F.col("text"), F.col("doc_id"), LONGEST, PIECES).alias("text"))
     rows = sampled_texts(texts, ids, ["doc_id"], "doc_id long, toxic int")
     return fit(language_model(docs), [(t, y) for _, y, t in rows])
 

@@ -57,7 +57,8 @@ def test_restore():
         assert T.restore("".join(HIDE.get(c, c) for c in w), lm) == w
         assert T.restore(".".join(w), lm) == w
         assert T.restore(w.replace(w[2], w[2] * 5), lm) in (w, w.replace(w[2], w[2] * 2))
-        assert T.tokens("x " * 2 + "word " + " ".join(w))[-1] == w
+        assert T.tokens("x " * 2 + "word " + " ".join(w))[-1] == " ".join(w)
+        assert T.meant(" ".join(w), lm) == [w] and T.meant(f"{w[:3]} {w[3]} {w[4:7]} {w[7:]}".strip(), lm) == [w]
     s = T.Scorer(lm, {"^grum": 3.0, "~tion": 2.0, "skruvell": 9.0, "olor$": 4.0}, [])
     assert all(s.word(w) == max((s.markers.get(f, 0.0) for f in T.features(w)), default=0.0) for w in [*BAD, "station", "ab", "color"])
 
@@ -97,3 +98,29 @@ def test_driver_gets_the_sample(spark):
     long = spark.createDataFrame([(-1, docs[0][1].replace(BAD[0], "") + " the ing" * 100_000 + " " + " ".join(BAD)), (-2, "the ing " * 100_000)], "doc_id long, text string")
     got = {x["doc_id"]: x["score"] for x in T.toxicity(df.unionByName(long), lab).filter("doc_id < 0").collect()}
     assert got[-1] > 0.5 > got[-2]
+
+
+def test_spaces_are_decoded():
+    """Where words end in a run of short pieces is the model's decision."""
+    docs, _ = corpus(2, 400)
+    lm = T.smoothed(T.trigram_counts([t for _, t in docs] + [" ".join(BAD)] * 50).astype(float))
+    assert T.meant(" ".join(BAD[0] + BAD[1]), lm) == BAD[:2]
+    assert T.tokens("of in a the") == ["of in a the"] and T.tokens("of in the") == ["of", "in", "the"] and T.tokens("a word b") == ["a", "word", "b"]
+    assert sum(len(w.split()) for w in T.tokens("a b " * 500)) == 1000  # long runs go piece by piece, none is lost
+
+
+def test_long_texts_only(spark):
+    """Every labelled text is longer than what is sampled of one; the marked words are all over them."""
+    r = random.Random(9)
+    plain = ["".join(r.choices("abcdefgh", k=5)) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(120):
+        words = r.choices(plain, k=3000)
+        if i % 3 == 0:
+            for _ in range(30):
+                words[r.randrange(len(words))] = r.choice(BAD[:2])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 3 == 0)))
+    assert min(len(t) for _, t in rows) > T.LONGEST
+    got = T.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).select("doc_id", "predicted").collect()
+    assert {x["doc_id"] for x in got if x["predicted"]} == {i for i in range(0, 120, 3)}
