@@ -45,6 +45,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 _STATES = 100_000
 _PAIRS = 500_000
 _STORE = 800_000
+_KEPT = 64  # characters of the longest match that is held, so the store's bytes are bounded
 _BLOCK = 1 << 16
 
 
@@ -216,7 +217,9 @@ class _Outputs(dict):
         self.transducer = transducer
 
     def __missing__(self, piece: str) -> bytes:
-        got = self[piece] = array("I", self.transducer.encode(piece.encode())).tobytes()
+        got = array("I", self.transducer.encode(piece.encode())).tobytes()
+        if len(piece) <= _KEPT:
+            self[piece] = got
         return got
 
 

@@ -39,6 +39,7 @@ MOST = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 _STORE = 1_400_000
+_KEPT = 128  # bytes of the longest word that is held after its batch, so the store's bytes are bounded
 #: Letters of ASCII and Latin-1 in lower case, digits, white space, full stops and commas.
 _USUAL = bytes([*range(97, 123), *range(48, 58), 0x20, 0x0A, 0x2E, 0x2C, 0xC3, *range(0x80, 0xC0)])
 _RUNS = (b"..", b",,", b".,", b",.", b"\xc3\x97", b"\xc3\xb7")
@@ -95,7 +96,7 @@ class WordIds:
         split = [_apart(t).split() for t in texts]
         known = self.known
         get, new = known.__getitem__, known.new
-        found = []
+        found, fresh = [], []
         for words in split:
             before = len(new)
             ids = list(map(get, words))
@@ -108,7 +109,11 @@ class WordIds:
                 fresh = list(set().union(*split))
             self.learn(fresh)
             found = [map(get, words) if ids is None else ids for words, ids in zip(split, found)]
-        return [b"".join(ids) for ids in found]
+        out = [b"".join(ids) for ids in found]
+        for w in fresh:
+            if len(w) > _KEPT:
+                known.pop(w, None)
+        return out
 
 
 class _Known(dict):

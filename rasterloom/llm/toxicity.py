@@ -48,6 +48,7 @@ PIECES = 12
 FOLDS = 4
 CUT = 0.7
 _STORE = 500_000
+_KEPT = 64  # characters of the longest word whose score is held, so the store's bytes are bounded
 _OFTEN = 4
 #: Lower-case letters of the language model's alphabet: Latin, Greek, Cyrillic (fixed values).
 _LETTERS = (
@@ -239,7 +240,9 @@ class _Scores(dict):
         self.scorer = scorer
 
     def __missing__(self, word: str) -> float:
-        got = self[word] = self.scorer.word(word)
+        got = self.scorer.word(word)
+        if len(word) <= _KEPT:
+            self[word] = got
         return got
 
 
