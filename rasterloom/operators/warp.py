@@ -7,22 +7,20 @@ The stencil table has a fixed size and is broadcast; the only exchange of a plai
 is that of the aggregation, with partial sums before it.  Sums are integers, so results
 are the same for any partitioning.
 
-``swept`` does the same steps, up to partial sums, for one sample a pixel on Arrow
-batches: the same operations in the same order on vectors, so the same bits, without
-the session setting that the SQL expressions' large methods need.
+``cells`` does the same steps on vectors (see ``tiles``), to the same bits; the expressions here
+serve what needs single fragments: the k-buffer and statistics.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..consts import LATTICE_MAX, SAMPLE_MAX, SUBPIXEL, WEIGHT_UNITY, Supersample, WarpParams
+from ..consts import LATTICE_MAX, SUBPIXEL, Supersample, WarpParams
 from ..functions import spline
 from ..functions.fixed import rounded, weight
 from . import lattice as L
+from . import tiles
 
 FRAGMENT = ["frame_id", "tx", "ty", "qx", "qy", "lum", "cb", "cr", "w", "z", "tag"]
 SEQ = ["py", "px", "sy", "sx"]
@@ -167,106 +165,6 @@ def bin_stats(pixels: DataFrame, stencil: DataFrame, width: int, height: int, pa
     return both.selectExpr("source_samples", "primary_fragments", "replica_fragments", "source_samples - primary_fragments as dropped_off_raster")
 
 
-# ---- the same on vectors -------------------------------------------------------
-
-
-def _axis(p: np.ndarray, size: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """(cell, weights of the four neighbours, their derivatives) along one axis, as ``spline`` has them."""
-    u = p * float(LATTICE_MAX) / float(size - 1) if size > 1 else np.zeros(len(p))
-    u = np.clip(u, 0.0, float(LATTICE_MAX))
-    cell = np.minimum(np.floor(u).astype(np.int64), LATTICE_MAX - 1)
-    t = u - cell
-    t2 = t * t
-    t3 = t2 * t
-    value = [-0.5 * t3 + t2 - 0.5 * t, 1.5 * t3 - 2.5 * t2 + 1.0, -1.5 * t3 + 2.0 * t2 + 0.5 * t, 0.5 * t3 - 0.5 * t2]
-    slope = [-1.5 * t2 + 2.0 * t - 0.5, 4.5 * t2 - 5.0 * t, -4.5 * t2 + 4.0 * t + 0.5, 1.5 * t2 - t]
-    return cell, value, slope
-
-
-def _half_up(x: np.ndarray) -> np.ndarray:
-    """x clamped to 0..65535 and rounded half up."""
-    x = np.clip(x, 0.0, float(SAMPLE_MAX))
-    low = np.floor(x)
-    return low.astype(np.int64) + (x - low >= 0.5)
-
-
-def _surface(points: np.ndarray, px: np.ndarray, py: np.ndarray, width: int, height: int):
-    """(x, y, determinant for one pixel) at source pixels; points: x and y of the lattice, edges repeated by one before and two after."""
-    ci, wu, du = _axis(px, width)
-    cj, wv, dv = _axis(py, height)
-    sums = [[0.0] * 3 for _ in points]
-    for a in range(4):
-        for b in range(4):
-            weights = wv[a] * wu[b], wv[a] * du[b], dv[a] * wu[b]
-            for c, plane in enumerate(points):
-                p = plane[cj + a, ci + b]
-                for k, w in enumerate(weights):
-                    sums[c][k] = sums[c][k] + w * p
-    su = float(LATTICE_MAX) / (width - 1) if width > 1 else 0.0
-    sv = float(LATTICE_MAX) / (height - 1) if height > 1 else 0.0
-    (x, xu, xv), (y, yu, yv) = sums
-    return x, y, (xu * su) * (yv * sv) - (xv * sv) * (yu * su)
-
-
-def _contributions(x, y, det, colours, params: WarpParams):
-    """(index of the pixel, cell, the four contributions) of all corners that count."""
-    t = params.tile
-    on = np.flatnonzero((x >= 0) & (x < params.width) & (y >= 0) & (y < params.height))
-    x, y = x[on], y[on]
-    with np.errstate(divide="ignore"):
-        w = _half_up(np.minimum(1.0 / np.abs(det[on]), params.max_k) * float(WEIGHT_UNITY))
-    spots = {}
-    for name, p, size in (("x", x, params.width), ("y", y, params.height)):
-        base = np.floor(p).astype(np.int64)
-        tile, inside, part = base // t, base % t, p - base
-        for copy in (0, 1):
-            q = _half_up((inside + part - copy * t + 1.0) * float(SUBPIXEL)) - SUBPIXEL
-            there = (inside == t - 1) & (tile + 1 < -(-size // t)) if copy else None
-            for corner in (0, 1):
-                at, far = (q >> 4) + corner, q & 15
-                near = far if corner else SUBPIXEL - far
-                d = (tile + copy) * t + at
-                ok = (near > 0) & (at >= 0) & (at < t) & (d < size)
-                spots[name, copy, corner] = (ok if there is None else ok & there), d, near
-    found = []
-    for cy, j, cx, i in np.ndindex(2, 2, 2, 2):
-        (okx, dx, nx), (oky, dy, ny) = spots["x", cx, i], spots["y", cy, j]
-        k = np.flatnonzero(okx & oky)
-        if len(k):
-            found.append((k, dy[k] * params.width + dx[k], nx[k] * ny[k]))
-    if not found:
-        return on[:0], on[:0], [on[:0]] * 4
-    k, cell, raw = (np.concatenate(c) for c in zip(*found))
-    weighed = w[k] * raw
-    return on[k], cell, [(c[on[k]] * weighed) >> 8 for c in colours] + [weighed >> 8]
-
-
-def swept(pixels: DataFrame, control: DataFrame, width: int, height: int, params: WarpParams) -> DataFrame:
-    """Partial sums (frame_id, cell, slum, scb, scr, sw) of one sample for each pixel, added up within Arrow batches."""
-    points = np.pad(L.points(control)[:2], ((0, 0), (1, 2), (1, 2)), mode="edge")
-    cells = params.width * params.height
-
-    def run(batches):
-        for b in batches:
-            frame, px, py, *colours = (np.asarray(b.column(c)).astype(np.int64) for c in ("frame_id", "px", "py", "lum", "cb", "cr"))
-            at, cell, parts = _contributions(*_surface(points, px.astype(np.float64), py.astype(np.float64), width, height), colours, params)
-            if not len(at):
-                continue
-            frames, of = np.unique(frame, return_inverse=True)
-            key = of[at] * cells + cell
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            sums = [np.add.reduceat(p[order], head) for p in parts]
-            key = key[head]
-            yield pa.RecordBatch.from_arrays([pa.array(frames[key // cells]), pa.array((key % cells).astype(np.int32)), *map(pa.array, sums)], ["frame_id", "cell", *(s for _, s in _SUMS)])
-
-    kinds = "frame_id long, cell int, " + ", ".join(f"{s} long" for _, s in _SUMS)
-    return pixels.select("frame_id", "px", "py", "lum", "cb", "cr").mapInArrow(run, kinds)
-
-
-def cells(pixels: DataFrame, control: DataFrame, width: int, height: int, params: WarpParams, frames: DataFrame | None = None) -> DataFrame:
-    """Colour and weight sums of a warp by the lattice ``control``; frames: with a row for every destination cell of these."""
-    if params.supersample.most <= 1:
-        return _summed(swept(pixels, control, width, height, params), params, frames)
-    return splat(fragments(pixels, L.stencils(control), width, height, params), params, frames)
+def cells(pixels: DataFrame, control: DataFrame, width: int, height: int, params: WarpParams, frames: DataFrame | None = None, rows: tuple[int, int] | None = None) -> DataFrame:
+    """Colour and weight sums of a warp by the lattice ``control``; frames: with a row for every destination cell of these; rows: only source rows in [start, end)."""
+    return tiles.summed(tiles.blocks(pixels, control, width, height, params, rows), params, frames)

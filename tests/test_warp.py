@@ -133,13 +133,50 @@ def test_vectors_like_expressions(spark, shape, params):
     px = raster(spark, 40, 30, lambda x, y: (r.randrange(65536), r.randrange(65536), r.randrange(65536))).selectExpr("explode(array(3L, 9L)) as frame_id", "px", "py", "(lum + frame_id) % 65536 as lum", "cb", "cr")
     px = px.withColumn("lum", F.col("lum").cast("int"))
     control = L.build(spark, shape, **params)
-    for size, log2 in ((70, 5), (41, 3)):
-        p = WarpParams(size, size + 3, supersample=Supersample(most=1), tile_log2=log2, max_k=3.0)
+    for size, log2, most in ((70, 5, 1), (41, 3, 1), (70, 4, 4), (90, 7, 2)):
+        p = WarpParams(size, size + 3, supersample=Supersample(most=most), tile_log2=log2, max_k=3.0)
         want = warp.splat(warp.fragments(px, L.stencils(control), 40, 30, p), p)
         got = warp.cells(px.repartition(5), control, 40, 30, p)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_source_tiles_meet(spark):
+    """Small source tiles: taps come from a tile's border, also in bands; and small groups of destination tiles."""
+    from rasterloom.operators import tiles
+
+    r = random.Random(11)
+    px = raster(spark, 35, 21, lambda x, y: (r.randrange(65536), r.randrange(65536), r.randrange(65536)))
+    control = L.build(spark, "affine", width=35, height=21, scale_x=2.3, scale_y=1.6, offset_x=-2.5)
+    p = WarpParams(80, 34, tile_log2=3)
+    want = sorted(map(tuple, warp.splat(warp.fragments(px, L.stencils(control), 35, 21, p), p).collect()))
+    assert tiles.source_tiles(px, 35, 21, 8).count() > 35 * 21
+    one, points = tiles._tile_warp(35, 21, p, None, 8), tiles.padded(L.points(control)[:2])
+    small = tiles.source_tiles(px, 35, 21, 8).groupBy("frame_id", "src").applyInArrow(lambda t: one(t, points), tiles._BLOCK)
+    assert sorted(map(tuple, tiles.summed(small, p).collect())) == want
+    bands = [warp.cells(px, control, 35, 21, p, rows=b) for b in ((0, 7), (7, 8), (8, 21))]
+    assert sorted(map(tuple, resolve.sum_cells(*bands).collect())) == want
+
+
+def test_tiles_go_on_from_batch_to_batch(spark):
+    """Blocks of one tile in many Arrow batches, and frames that get nothing but the grid."""
+    from rasterloom.operators import tiles
+
+    r = random.Random(12)
+    px = raster(spark, 30, 30, lambda x, y: (r.randrange(65536), 0, 65535)).repartition(40)
+    control = L.build(spark, "affine", width=30, height=30, scale_x=0.2, scale_y=0.2)
+    p = WarpParams(70, 40, supersample=Supersample(most=1))
+    frames = spark.createDataFrame([(0,), (5,)], "frame_id long")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, 3)
+    try:
+        got = {tuple(x[:3]): tuple(x[3:]) for x in tiles.summed(tiles.blocks(px, control, 30, 30, p), p, frames).collect()}
+    finally:
+        spark.conf.set(key, was)
+    want = {tuple(x[:3]): tuple(x[3:]) for x in warp.splat(warp.fragments(px, L.stencils(control), 30, 30, p), p, frames).collect()}
+    assert got == want and len(got) == 2 * 70 * 40
+
+
 def test_tags_from_pixels(spark):
     """A whole k-buffer frame: two crossing pages, the nearer wins; by two aggregations and by folding."""
     px = raster(spark, 8, 6, lambda x, y: (1000 * x, 0, 0)).selectExpr("*", "cast(px % 2 as smallint) as tag", "10 - px as depth")
