@@ -49,14 +49,20 @@ def sphere(radius: float = 200.0, span_h: float = math.pi / 2, span_v: float = m
     return f"({cx!r}D + {radius!r}D * sin({a}) * cos({b}))", f"({cy!r}D + {radius!r}D * sin({b}))", f"({radius!r}D * (1.0D - cos({a}) * cos({b})))"
 
 
+def _sql(x: float | str) -> str:
+    """A parameter as SQL: a number, or an expression over the columns of ``build_each``'s table."""
+    return f"({x})" if isinstance(x, str) else f"{float(x)!r}D"
+
+
 @register("page_turn")
-def page_turn(width: float = 400.0, height: float = 400.0, radius: float = 60.0, progress: float = 0.0, cx: float = 0.0, cy: float = 0.0):
-    spine, flat = cx - width / 2.0, (1.0 - progress) * width
-    sx = f"(s * {width!r}D)"
-    a = f"(({sx} - {flat!r}D) / {radius!r}D)"
-    x = f"(case when {sx} <= {flat!r}D then {spine!r}D + {sx} else {spine!r}D + {flat!r}D + {radius!r}D * sin({a}) end)"
-    z = f"(case when {sx} <= {flat!r}D then 0D else {radius!r}D * (1.0D - cos({a})) end)"
-    return x, f"({cy!r}D + (t - 0.5D) * {height!r}D)", z
+def page_turn(width: float | str = 400.0, height: float | str = 400.0, radius: float | str = 60.0, progress: float | str = 0.0, cx: float | str = 0.0, cy: float | str = 0.0):
+    width, height, radius, progress, cx, cy = map(_sql, (width, height, radius, progress, cx, cy))
+    spine, flat = f"({cx} - {width} / 2.0D)", f"((1.0D - {progress}) * {width})"
+    sx = f"(s * {width})"
+    a = f"(({sx} - {flat}) / {radius})"
+    x = f"(case when {sx} <= {flat} then {spine} + {sx} else {spine} + {flat} + {radius} * sin({a}) end)"
+    z = f"(case when {sx} <= {flat} then 0D else {radius} * (1.0D - cos({a})) end)"
+    return x, f"({cy} + (t - 0.5D) * {height})", z
 
 
 def build(spark: SparkSession, shape: str, **params) -> DataFrame:
@@ -67,6 +73,15 @@ def build(spark: SparkSession, shape: str, **params) -> DataFrame:
     return grid.selectExpr("row", "col", f"{x} as x", f"{y} as y", f"{z} as z")
 
 
+def build_each(settings: DataFrame, shape: str, **params) -> DataFrame:
+    """(lattice_id, row, col, x, y, z): a lattice for each row of settings (lattice_id, ...), whose columns parameters may name."""
+    x, y, z = SHAPES[shape](**params)
+    grid = settings.selectExpr("*", f"explode(sequence(0, {(N + 1) ** 2 - 1})) as __i")
+    grid = grid.selectExpr("*", f"cast(__i div {N + 1} as int) as row", f"cast(__i % {N + 1} as int) as col")
+    grid = grid.selectExpr("*", f"col / {float(N)}D as s", f"row / {float(N)}D as t")
+    return grid.selectExpr("lattice_id", "row", "col", f"{x} as x", f"{y} as y", f"{z} as z")
+
+
 def rotate(lattice: DataFrame, yaw: float, pitch: float, px: float, py: float, pz: float) -> DataFrame:
     """Rigid rotation about a pivot: yaw in (x, z), then pitch in (y, z)."""
     cy, sy, cp, sp = math.cos(yaw), math.sin(yaw), math.cos(pitch), math.sin(pitch)
@@ -84,8 +99,8 @@ def morph(start: DataFrame, end: DataFrame, t: float) -> DataFrame:
 
 
 def quantised(lattice: DataFrame, bits: int = 20) -> DataFrame:
-    """The lattice with every coordinate rounded to a multiple of 2 ** -bits."""
-    return lattice.selectExpr("row", "col", *(f"round({c} * {float(1 << bits)!r}D) / {float(1 << bits)!r}D as {c}" for c in "xyz"))
+    """The lattice, or lattices, with every coordinate rounded to a multiple of 2 ** -bits."""
+    return lattice.selectExpr(*(c for c in lattice.columns if c not in "xyz"), *(f"round({c} * {float(1 << bits)!r}D) / {float(1 << bits)!r}D as {c}" for c in "xyz"))
 
 
 def points(lattice: DataFrame) -> np.ndarray:

@@ -168,3 +168,8 @@ def bin_stats(pixels: DataFrame, stencil: DataFrame, width: int, height: int, pa
 def cells(pixels: DataFrame, control: DataFrame, width: int, height: int, params: WarpParams, frames: DataFrame | None = None, rows: tuple[int, int] | None = None) -> DataFrame:
     """Colour and weight sums of a warp by the lattice ``control``; frames: with a row for every destination cell of these; rows: only source rows in [start, end)."""
     return tiles.summed(tiles.blocks(pixels, control, width, height, params, rows), params, frames)
+
+
+def cells_by_frame(pixels: DataFrame, lattices: DataFrame, choice: DataFrame, width: int, height: int, params: WarpParams, frames: DataFrame | None = None) -> DataFrame:
+    """``cells`` where each frame has a lattice of its own: lattices (lattice_id, row, col, x, y), choice (frame_id, lattice_id)."""
+    return tiles.summed(tiles.blocks_by_frame(pixels, lattices, choice, width, height, params), params, frames)

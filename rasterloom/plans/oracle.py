@@ -326,6 +326,57 @@ one as (select dx, dy, e.l as l, e.b as b, e.r as r, e.w as w, row_number() over
 select dx, dy, {_composite()} from one where n = 1"""
 
 
+FRAMES = """
+ev as (
+  select event_id // 2000 as frame_id, (event_id % 100)::int as px, ((event_id // 100) % 20)::int as py,
+         ((4 + floor(value * 100)::bigint % 1016) * 64)::int as lum, ((4 + (user_id * 7) % 1016) * 64)::int as cb, ((4 + (event_id * 31) % 1016) * 64)::int as cr
+  from events
+),
+pxs as (
+  select f::bigint as frame_id, x::int as px, y::int as py, coalesce(lum, 4096) as lum, coalesce(cb, 32768) as cb, coalesce(cr, 32768) as cr
+  from range((select (count(*) + 1999) // 2000 from events)) a(f), range(100) b(x), range(20) c(y) left join ev on ev.frame_id = f and ev.px = x and ev.py = y
+)"""
+FILES = f"with {FRAMES} select frame_id, px as x, py as y, ({CODE.format('lum')} * 64)::int as v from pxs"
+
+
+def _animated() -> str:
+    """Every frame's own lattice: what a single frame's SQL does, with the frame as a further key."""
+    flat = f"((1 - p) * {d(90)})"
+    bend = f"((s * {d(90)} - {flat}) / {d(15)})"
+    lattice = f"""setting as (select event_id as moment, floor(value * 100)::bigint % 1000 as v from events where event_type = 'purchase'),
+picked as (select f.frame_id, coalesce(arg_max(v, moment), 0)::double / 1000 as p from (select distinct frame_id from pxs) f left join setting on moment <= f.frame_id * 2000 + 1999 group by f.frame_id),
+raw as (
+  select frame_id, r, c, case when s * {d(90)} <= {flat} then {d(50)} - {d(90)} / 2 + s * {d(90)} else {d(50)} - {d(90)} / 2 + {flat} + {d(15)} * sin({bend}) end as x,
+    {d(10)} + (t - {d(0.5)}) * {d(16)} as y from grid, picked
+),
+lat as (select frame_id, r, c, round(x * 1048576::double) / 1048576::double as x, round(y * 1048576::double) / 1048576::double as y, 0::double as z from raw),
+cells as (
+  select frame_id, i, j, list(x order by k) as lx, list(y order by k) as ly, list(z order by k) as lz
+  from (select u.i, v.j, k, least(greatest(v.j - 1 + k // 4, 0), 128) as r, least(greatest(u.i - 1 + k % 4, 0), 128) as c
+        from range(128) u(i), range(128) v(j), range(16) w(k)) q join lat using (r, c)
+  group by frame_id, i, j
+)"""
+    steps = f"{_fragments('100', '20', True)}, {CORNERS}".replace("from px q", "from pxs q").replace("on i = ci and j = cj", "on i = ci and j = cj and cells.frame_id = q.frame_id").replace("select px, py, n, jy", "select frame_id, px, py, n, jy")
+    for k in "abef":
+        steps = steps.replace(f"join px {k} on {k}.px", f"join pxs {k} on {k}.frame_id = tap.frame_id and {k}.px")
+    steps = steps.replace("select px, py, jy, jx, dw", "select frame_id, px, py, jy, jx, dw")
+    return f"""with ht as (select 20 as h), {FRAMES}, {GRID}, {lattice}, {steps},
+acc as (select frame_id, dx, dy, {SUMS} from hitcell group by frame_id, dx, dy),
+dest as (select frame_id, px as dx, py as dy from pxs)
+select frame_id, dx, dy, {_composite()}, coalesce(w, 0)::bigint as w from dest left join acc using (frame_id, dx, dy)"""
+
+
+def _warped_files() -> str:
+    """Half-size frames as they come out of files: codes of what a frame's own SQL gives."""
+    steps = f"{_fragments('50', '10', False)}, {CORNERS}".replace("from px q", "from lumas q").replace("select px, py, jy, jx, dw", "select frame_id, px, py, jy, jx, dw")
+    return f"""with ht as (select 20 as h), {FRAMES}, {GRID}, {_cells(affine(0.5, 0.5))},
+lumas as (select frame_id, px, py, ({CODE.format('lum')} * 64)::int as lum, cb, cr from pxs), {steps},
+acc as (select frame_id, dx, dy, {SUMS} from hitcell group by frame_id, dx, dy),
+dest as (select frame_id, px as dx, py as dy from pxs where px < 50 and py < 10),
+out as (select frame_id, dx, dy, {_composite()} from dest left join acc using (frame_id, dx, dy))
+select frame_id, dx as x, dy as y, ({CODE.format('lum')} * 64)::int as v from out"""
+
+
 KFRAME = f"""select dx, dy, coalesce(lum, 4096)::int as lum, coalesce(cb, 32768)::int as cb, coalesce(cr, 32768)::int as cr
 from (select x::int as dx, y::int as dy from range(100) a(x), range((select (count(*) + 99) // 100 from events)) b(y)) g left join ({_blend()}) k using (dx, dy)"""
 
@@ -405,6 +456,9 @@ ORACLE_SQL = {
     "controls_fold": CONTROLS,
     "frame_bytes": ROUND_TRIP,
     "frame_file": ROUND_TRIP,
+    "frames_files": FILES,
+    "frames_files_warp": _warped_files(),
+    "warp_animated": _animated(),
     "frames_sink": f"select f::bigint as frame_id, row_no, packed from ({_pack()}) p, range(3) t(f)",
     "capture_gate": f"with {CAPTURE} select source_id, frame_no from kept",
     "ring_drop": RING,

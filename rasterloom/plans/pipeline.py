@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..consts import WarpParams, supported_width
 from ..operators import chroma, kbuffer, lattice, resolve, warp
-from ..sources import v210
+from ..sources import v210, v210_files
 
 
 def run_frame(pixels: DataFrame, control: DataFrame, width: int, height: int, params: WarpParams, frames: DataFrame | None = None) -> DataFrame:
@@ -21,6 +21,14 @@ def run_frame(pixels: DataFrame, control: DataFrame, width: int, height: int, pa
     return resolve.composite(warp.cells(pixels, control, width, height, params, frames), params.background)
 
 
+def run_frames(pixels: DataFrame, lattices: DataFrame, choice: DataFrame, width: int, height: int, params: WarpParams, frames: DataFrame | None = None) -> DataFrame:
+    """``run_frame`` for animated lattices: one plan, whatever the number of frames and of lattices.
+
+    lattices: (lattice_id, row, col, x, y, z); choice: (frame_id, lattice_id), the lattice in force for a frame.  A frame without one shows the background."""
+    frames = pixels.select("frame_id").distinct() if frames is None else frames
+    return resolve.composite(warp.cells_by_frame(pixels, lattices, choice, width, height, params, frames), params.background)
+
+
 def to_444(luma: DataFrame, chroma422: DataFrame) -> DataFrame:
     """Full-rate pixels of a 4:2:2 frame."""
     up = chroma.upsample(chroma422).selectExpr("frame_id", "x as px", "y as py", "cb", "cr")
@@ -55,3 +63,9 @@ def run_frame_file(spark: SparkSession, control: DataFrame, source: str, width:
         return False
     out = run_frame(to_444(*got), control, width, height, params, spark.range(1).select(F.col("id").alias("frame_id")))
     return v210.write_v210_file(*to_422(out), params.width, params.height, target)
+
+
+def run_frame_files(spark: SparkSession, control: DataFrame, source: str, width: int, height: int, params: WarpParams, target: str) -> None:
+    """All packed frames of a folder to files of the same numbers in another; nothing of them goes through the driver."""
+    rows = v210_files.read_frames(spark, source, width, height)
+    v210_files.write_frames(run_frame_rows(rows, control, width, height, params), target, params.width, params.height)

@@ -12,8 +12,8 @@ from ..consts import Background, Supersample, WarpParams
 from ..functions import spline
 from ..operators import chroma, kbuffer, resolve, warp
 from ..operators import lattice as L
-from ..sources import patterns, v210
-from ..sources.frames import events_frame, planes
+from ..sources import patterns, v210, v210_files
+from ..sources.frames import events_frame, events_frames, planes
 from ..sources.paths import scratch
 from ..streaming import live
 from . import pipeline
@@ -360,6 +360,42 @@ def frames_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{at}/frames").selectExpr("cast(frame_id as bigint) as frame_id", "row_no", "lower(hex(bytes)) as packed")
 
 
+def frames_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame of the events table as a packed file in a folder, read back."""
+    pixels, w, h = events_frames(spark, sf_dir)
+    at = scratch(spark, "packed")
+    v210_files.write_frames(v210.pack(*planes(pixels), w), f"{at}/frames", w, h)
+    return v210.unpack(v210_files.read_frames(spark, f"{at}/frames", w, h), w)[0].select("frame_id", "x", "y", "v")
+
+
+def frames_files_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of packed frames through a lattice into another folder, whose rows are returned."""
+    pixels, w, h = events_frames(spark, sf_dir)
+    at = scratch(spark, "packed")
+    v210_files.write_frames(v210.pack(*planes(pixels), w), f"{at}/source", w, h)
+    control = L.build(spark, "affine", width=w, height=h, scale_x=0.5, scale_y=0.5)
+    pipeline.run_frame_files(spark, control, f"{at}/source", w, h, WarpParams(w // 2, h // 2, supersample=PLAIN), f"{at}/target")
+    return v210.unpack(v210_files.read_frames(spark, f"{at}/target", w // 2, h // 2), w // 2)[0].select("frame_id", "x", "y", "v")
+
+
+def _progress(spark: SparkSession, sf_dir: str, frames: DataFrame, per_frame: int) -> DataFrame:
+    """(frame_id, lattice_id): for each frame the last setting up to its end, in thousandths (at most 999); 0 before the first."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    settings = events.filter("event_type = 'purchase'").selectExpr("0L as source_id", "event_id as at", "cast(floor(value * 100D) as bigint) % 1000 as value")
+    taken = frames.selectExpr("0L as source_id", "frame_id as frame_no", f"frame_id * {per_frame} + {per_frame - 1} as at")
+    return live.as_of(taken, settings).selectExpr("frame_no as frame_id", "coalesce(value, 0L) as lattice_id")
+
+
+def warp_animated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames of the events table under a turning page: each frame's lattice is the page at the progress last set before the frame's end."""
+    pixels, w, h = events_frames(spark, sf_dir)
+    frames = pixels.select("frame_id").distinct()
+    choice = _progress(spark, sf_dir, frames, w * h)
+    lattices = L.build_each(choice.select("lattice_id").distinct(), "page_turn", width=90.0, height=0.8 * h, radius=15.0, progress="lattice_id / 1000D", cx=50.0, cy=h / 2.0)
+    out = pipeline.run_frames(pixels, L.quantised(lattices), choice, w, h, WarpParams(w, h), frames)
+    return _out(out, "frame_id", "dx", "dy", "lum", "cb", "cr", "w")
+
+
 def determinism(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the flagship that change with the partitioning of its input: none."""
     pixels, w, h = events_frame(spark, sf_dir)
@@ -413,5 +449,8 @@ QUERIES = {
     "frame_bytes": frame_bytes,
     "frame_file": frame_file,
     "frames_sink": frames_sink,
+    "frames_files": frames_files,
+    "frames_files_warp": frames_files_warp,
+    "warp_animated": warp_animated,
     "determinism": determinism,
 }

@@ -37,6 +37,17 @@ def events_frame(spark: SparkSession, sf_dir: str, count: int | None = None, ext
     return pixels, WIDTH, height
 
 
+def events_frames(spark: SparkSession, sf_dir: str, height: int = 20) -> tuple[DataFrame, int, int]:
+    """(pixels, width, height) of the events table as a sequence of frames of 100 columns, one after another."""
+    pixels, width, rows = events_frame(spark, sf_dir)
+    pixels = pixels.selectExpr(f"cast(py div {height} as bigint) as frame_id", "px", f"py % {height} as py", "lum", "cb", "cr")
+    if rows % height:  # the last frame's missing rows are black
+        left = spark.range(rows % height * width, height * width, 1, 1)
+        black = left.selectExpr(f"{rows // height}L as frame_id", f"cast(id % {width} as int) as px", f"cast(id div {width} as int) as py", f"{LUMA_BLACK} as lum", f"{CHROMA_ZERO} as cb", f"{CHROMA_ZERO} as cr")
+        pixels = pixels.unionByName(black)
+    return pixels, width, height
+
+
 def many_frames(pixels: DataFrame, count: int) -> DataFrame:
     """The frame repeated under ids 0..count-1, each shifted in luma, for throughput runs."""
     ids = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))

@@ -276,3 +276,21 @@ def test_register(spark):
     assert spline.lattice_coordinate("px", 1) == "0D"
     with pytest.raises(ValueError):
         WarpParams(0, 3)
+
+
+def test_a_lattice_for_each_frame(spark):
+    """Animated lattices give what each frame's own lattice gives; a frame without one shows the background."""
+    r = random.Random(13)
+    px = raster(spark, 30, 22, lambda x, y: (r.randrange(65536), r.randrange(65536), r.randrange(65536)))
+    px = px.drop("frame_id").selectExpr("explode(array(0L, 1L, 2L, 7L)) as frame_id", "px", "py", "lum", "cb", "cr")
+    p = WarpParams(33, 25)
+    settings = spark.createDataFrame([(10, 0.0), (11, 0.35), (12, 0.8)], "lattice_id long, turned double")
+    lattices = L.build_each(settings, "page_turn", width=28.0, height=20.0, radius=5.0, progress="turned", cx=15.0, cy=11.0)
+    choice = spark.createDataFrame([(0, 11), (1, 12), (2, 11)], "frame_id long, lattice_id long")
+    got = {tuple(x[:3]): tuple(x[3:]) for x in pipeline.run_frames(px, lattices, choice, 30, 22, p).collect()}
+    assert len(got) == 4 * 33 * 25
+    for frame, progress in ((0, 0.35), (1, 0.8), (2, 0.35)):
+        control = L.build(spark, "page_turn", width=28.0, height=20.0, radius=5.0, progress=progress, cx=15.0, cy=11.0)
+        want = pipeline.run_frame(px.filter(f"frame_id = {frame}"), control, 30, 22, p).collect()
+        assert all(got[tuple(x[:3])] == tuple(x[3:]) for x in want)
+    assert all(v == (4096, 32768, 32768, 0) for k, v in got.items() if k[0] == 7)
