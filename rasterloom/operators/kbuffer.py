@@ -4,12 +4,16 @@ A tag that has a slot adds to it; a new tag takes a free slot; with none free it
 the slot whose first depth is farthest (the first of equals) and starts it anew.
 
 Where no more than four tags are about, which a look at the pixels' tags says, slots
-are two aggregations with partial sums.  Else cells are folded in order of arrival.
+are two aggregations with partial sums.  Else cells are folded in order of arrival, as a stream.
 Either way the warp is evaluated once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +23,7 @@ from .warp import contribution, corners, place
 
 KEYS = ["frame_id", "dx", "dy"]
 _SUMS = (("lum", "slum"), ("cb", "scb"), ("cr", "scr"), ("w", "sw"))
+_FIELDS = (("tag", pa.int16()), ("z", pa.int32()), ("slum", pa.int64()), ("scb", pa.int64()), ("scr", pa.int64()), ("sw", pa.int64()))
 _SLOT = "struct<tag:smallint,z:int,slum:bigint,scb:bigint,scr:bigint,sw:bigint>"
 
 
@@ -40,16 +45,74 @@ def slots(frags: DataFrame, params: WarpParams, order: list[str] | None = None,
     return cells.selectExpr(*KEYS, "transform(all, q -> q.s) as slots")
 
 
+class _Slots:
+    """Cells' slots as columns of a batch."""
+
+    def __init__(self):
+        self.cells: list[tuple[int, int, int]] = []
+        self.sizes: list[int] = []
+        self.slots: list[list[int]] = []
+
+    def add(self, cell: tuple[int, int, int], slots: list[list[int]]) -> None:
+        self.cells.append(cell)
+        self.sizes.append(len(slots))
+        self.slots += slots
+
+    def batch(self) -> pa.RecordBatch:
+        parts = np.array(self.slots, np.int64).reshape(-1, len(_FIELDS))
+        struct = pa.StructArray.from_arrays([pa.array(parts[:, k], kind) for k, (_, kind) in enumerate(_FIELDS)], [n for n, _ in _FIELDS])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(self.sizes)).astype(np.int32)), struct)
+        cell = np.array(self.cells, np.int64).reshape(-1, 3)
+        return pa.RecordBatch.from_arrays([pa.array(cell[:, 0]), pa.array(cell[:, 1], pa.int32()), pa.array(cell[:, 2], pa.int32()), lists], [*KEYS, "slots"])
+
+
+def _taken(slots: list[list[int]], new: list[int]) -> None:
+    """Adds a contribution to a cell's slots."""
+    for s in slots:
+        if s[0] == new[0]:
+            for k in range(2, len(new)):
+                s[k] += new[k]
+            return
+    if len(slots) < SLOTS:
+        slots.append(new)
+        return
+    depths = [s[1] for s in slots]
+    slots[depths.index(max(depths))] = new
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folds rows sorted by cell and arrival; holds one cell's slots between batches."""
+    cell, slots = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        out = _Slots()
+        columns = [np.asarray(b.column(c)).astype(np.int64) for c in (*KEYS, *(n for n, _ in _FIELDS))]
+        new = np.ones(b.num_rows, bool)  # a cell's neighbours of one tag are one contribution: the first's depth, the sums of all
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns[:4]], axis=0)
+        head = np.flatnonzero(new)
+        runs = [c[head] for c in columns[:5]] + [np.add.reduceat(c, head) for c in columns[5:]]
+        for frame, dx, dy, *run in zip(*(r.tolist() for r in runs)):
+            if (frame, dx, dy) != cell:
+                if cell is not None:
+                    out.add(cell, slots)
+                cell, slots = (frame, dx, dy), []
+            _taken(slots, run)
+        if out.cells:
+            yield out.batch()
+    if cell is not None:
+        out = _Slots()
+        out.add(cell, slots)
+        yield out.batch()
+
+
 def fold(contributions: DataFrame) -> DataFrame:
-    """Slots of cells by folding their contributions in order of arrival."""
-    new = "named_struct('tag', f.tag, 'z', f.z, 'slum', f.slum, 'scb', f.scb, 'scr', f.scr, 'sw', f.sw)"
-    added = "named_struct('tag', s.tag, 'z', s.z, 'slum', s.slum + f.slum, 'scb', s.scb + f.scb, 'scr', s.scr + f.scr, 'sw', s.sw + f.sw)"
-    farthest = "array_position(transform(acc, q -> q.z), array_max(transform(acc, q -> q.z))) - 1"
-    step = f"""case when exists(acc, s -> s.tag = f.tag) then transform(acc, s -> if(s.tag = f.tag, {added}, s))
-                    when size(acc) < {SLOTS} then concat(acc, array({new}))
-                    else transform(acc, (s, i) -> if(i = {farthest}, {new}, s)) end"""
-    rows = contributions.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("seq", "tag", "z", *(b for _, b in _SUMS)))).alias("fs"))
-    return rows.selectExpr(*KEYS, f"aggregate(fs, cast(array() as array<{_SLOT}>), (acc, f) -> {step}) as slots")
+    """Slots of cells by folding their contributions in order of arrival (``seq``).
+
+    One exchange by cell; a partition's rows are sorted, where Spark spills, and stream through four slots of state, so a cell
+    may have any number of contributions."""
+    parts = contributions.select(*KEYS, *(n for n, _ in _FIELDS), "seq").repartition(*KEYS).sortWithinPartitions(*KEYS, "seq").drop("seq")
+    return parts.mapInArrow(_fold, f"frame_id long, dx int, dy int, slots array<{_SLOT}>")
 
 
 def resolve(cells: DataFrame, mode: str, background: Background = Background()) -> DataFrame:

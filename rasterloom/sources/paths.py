@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def filesystem(spark: SparkSession, path: str):
@@ -28,3 +28,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     fs.mkdirs(where)
     fs.deleteOnExit(where)
     return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a Parquet table in a folder of ``scratch``."""
+    path = f"{scratch(df.sparkSession, name)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,7 +1,7 @@
 """The live loop as tables and streams: capture, admission, consumption, playback.
 
-Batch forms are plain window expressions over numbered frames; streaming forms keep a
-few values for each source in state, so neither collects a stream anywhere.
+Batch forms run over numbered frames by segments (see ``scan``), so one source's rows are worked on by
+all tasks; streaming forms keep a few values for each source in state, so neither collects a stream anywhere.
 """
 
 from __future__ import annotations
@@ -12,13 +12,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 # ---- capture -----------------------------------------------------------------
 
 
 def captured(frames: DataFrame, source: str = "source_id") -> DataFrame:
     """Frames that capture pushes: with a signal, and the frame before had one too."""
-    before = F.lag("has_signal", 1, False).over(Window.partitionBy(source).orderBy("frame_no"))
-    return frames.filter("has_signal is not null").withColumn("__b", before).filter("has_signal and __b").drop("__b")
+    rows = scan.segmented(frames.filter("has_signal is not null"), source, "frame_no")
+    rows = scan.previous(rows, "has_signal", "__b", "frame_no")
+    return rows.filter("has_signal and coalesce(__b.has_signal, false)").select(*frames.columns)
 
 
 def captured_stream(frames: DataFrame, source: str = "source_id") -> DataFrame:
@@ -107,14 +110,14 @@ def consumer_stats(frames: DataFrame, width: int, height: int, mode: str = "v210
 
 
 def as_of(frames: DataFrame, settings: DataFrame, source: str = "source_id") -> DataFrame:
-    """frames (source, at) with the latest setting (source, at, value) at or before each: a union and a running last value, no range join.
+    """frames (source, at) with the latest setting (source, at, value) at or before each: a union and a running last value by segments, no range join.
 
     A setting takes effect on the next frame, never within one."""
     a = frames.select(source, "at", F.lit(1).alias("__k"), F.col("frame_no"), F.lit(None).cast(settings.schema["value"].dataType).alias("value"))
     b = settings.select(source, "at", F.lit(0).alias("__k"), F.lit(None).cast("long").alias("frame_no"), "value")
-    w = Window.partitionBy(source).orderBy("at", "__k", "frame_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = a.unionByName(b).withColumn("value", F.last("value", True).over(w))
-    return both.filter("__k = 1").drop("__k")
+    order = ("at", "__k", "frame_no")
+    both = scan.last_known(scan.segmented(a.unionByName(b), source, *order), "value", *order)
+    return both.filter("__k = 1").select(source, "at", "frame_no", "value")
 
 
 def consume(frames: DataFrame, process: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], coverage: Callable[[DataFrame, int], None] | None = None):
@@ -152,11 +155,10 @@ def playback(frames: DataFrame, ticks: DataFrame, source: str = "source_id") ->
     Ticks before any frame show the black frame (frame_no null)."""
     a = ticks.select(source, "at", F.lit(1).alias("__k"), "tick", F.lit(None).cast("long").alias("frame_no"))
     b = frames.select(source, "at", F.lit(0).alias("__k"), F.lit(None).cast("long").alias("tick"), F.col("frame_no").cast("long").alias("frame_no"))
-    order = Window.partitionBy(source).orderBy("at", "__k", "frame_no", "tick")
-    shown = F.last("frame_no", True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    got = a.unionByName(b).withColumn("frame_no", shown).filter("__k = 1")
-    before = F.lag("frame_no").over(Window.partitionBy(source).orderBy("at", "tick"))
-    return got.withColumn("repeated", F.coalesce(F.col("frame_no") == before, F.lit(False))).select(source, "tick", "at", "frame_no", "repeated")
+    order = ("at", "__k", "frame_no", "tick")
+    got = scan.last_known(scan.segmented(a.unionByName(b), source, *order), "frame_no", *order).filter("__k = 1")
+    got = scan.previous(got, "frame_no", "__b", "at", "tick")
+    return got.withColumn("repeated", F.coalesce(F.col("frame_no") == F.col("__b.frame_no"), F.lit(False))).select(source, "tick", "at", "frame_no", "repeated")
 
 
 def preroll(rate: float) -> int:
@@ -184,21 +186,24 @@ def controls(keys: DataFrame, radius: float = 200.0) -> DataFrame:
     """(seq, yaw, pitch, cx, cy, radius) after each key of (source_id, seq, key), up to the first that ends the loop.
 
     Running sums; the radius, which never falls under its least, is the sum lifted by what the floor has cut off."""
-    by_seq = Window.partitionBy("source_id").orderBy("seq")
-    w = by_seq.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    quit_before = F.max(F.col("key").isin(*QUIT)).over(by_seq.rowsBetween(Window.unboundedPreceding, -1))
-    keys = keys.withColumn("__q", F.coalesce(quit_before, F.lit(False))).filter(~F.col("__q")).drop("__q")
-
-    def steps(name: str):
+    def step(name: str):
         out = F.lit(0.0)
         for k, (n, s) in CONTROLS.items():
             if n == name:
                 out = F.when(F.col("key") == k, F.lit(s)).otherwise(out)
         return out
 
-    sums = {n: F.sum(steps(n)).over(w) for n in ("yaw", "pitch", "cx", "cy")}
-    run = F.sum(steps("radius")).over(w)
-    df = keys.withColumns({**sums, "__r": run})
-    low = F.min(F.col("__r")).over(w)  # a floor lifts everything after it by what it cut off
-    cut = F.greatest(F.lit(LEAST_RADIUS - radius) - low, F.lit(0.0))
-    return df.withColumn("radius", F.lit(radius) + F.col("__r") + cut).drop("__r")
+    names = ("yaw", "pitch", "cx", "cy", "radius")
+    here, earlier = scan.up_to_here("seq"), scan.within("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = scan.segmented(keys, "source_id", "seq").withColumns({f"__{n}": step(n) for n in names} | {"__q": F.coalesce(F.col("key").isin(*QUIT), F.lit(False))})
+    rows = rows.withColumns({n: F.sum(f"__{n}").over(here) for n in names} | {"__over": F.coalesce(F.max("__q").over(earlier), F.lit(False))})
+    rows = rows.withColumn("__low", F.min("radius").over(here))
+    each = scan.segments(rows, **{f"__c_{n}": F.sum(f"__{n}") for n in names}, __c_q=F.max("__q"), __c_low=F.min("radius"))
+    zero = F.lit(0.0)
+    each = each.withColumns({f"__b_{n}": F.coalesce(F.sum(f"__c_{n}").over(scan.before()), zero) for n in names} | {"__b_q": F.coalesce(F.max("__c_q").over(scan.before()), F.lit(False))})
+    each = each.withColumn("__b_low", F.min(F.col("__b_radius") + F.col("__c_low")).over(scan.before()))
+    each = each.select(scan.KEY, scan.SEGMENT, *(f"__b_{n}" for n in names), "__b_q", "__b_low")
+    rows = scan.carried(rows, each).filter(~F.col("__over") & ~F.col("__b_q"))
+    rows = rows.withColumns({n: F.col(n) + F.col(f"__b_{n}") for n in names} | {"__low": F.least("__b_low", F.col("__low") + F.col("__b_radius"))})
+    cut = F.greatest(F.lit(LEAST_RADIUS - radius) - F.col("__low"), zero)  # a floor lifts everything after it by what it cut off
+    return rows.withColumn("radius", F.lit(radius) + F.col("radius") + cut).select(*keys.columns, *names)

@@ -294,3 +294,29 @@ def test_a_lattice_for_each_frame(spark):
         want = pipeline.run_frame(px.filter(f"frame_id = {frame}"), control, 30, 22, p).collect()
         assert all(got[tuple(x[:3])] == tuple(x[3:]) for x in want)
     assert all(v == (4096, 32768, 32768, 0) for k, v in got.items() if k[0] == 7)
+
+
+def test_fold_goes_on_from_batch_to_batch(spark):
+    """Arrivals of a cell in many batches and tags that come back after their slot was taken."""
+    r = random.Random(14)
+    rows = [(0, r.choice([3, 3, 3, 4]), 0, r.randrange(9), r.randrange(50), i, r.randrange(99), 1, 2, 3) for i in range(700)]
+    df = spark.createDataFrame(rows, "frame_id long, dx int, dy int, tag int, z int, i int, slum long, scb long, scr long, sw long").selectExpr("frame_id", "dx", "dy", "cast(tag as smallint) as tag", "z", "struct(i) as seq", "slum", "scb", "scr", "sw")
+    want = {}
+    for _, x, _, tag, z, _, *sums in rows:
+        slots = want.setdefault(x, [])
+        at = next((k for k, s in enumerate(slots) if s[0] == tag), None)
+        if at is not None:
+            slots[at] = (tag, slots[at][1], *(a + b for a, b in zip(slots[at][2:], sums)))
+        elif len(slots) < 4:
+            slots.append((tag, z, *sums))
+        else:
+            slots[max(range(4), key=lambda k: (slots[k][1], -k))] = (tag, z, *sums)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    try:
+        for size in (5, 10_000):
+            spark.conf.set(key, size)
+            got = {x["dx"]: [tuple(s) for s in x["slots"]] for x in kbuffer.fold(df.repartition(6)).collect()}
+            assert got == want
+    finally:
+        spark.conf.set(key, was)
