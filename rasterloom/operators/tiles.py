@@ -267,7 +267,7 @@ def blocks_by_frame(pixels: DataFrame, lattices: DataFrame, choice: DataFrame, w
     A tile and its lattice meet in one task: 266 kB beside up to 16 900 pixels."""
     size = SOURCE_TILE
     tiles = -(-width // size) * -(-height // size)
-    wanted = choice.join(packed_lattices(lattices), "lattice_id").selectExpr("frame_id", f"explode(sequence(0, {tiles - 1})) as src", "points")
+    wanted = choice.join(packed_lattices(lattices), "lattice_id").selectExpr("cast(frame_id as bigint) as frame_id", f"explode(sequence(0, {tiles - 1})) as src", "points")
     one = _tile_warp(width, height, params, None, size)
 
     def run(table: pa.Table, lattice: pa.Table) -> pa.Table:

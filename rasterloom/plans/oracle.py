@@ -460,6 +460,9 @@ ORACLE_SQL = {
     "frames_files_warp": _warped_files(),
     "warp_animated": _animated(),
     "frames_sink": f"select f::bigint as frame_id, row_no, packed from ({_pack()}) p, range(3) t(f)",
+    "consume_warp": f"select frame_id, dx, dy, lum, w from ({_animated()}) where frame_id % 4 <> 3",
+    "capture_late_stream": f"with {CAPTURE} select source_id, frame_no from kept",
+    "playback_stream": REPEAT,
     "capture_gate": f"with {CAPTURE} select source_id, frame_no from kept",
     "ring_drop": RING,
     "stream_latest_repeat": REPEAT,

@@ -15,12 +15,13 @@ from ..operators import lattice as L
 from ..sources import patterns, v210, v210_files
 from ..sources.frames import events_frame, events_frames, planes
 from ..sources.paths import scratch
-from ..streaming import live
+from ..streaming import consumer, live, ordered
 from . import pipeline
 from .oracle import ORACLE_SQL  # noqa: F401
 
 SMALL = (48, 36)  # pattern size
 PLAIN = Supersample(most=1)
+BEGIN = 1_000  # second at which the events' stream begins
 
 
 def _one(spark: SparkSession) -> DataFrame:
@@ -258,12 +259,13 @@ def consume_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = scratch(spark, "consumed")
 
     def into(name: str):
-        return lambda df, n: df.selectExpr(f"'{name}' as got", "frame_no").write.mode("append").parquet(f"{at}/rows")
+        sink = live.keyed(f"{at}/{name}")
+        return lambda df, n: sink(df.select("frame_no"), n)
 
     query = live.consume(_streamed(spark, sf_dir), lambda df: df.filter("has_signal"), into("sink"), into("coverage"))
     query.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.schema("got string, frame_no long").parquet(f"{at}/rows")
-    return got.groupBy("got").agg(F.count(F.lit(1)).alias("frames"), F.sum("frame_no").alias("numbers"))
+    got = [spark.read.parquet(f"{at}/{name}").selectExpr(f"'{name}' as got", "frame_no") for name in ("sink", "coverage")]
+    return got[0].unionByName(got[1]).groupBy("got").agg(F.count(F.lit(1)).alias("frames"), F.sum("frame_no").alias("numbers"))
 
 
 def _ring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,16 +388,70 @@ def _progress(spark: SparkSession, sf_dir: str, frames: DataFrame, per_frame: in
     return live.as_of(taken, settings).selectExpr("frame_no as frame_id", "coalesce(value, 0L) as lattice_id")
 
 
+def _pages(choice: DataFrame, h: int) -> DataFrame:
+    return L.build_each(choice.select("lattice_id").distinct(), "page_turn", width=90.0, height=0.8 * h, radius=15.0, progress="lattice_id / 1000D", cx=50.0, cy=h / 2.0)
+
+
 def warp_animated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frames of the events table under a turning page: each frame's lattice is the page at the progress last set before the frame's end."""
     pixels, w, h = events_frames(spark, sf_dir)
     frames = pixels.select("frame_id").distinct()
     choice = _progress(spark, sf_dir, frames, w * h)
-    lattices = L.build_each(choice.select("lattice_id").distinct(), "page_turn", width=90.0, height=0.8 * h, radius=15.0, progress="lattice_id / 1000D", cx=50.0, cy=h / 2.0)
-    out = pipeline.run_frames(pixels, L.quantised(lattices), choice, w, h, WarpParams(w, h), frames)
+    out = pipeline.run_frames(pixels, L.quantised(_pages(choice, h)), choice, w, h, WarpParams(w, h), frames)
     return _out(out, "frame_id", "dx", "dy", "lum", "cb", "cr", "w")
 
 
+def consume_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames of the events table as a stream of packed images, of which every fourth has another format: each is warped by the page in force."""
+    pixels, w, h = events_frames(spark, sf_dir)
+    at = scratch(spark, "consumed")
+    images = v210.images_of(v210.pack(*planes(pixels), w), w)
+    frames = images.selectExpr("frame_id", "if(frame_id % 4 = 3, 'rgb', 'v210') as mode", f"{w} as width", f"{h} as height", "bytes")
+    frames.repartitionByRange(4, "frame_id").write.parquet(f"{at}/in")
+
+    def in_force(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+        choice = _progress(spark, sf_dir, ids, w * h)
+        return L.quantised(_pages(choice, h)), choice
+
+    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    query = consumer.warp_consumer(stream, in_force, w, h, WarpParams(w, h), f"{at}/out")
+    query.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return consumer.published(spark, f"{at}/out").select("frame_id", "dx", "dy", "lum", "w")
+
+
+def _timed_stream(spark: SparkSession, sf_dir: str, at: str) -> DataFrame:
+    """The capture events, one a second, as a stream of four files in which events come up to two blocks of 250 late.  A row of no source follows, later than all."""
+    events = _capture(spark, sf_dir).selectExpr("source_id", "frame_no", "has_signal", f"timestamp_seconds(at + {BEGIN}) as ts")
+    count, files = events.count(), 4
+    events = events.withColumn("file", F.expr(f"(frame_no div 250 + pmod(hash(frame_no), 2)) * {files} div ({count} div 250 + 2)"))
+    for k in range(files):  # one after another: a stream takes files in the order of their times
+        events.filter(F.col("file") == k).drop("file").repartition(1).write.mode("append").parquet(f"{at}/in")
+    end = spark.range(1).selectExpr("cast(null as long) as source_id", "id as frame_no", "false as has_signal", f"timestamp_seconds({count + 2000 + BEGIN}) as ts")
+    end.write.mode("append").parquet(f"{at}/in")
+    schema = "source_id long, frame_no long, has_signal boolean, ts timestamp"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+
+
+def _streamed_out(df: DataFrame, at: str) -> DataFrame:
+    query = df.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    query.start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{at}/out")
+
+
+def capture_late_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that capture pushes, from a stream in which they come late and out of order."""
+    at = scratch(spark, "late")
+    return _streamed_out(ordered.captured_late(_timed_stream(spark, sf_dir, at), "1500 seconds"), at)
+
+
+def playback_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Playback of that stream: a tick every 200 seconds for every source."""
+    at = scratch(spark, "played")
+    last = max(1, spark.read.parquet(f"{sf_dir}/events.parquet").count() // 200) - 1
+    got = _streamed_out(ordered.playback_stream(_timed_stream(spark, sf_dir, at), 200_000, "1500 seconds", last, start=BEGIN * 1000), at)
+    return got.filter("source_id is not null").selectExpr("source_id", "tick", "tick * 200 as at", "frame_no", "repeated")
+
+
 def determinism(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the flagship that change with the partitioning of its input: none."""
     pixels, w, h = events_frame(spark, sf_dir)
@@ -452,5 +508,8 @@ QUERIES = {
     "frames_files": frames_files,
     "frames_files_warp": frames_files_warp,
     "warp_animated": warp_animated,
+    "consume_warp": consume_warp,
+    "capture_late_stream": capture_late_stream,
+    "playback_stream": playback_stream,
     "determinism": determinism,
 }

@@ -140,6 +140,11 @@ def consume(frames: DataFrame, process: Callable[[DataFrame], DataFrame], sink:
     return frames.writeStream.foreachBatch(run)
 
 
+def keyed(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that writes a micro-batch's rows to a folder of its own, which it replaces: a batch that runs again after a failure leaves its rows once."""
+    return lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+
 # ---- playback --------------------------------------------------------------------
 
 
