@@ -181,12 +181,10 @@ CYLINDER = cylinder(d(60), d(1.8), f"({d(0.9)} * h)", d(48.5), "(h / 2::double)"
 SPHERE = sphere(d(45), d(2), d(1.5), d(50.25), "(h / 2::double)")
 PAGE = page_turn(d(90), f"({d(0.8)} * h)", d(15), 0.5, d(50), "(h / 2::double)")
 
-MORPH = f"""with ht as (select 0 as h), {GRID}, a as ({page_turn(d(300), d(250), d(50), 0.5, d(20), d(-10))}), b as ({cylinder(d(180), d(math.pi / 3), d(300), d(-40), d(25))})
-select r as row, c as col, {', '.join(f'round(a.{k} * {d(0.625)} + b.{k} * {d(0.375)}, 6) + 0 as {k}' for k in 'xyz')} from a join b using (r, c)"""
-
-ROTATE = f"""with ht as (select 0 as h), {GRID}, a as ({sphere(d(100), d(2.2), d(1.9), d(128), d(96))}),
-y as (select r, c, (x - 128) * cos({d(0.3)}) + (z - 100) * sin({d(0.3)}) as x, y - 96 as y, (z - 100) * cos({d(0.3)}) - (x - 128) * sin({d(0.3)}) as z from a)
-select r as row, c as col, round(128 + x, 6) + 0 as x, round(96 + (y * cos({d(-0.2)}) - z * sin({d(-0.2)})), 6) + 0 as y, round(100 + (y * sin({d(-0.2)}) + z * cos({d(-0.2)})), 6) + 0 as z from y"""
+MORPHED = f"select a.r, a.c, {', '.join(f'a.{k} * {d(0.625)} + b.{k} * {d(0.375)} as {k}' for k in 'xyz')} from ({PAGE}) a join ({CYLINDER}) b using (r, c)"
+_TURN = f"select r, c, (x - {d(50.25)}) * {d(math.cos(0.3))} + (z - 45) * {d(math.sin(0.3))} as x, y - h / 2::double as y, (z - 45) * {d(math.cos(0.3))} - (x - {d(50.25)}) * {d(math.sin(0.3))} as z from ({SPHERE}) q, ht"
+TURNED = f"select r, c, {d(50.25)} + x as x, h / 2::double + (y * {d(math.cos(-0.2))} - z * {d(math.sin(-0.2))}) as y, 45 + (y * {d(math.sin(-0.2))} + z * {d(math.cos(-0.2))}) as z from ({_TURN}) q, ht"
+SLANTED = f"select r, c, {d(100)} * ({d(0.8)} * s + {d(0.15)} * t) as x, h::double * ({d(0.9)} * t + {d(0.05)} * s) as y, s * t as z from grid, ht"
 
 JACOBIAN = f"""with {PX}, {GRID}, {_cells(PAGE)}, {_surface('px', 'px::double', 'py::double', 'hit')},
 e as (select *, rxu * ryv - rxv * ryu as det, rxu * rxu + rxv * rxv as p, ryu * ryu + ryv * ryv as q, rxu * ryu + rxv * ryv as o from hit),
@@ -241,20 +239,24 @@ def _chroma_down() -> str:
 select i::int as cx, py as y, ({of('b')})::int as cb, ({of('r')})::int as cr from rowlist, range(50) g(i)"""
 
 
+HEIGHT = "range((select (count(*) + 99) // 100 from events))"
+
+
 def _ramp() -> str:
     def code(x: str, span: int) -> str:
         return f"((4 + ({x} * 1015 + {(span - 1) // 2}) // {span - 1}) * 64)::int"
 
-    return f"""select 'luma' as plane, x::int as x, y::int as y, {code('x', 48)} as a, 0 as b from range(48) a(x), range(36) b(y)
-union all select 'chroma', x::int, y::int, {code('x', 24)}, {code('x', 24)} from range(24) a(x), range(36) b(y)"""
+    return f"""select 'luma' as plane, x::int as x, y::int as y, {code('x', 100)} as a, 0 as b from range(100) a(x), {HEIGHT} b(y)
+union all select 'chroma', x::int, y::int, {code('x', 50)}, {code('x', 50)} from range(50) a(x), {HEIGHT} b(y)"""
 
 
-ZONE = f"""with r as (select x, y, (x - {d(23.5)}) * (x - {d(23.5)}) + (y - {d(17.5)}) * (y - {d(17.5)}) as r2 from range(48) a(x), range(36) b(y))
-select 'luma' as plane, x::int as x, y::int as y, (round(least(greatest({d(502)} + {d(438)} * cos({d(8 * math.pi / (23.5**2 + 17.5**2))} * r2), 64), 940))::int * 64)::int as a, 0 as b from r
-union all select 'chroma', x::int, y::int, 32768, 32768 from range(24) a(x), range(36) b(y)"""
+ZONE = f"""with ht as (select ((count(*) + 99) // 100)::double as h from events),
+r as (select x, y, h, (x - {d(49.5)}) * (x - {d(49.5)}) + (y - (h - 1) / 2) * (y - (h - 1) / 2) as r2 from range(100) a(x), {HEIGHT} b(y), ht)
+select 'luma' as plane, x::int as x, y::int as y, (round(least(greatest({d(502)} + {d(438)} * cos({d(8 * math.pi)} / ({d(49.5)} * {d(49.5)} + (h - 1) / 2 * ((h - 1) / 2)) * r2), 64), 940))::int * 64)::int as a, 0 as b from r
+union all select 'chroma', x::int, y::int, 32768, 32768 from range(50) a(x), {HEIGHT} b(y)"""
 
-EXCURSION = """select 'luma' as plane, x::int as x, y::int as y, ([4, 20, 64, 940, 1000, 1019][x % 6 + 1] * 64)::int as a, 0 as b from range(48) a(x), range(36) b(y)
-union all select 'chroma', x::int, y::int, ([4, 20, 64, 940, 1000, 1019][x % 6 + 1] * 64)::int, ([4, 20, 64, 940, 1000, 1019][x % 6 + 1] * 64)::int from range(24) a(x), range(36) b(y)"""
+EXCURSION = f"""select 'luma' as plane, x::int as x, y::int as y, ([4, 20, 64, 940, 1000, 1019][x % 6 + 1] * 64)::int as a, 0 as b from range(100) a(x), {HEIGHT} b(y)
+union all select 'chroma', x::int, y::int, ([4, 20, 64, 940, 1000, 1019][x % 6 + 1] * 64)::int, ([4, 20, 64, 940, 1000, 1019][x % 6 + 1] * 64)::int from range(50) a(x), {HEIGHT} b(y)"""
 
 BINS = f"""with {PX}, {GRID}, {_cells(affine(1.5, 1.25, -4.0, 5.0))}, {_fragments('130', '(select h from ht)', True)}
 select (select count(*) from subs)::bigint as source_samples, count(*) filter (where ox + oy = 0)::bigint as primary_fragments, count(*) filter (where ox + oy > 0)::bigint as replica_fragments,
@@ -411,9 +413,8 @@ run as (
   from run join e on e.source_id = run.source_id and e.n = run.n + 1
 )
 select source_id, seq, key, round(yaw, 6) + 0 as yaw, round(pitch, 6) + 0 as pitch, round(cx, 6) + 0 as cx, round(cy, 6) + 0 as cy, round(radius, 6) + 0 as radius from run where n > 0 and not over_"""
-GEOMETRY = "select w::int as width, w % 2 = 0 as supported, (w // 2)::int as chroma_width, ((w + 5) // 6)::int as groups, ((w + 5) // 6 * 16)::int as row_bytes, (((w + 5) // 6 * 16 + 127) // 128 * 128)::int as row_bytes_aligned from range(1, 2001) t(w)"
-BLACK_FRAME = "select x::int as x, y::int as y, 4096 as v, case when x % 2 = 0 then 32768 end as cb, case when x % 2 = 0 then 32768 end as cr from range(22) a(x), range(7) b(y)"
-SLANTED = f"with ht as (select 0 as h), {GRID} select r as row, c as col, 2 * s + t as x, t - {d(0.5)} as y, s * t as z from grid"
+GEOMETRY = "select w::int as width, w % 2 = 0 as supported, (w // 2)::int as chroma_width, ((w + 5) // 6)::int as groups, ((w + 5) // 6 * 16)::int as row_bytes, (((w + 5) // 6 * 16 + 127) // 128 * 128)::int as row_bytes_aligned from (select distinct user_id as w from events where user_id > 0)"
+BLACK_FRAME = "select x::int as x, y::int as y, 4096 as v, case when x % 2 = 0 then 32768 end as cb, case when x % 2 = 0 then 32768 end as cr from range(100) a(x), range((select (count(*) + 99) // 100 from events)) b(y)"
 
 ORACLE_SQL = {
     "warp_affine_half": HALF,
@@ -426,11 +427,11 @@ ORACLE_SQL = {
     "warp_page_turn": _warp(quantised(PAGE), "100", "(select h from ht)", True),
     "project_page_turn": _projected(PAGE),
     "row_bands": _warp(affine(1.5, 1.25, 3.0, 5.0), "150", "(select h from ht)", True),
-    "lattice_morph": MORPH,
-    "shape_registered": SLANTED,
+    "lattice_morph": _warp(quantised(MORPHED), "100", "(select h from ht)", True),
+    "shape_registered": _warp(SLANTED, "100", "(select h from ht)", True),
     "v210_geometry": GEOMETRY,
     "black_frame": BLACK_FRAME,
-    "lattice_rotate": ROTATE,
+    "lattice_rotate": _warp(quantised(TURNED), "100", "(select h from ht)", True),
     "jacobian_quantities": JACOBIAN,
     "v210_pack": _pack(),
     "v210_unpack": UNPACK,

@@ -7,7 +7,6 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import consts
 from ..consts import Background, Supersample, WarpParams
 from ..functions import spline
 from ..operators import chroma, kbuffer, resolve, warp
@@ -19,7 +18,6 @@ from ..streaming import consumer, live, ordered
 from . import pipeline
 from .oracle import ORACLE_SQL  # noqa: F401
 
-SMALL = (48, 36)  # pattern size
 PLAIN = Supersample(most=1)
 BEGIN = 1_000  # second at which the events' stream begins
 
@@ -101,20 +99,27 @@ def _project(shape: str):
 
 
 def lattice_morph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = L.build(spark, "page_turn", width=300.0, height=250.0, radius=50.0, progress=0.5, cx=20.0, cy=-10.0)
-    b = L.build(spark, "cylinder", radius=180.0, span=math.pi / 3, height=300.0, cx=-40.0, cy=25.0)
-    return L.morph(a, b, 0.375).selectExpr("row", "col", *(f"round({c}, 6) + 0D as {c}" for c in "xyz"))
+    """The events frame between a page and a cylinder."""
+    frame = events_frame(spark, sf_dir)
+    _, w, h = frame
+    a, b = (L.build(spark, shape, **_curved(w, h)[shape]) for shape in ("page_turn", "cylinder"))
+    return _out(_warp(spark, sf_dir, L.quantised(L.morph(a, b, 0.375)), WarpParams(w, h), frame))
 
 
 def lattice_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = L.build(spark, "sphere", radius=100.0, span_h=2.2, span_v=1.9, cx=128.0, cy=96.0)
-    return L.rotate(a, 0.3, -0.2, 128.0, 96.0, 100.0).selectExpr("row", "col", *(f"round({c}, 6) + 0D as {c}" for c in "xyz"))
+    """The events frame on a sphere that is turned about its centre."""
+    frame = events_frame(spark, sf_dir)
+    _, w, h = frame
+    turned = L.rotate(L.build(spark, "sphere", **_curved(w, h)["sphere"]), 0.3, -0.2, 50.25, h / 2.0, 45.0)
+    return _out(_warp(spark, sf_dir, L.quantised(turned), WarpParams(w, h), frame))
 
 
 def shape_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A shape of the user's own."""
-    L.register("slanted")(lambda k=3.0: (f"({k!r}D * s + t)", "(t - 0.5D)", "(s * t)"))
-    return L.build(spark, "slanted", k=2.0)
+    """The events frame in a shape of the user's own."""
+    frame = events_frame(spark, sf_dir)
+    _, w, h = frame
+    L.register("slanted")(lambda width, height: (f"({float(width)!r}D * (0.8D * s + 0.15D * t))", f"({float(height)!r}D * (0.9D * t + 0.05D * s))", "(s * t)"))
+    return _out(_warp(spark, sf_dir, L.build(spark, "slanted", width=w, height=h), WarpParams(w, h), frame))
 
 
 def jacobian_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,8 +134,9 @@ def jacobian_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v210_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(w, consts.supported_width(w), consts.chroma_width(w), consts.groups(w), consts.row_bytes_min(w), consts.row_bytes_aligned(w)) for w in range(1, 2001)]
-    return spark.createDataFrame(rows, "width int, supported boolean, chroma_width int, groups int, row_bytes int, row_bytes_aligned int")
+    """The layout of packed rows as wide as any user's number in the events table."""
+    widths = spark.read.parquet(f"{sf_dir}/events.parquet").filter("user_id > 0").select(F.col("user_id").cast("int").alias("width")).distinct()
+    return v210.geometry(widths)
 
 
 def v210_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +152,9 @@ def v210_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def black_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    luma, c = v210.unpack(v210.black_frame(spark, 22, 7), 22)
+    """Black of the events frame's size."""
+    _, w, h = events_frame(spark, sf_dir)
+    luma, c = v210.unpack(v210.black_frame(spark, w, h), w)
     return luma.join(c.selectExpr("cx * 2 as x", "y", "cb", "cr"), ["x", "y"], "left").select("x", "y", "v", "cb", "cr")
 
 
@@ -162,7 +170,8 @@ def chroma_down(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pattern(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        luma, c = patterns.pattern(spark, name, *SMALL)
+        """The pattern in the events frame's size."""
+        luma, c = patterns.pattern(spark, name, *events_frame(spark, sf_dir)[1:])
         a = luma.selectExpr("'luma' as plane", "x", "y", "v as a", "0 as b")
         return a.unionByName(c.selectExpr("'chroma' as plane", "cx as x", "y", "cb as a", "cr as b"))
 

@@ -132,6 +132,12 @@ def images_of(rows: DataFrame, width: int, row_bytes: int | None = None) -> Data
     return rows.groupBy("frame_id").agg(F.expr(f"unhex(array_join(transform(array_sort(collect_list(struct(row_no, hex(bytes) as h))), q -> q.h || '{'00' * gap}'), ''))").alias("bytes"))
 
 
+def geometry(widths: DataFrame) -> DataFrame:
+    """widths (width) with whether it is supported, the chroma's width, groups, and bytes of a row, also rounded up to 128."""
+    df = widths.selectExpr("width", "width % 2 = 0 as supported", "cast(width div 2 as int) as chroma_width", "cast((width + 5) div 6 as int) as groups")
+    return df.selectExpr("*", "groups * 16 as row_bytes", "cast((groups * 16 + 127) div 128 * 128 as int) as row_bytes_aligned")
+
+
 def black_frame(spark: SparkSession, width: int, height: int) -> DataFrame:
     """(frame_id, row_no, bytes): one packed black row, repeated."""
     def word(a: int, b: int, c: int) -> str:
@@ -158,12 +164,13 @@ def write_v210_file(luma: DataFrame, chroma: DataFrame, width: int, height: int,
     False if the geometry isn't supported, the folder doesn't exist or the file can't be written."""
     if not supported_width(width) or height <= 0:
         return False
-    folder, _, name = path.rpartition("/")
+    folder, slash, name = path.rpartition("/")
+    folder = folder or slash or "."
     fs, where = filesystem(spark := luma.sparkSession, path)
-    if not fs.exists(filesystem(spark, folder or "/")[1]) or fs.exists(where) and not fs.getFileStatus(where).isFile():
+    if not fs.exists(filesystem(spark, folder)[1]) or fs.exists(where) and not fs.getFileStatus(where).isFile():
         return False
     try:
-        v210_files.write_frames(pack(luma, chroma, width), folder or "/", width, height, mode="append", name=name)
+        v210_files.write_frames(pack(luma, chroma, width), folder, width, height, mode="append", name=name)
     except (PySparkException, Py4JJavaError) as e:
         if any(x in str(e) for x in ("OSError", "PermissionError", "FileNotFoundError", "NotADirectoryError")):
             return False

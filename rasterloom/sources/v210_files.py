@@ -18,6 +18,7 @@ Paths are those of pyarrow's filesystems (local and mounted folders, HDFS, S3, G
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 from collections.abc import Iterator
@@ -39,7 +40,9 @@ _AT_ONCE = 4 << 20
 
 def opened(path: str) -> tuple[arrow_fs.FileSystem, str]:
     """(filesystem, path in it) of a URI or an absolute path."""
-    path = re.sub(r"^file:/*", "/", path).rstrip("/")
+    path = re.sub(r"^file:/*", "/", path).rstrip("/") or "/"
+    if "://" not in path:
+        path = os.path.abspath(path)
     return arrow_fs.FileSystem.from_uri(path)
 
 
