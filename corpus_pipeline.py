@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm._frames import written
+from rasterloom.llm._frames import remove, written_at
 from rasterloom.llm.line_dedup import line_dedup
 from rasterloom.llm.packing import pack
 from rasterloom.llm.quality_rules import quality_filter
@@ -65,10 +65,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written and read again, so a lost executor costs one stage at most."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each result is written and read again, so a lost executor costs one stage at most.
+
+    A stage's table is removed once the next one's is there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{k}-{name.replace(' ', '-')}")
+            docs, path = written_at(docs, f"pipeline-{k}-{name.replace(' ', '-')}")
+            if before is not None:
+                remove(spark, before)
+            before = path
     return docs

@@ -48,13 +48,23 @@ def removed_at_end(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder (columnar, so smaller than a checkpoint)."""
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The frame as a Parquet table in the shared folder (columnar, so smaller than a checkpoint), and where it is."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
     removed_at_end(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return written_at(df, name)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 _UNITS = {"": 0, "b": 0, "k": 1, "kb": 1, "m": 2, "mb": 2, "g": 3, "gb": 3, "t": 4, "tb": 4, "p": 5, "pb": 5}
@@ -105,10 +115,12 @@ def _never_null(c: Column) -> Column:
 def ranks(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with its dense position (from 0) in the global order, by range partitions.
 
-    Only one count for each partition goes to the driver."""
+    Only one count for each partition goes to the driver.  Rows that are equal in the order are cut apart by where they
+    stand in df, which is to be a table, so many equal rows go to many partitions."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    order = [*order, F.col("__tie").asc()]
+    part = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order).drop("__tie")
     part = written(part.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ranks")
     counts = sorted(map(tuple, part.groupBy("__p").agg(F.count(F.lit(1))).collect()))
     base, at = {}, 0

@@ -145,8 +145,11 @@ def statistics(docs: DataFrame, repeats: bool = True) -> DataFrame:
         return F.length(F.regexp_replace(text, f"[^{pattern}]+", "")).cast("long")
 
     kinds = {"n_symbols": only("#*$%&|<>"), "n_letters": only(r"\p{L}"), "n_capitals": only(r"\p{Lu}"), "n_marks": only("!?")}
-    out = docs.withColumns({"__w": _let(words, of_words), "__l": _let(lines, of_lines), **kinds})
-    return out.select(*docs.columns, "__w.*", "__l.*", *kinds)
+    w, x = "__w", "__l"
+    while {w, x} & {c.lower() for c in docs.columns}:
+        w, x = f"_{w}", f"_{x}"
+    out = docs.withColumns({w: _let(words, of_words), x: _let(lines, of_lines), **kinds})
+    return out.select(*docs.columns, f"{w}.*", f"{x}.*", *kinds)
 
 
 def pattern() -> Column:

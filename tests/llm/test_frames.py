@@ -58,3 +58,16 @@ def test_very_long_texts(spark):
     assert got == brute(rows, 10)
     fp = {r["doc_id"]: r["fingerprint"] for r in simhash_dedup.simhash_clusters(df).collect()}
     assert fp == {d: f"{brute_fp(t) % (1 << 64):016x}" for d, t in rows}
+
+
+def test_ranks_cut_equal_rows_apart(spark):
+    """A third of all rows equal in everything: no range partition gets them all, and positions are dense."""
+    from pyspark.sql import functions as F
+
+    from rasterloom.llm._frames import ranks, written
+
+    df = written(spark.range(6000).selectExpr("if(id % 3 = 0, 7, id) as k").repartition(8), "equal")
+    got = ranks(df, [F.col("k").asc()], "at").withColumn("p", F.input_file_name())
+    assert sorted(x["at"] for x in got.collect()) == list(range(6000))
+    sizes = sorted(x["count"] for x in got.groupBy("p").count().collect())
+    assert max(sizes) < 2 * sizes[len(sizes) // 2]

@@ -113,3 +113,9 @@ def test_odd_tables(spark):
     kept = Q.quality_filter(df).collect()
     assert len(kept) == 3 and kept[0].asDict().keys() == {"doc_id", "text", "KEPT"} and {x["KEPT"] for x in kept} == {"x", "y"}
     assert Q.quality_rules(df.limit(0)).count() == 0 and Q.quality_filter(df.limit(0)).count() == 0
+
+
+def test_columns_named_like_the_inner_ones(spark):
+    df = spark.createDataFrame([(1, "some text " * 60, "a", "b")], "doc_id long, text string, __w string, __L string")
+    got = Q.statistics(df).first()
+    assert (got["__w"], got["__L"], got["n_words"]) == ("a", "b", 120)
