@@ -44,7 +44,7 @@ from ._words import slices
 RANKS = "byte_bpe_multi_50k.tiktoken"
 _STATES = 100_000
 _PAIRS = 500_000
-_STORE = 800_000
+_STORE = 1_500_000
 _KEPT = 64  # characters of the longest match that is held, so the store's bytes are bounded
 _BLOCK = 1 << 16
 
