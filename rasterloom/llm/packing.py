@@ -38,7 +38,7 @@ from ._words import slices, text_buffer
 MOST = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-_STORE = 1_400_000
+_STORE = 1_000_000
 _KEPT = 128  # bytes of the longest word that is held after its batch, so the store's bytes are bounded
 #: Letters of ASCII and Latin-1 in lower case, digits, white space, full stops and commas.
 _USUAL = bytes([*range(97, 123), *range(48, 58), 0x20, 0x0A, 0x2E, 0x2C, 0xC3, *range(0x80, 0xC0)])
