@@ -13,7 +13,7 @@ terms that it estimates (0 where that is negative).
 r + ``spare`` blocks; a pair within r agrees in at least ``spare`` blocks, so for
 each choice of ``spare`` blocks a table holds all fingerprints with these blocks in
 front, and pairs are joined on them and verified.  Equal fingerprints are one row.
-Where over ``PAIRS`` fingerprints share their front, what is behind it is cut into
+Fronts are counted by partial sums.  Where over ``PAIRS`` fingerprints share one, what is behind it is cut into
 r + 1 blocks, one of which a pair must share as well: such fingerprints are joined on
 both.  No pair within r is lost.
 
@@ -22,7 +22,8 @@ Very long texts: a worker holds one text, its words and 12 bytes for each.
 Defined cases: null, empty and wordless texts have the fingerprint of no bits.
 Equal texts have equal fingerprints.  Documents with a null id come last, those
 that share an id follow in the order of their text's hash; rows equal in both
-follow one another.  A single document is its own next.  Extra columns are dropped.
+follow one another.  Such rows are fingerprinted once and counted, so their number
+makes no task larger.  A single document is its own next.  Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -34,16 +35,18 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import RID, documents, mapped, with_rid, written
+from ._frames import RID, documents, has_unique_ids, mapped, with_rid, written
 from ._words import U, mix, word_bounds, word_hashes
 
 WORDS64 = 4
 BITS = 64 * WORDS64
 RADIUS = 3
 PAIRS = 64
+FRONTS = 1 << 16  # hot fronts that may be broadcast: 12 bytes each
+REPEATS = 4096
 _TERMS = 1 << 15
 _SALTS = [U(0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1) for k in range(WORDS64)]
 
@@ -89,40 +92,45 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-_KINDS = "kind int, part int, doc_id long, text string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_KINDS = "kind int, part int, times long, doc_id long, text string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _row(doc_id, text, fp, following, next_fp):
+def _row(doc_id, text, fp, following, next_fp, times=1):
     new = edited(text, following)
     raw = new.encode()
     fp2 = fingerprints_of([raw])[0]
-    return (0, None, doc_id, None, len(text), hashlib.sha256(raw).hexdigest(), fp.hex(), fp2.hex(), likeness(fp, fp2), likeness(fp, next_fp))
+    return (0, None, times, doc_id, None, len(text), hashlib.sha256(raw).hexdigest(), fp.hex(), fp2.hex(), likeness(fp, fp2), likeness(fp, next_fp))
 
 
 def _batch(rows):
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [x.split()[0] for x in _KINDS.split(", ")])
 
 
+def _end(kind, part, doc_id, text, fp):
+    return (kind, part, 1, doc_id, text, None, None, fp.hex(), None, None, None)
+
+
 def _walk(batches):
-    """Rows of kind 0 for documents whose next is in the same partition; the first (kind 1) and last (kind 2) document as they are."""
+    """Rows of kind 0 for documents whose next is in the same partition; the first (kind 1) and last (kind 2) document as they are.
+
+    Of n equal documents all but the last have themselves as the next: one row, n - 1 times."""
     part, before = TaskContext.get().partitionId(), None
     for b in batches:
-        ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
+        ids, texts, counts = (b.column(c).to_pylist() for c in ("doc_id", "text", "n"))
+        texts = [t or "" for t in texts]
         for i in range(0, len(ids), 256):
             some = texts[i : i + 256]
             fps = fingerprints_of([t.encode() for t in some])
             rows = []
-            for doc_id, text, fp in zip(ids[i : i + 256], some, fps):
-                if before is None:
-                    rows.append((1, part, doc_id, text, None, None, fp.hex(), None, None, None))
-                else:
-                    rows.append(_row(*before, text, fp))
+            for doc_id, text, fp, n in zip(ids[i : i + 256], some, fps, counts[i : i + 256]):
+                rows.append(_end(1, part, doc_id, text, fp) if before is None else _row(*before, text, fp))
+                if n > 1:
+                    rows.append(_row(doc_id, text, fp, text, fp, n - 1))
                 before = doc_id, text, fp
             yield _batch(rows)
     if before is not None:
-        doc_id, text, fp = before
-        yield _batch([(2, part, doc_id, text, None, None, fp.hex(), None, None, None)])
+        yield _batch([_end(2, part, *before)])
 
 
 def _meet(batches):
@@ -133,6 +141,14 @@ def _meet(batches):
             yield _batch(rows)
 
 
+def _as_often(rows: DataFrame) -> DataFrame:
+    """Each row ``times`` times; many times are dealt out over all tasks, ``REPEATS`` at once."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = rows.withColumn("__c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / REPEATS)))).repartition(n)
+    size = F.least(F.col("times") - F.col("__c") * REPEATS, F.lit(REPEATS))
+    return chunks.withColumn("__c", F.explode(F.sequence(F.lit(1).cast("long"), size))).drop("__c")
+
+
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """For each document: n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
 
@@ -140,15 +156,18 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     the first and last of each partition go through a join."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    ranged = docs.repartitionByRange(n, RID).sortWithinPartitions(RID).select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    unique = has_unique_ids(docs)
+    docs = with_rid(docs, unique)
+    docs = docs.withColumn("n", F.lit(1).cast("long")) if unique else docs.groupBy(RID, "doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
+    ranged = docs.repartitionByRange(n, RID).sortWithinPartitions(RID, "text").select("doc_id", "text", "n")
     rows = written(ranged.transform(mapped, _walk, _KINDS), "fingerprints")
     ends = rows.filter("kind = 1").select(F.col("part").alias("p"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fp"))
     parts = sorted(r["p"] for r in ends.select("p").collect())  # one number for each partition
     following = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, p int")
     last = rows.filter("kind = 2").select("part", "doc_id", "text", "fingerprint").join(following, "part").join(ends, "p")
-    met = last.transform(mapped, _meet, _KINDS)
-    return rows.filter("kind = 0").unionByName(met).drop("kind", "part", "text")
+    out = rows.filter("kind = 0").unionByName(last.transform(mapped, _meet, _KINDS)).drop("kind", "part", "text")
+    return (out if unique else out.filter("times = 1").unionByName(_as_often(out.filter("times > 1")))).drop("times")
 
 
 _DIGITS = BITS // 4
@@ -190,23 +209,33 @@ def _apart(a: str, b: str):
     return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(*part)), F.lit(0))
 
 
+def _told_apart(index: DataFrame, pairs: int) -> DataFrame:
+    """index (t, k, bits, n) with ``hot``: whether over ``pairs`` rows share t and k.
+
+    Fronts are counted by partial sums; hot ones are broadcast while they are at most ``FRONTS``, else joined by t and k,
+    where Spark may split the rows of a front."""
+    fronts = written(index.groupBy("t", "k").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > pairs).select("t", "k", F.lit(True).alias("hot")), "fronts")
+    if fronts.limit(FRONTS + 1).count() <= FRONTS:
+        fronts = F.broadcast(fronts)
+    return index.join(fronts, ["t", "k"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+
+
 def neighbours(fps: DataFrame, radius: int, queries: DataFrame, spare: int = 1, pairs: int = PAIRS) -> DataFrame:
     """(a, b, n, apart): every fp of ``queries`` (hex) with every other one of fps (hex, n) within radius."""
     at = ["t", "k"]
-    index = _tables(fps.select("fp", "n"), radius, spare).withColumn("many", F.count(F.lit(1)).over(Window.partitionBy(*at)))
+    index = _told_apart(_tables(fps.select("fp", "n"), radius, spare), pairs)
     asked = _tables(queries.select("fp").distinct(), radius, spare).withColumnRenamed("bits", "own")
-    few = index.filter(F.col("many") <= pairs).join(asked, at).select(*at, "own", "bits", "n")
-    hot = index.filter(F.col("many") > pairs)
+    few = index.filter("not hot").join(asked, at).select(*at, "own", "bits", "n")
+    hot = index.filter("hot").drop("hot")
     width = _cuts(_DIGITS, radius + spare)
     smallest = sum(sorted(n for _, n in width)[:spare])  # digits that are in front in every table
     behind = _cuts(_DIGITS - smallest, radius + 1)
 
     def cut(df: DataFrame, name: str) -> DataFrame:
         h = F.substring(F.hex(name), smallest + 1, _DIGITS)
-        return df.withColumn("y", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.substring(h, *c).alias("v")) for i, c in enumerate(behind)]))).select("*", "y.*").drop("y", "many")
+        return df.withColumn("y", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.substring(h, *c).alias("v")) for i, c in enumerate(behind)]))).select("*", "y.*").drop("y")
 
-    keys = hot.select(*at).distinct()
-    more = cut(hot, "bits").join(cut(asked.join(keys, at, "left_semi"), "own"), [*at, "i", "v"]).select(*at, "own", "bits", "n")
+    more = cut(hot, "bits").join(cut(asked, "own"), [*at, "i", "v"]).select(*at, "own", "bits", "n")
     both = few.unionByName(more).withColumn("apart", _apart("own", "bits")).filter((F.col("apart") <= radius) & (F.col("apart") > 0))
     a = both.select(F.col("own").alias("bits"), "t", F.col("bits").alias("other"), "n", "apart").withColumn("a", _plain(radius, spare))
     b = a.select("a", "t", F.col("other").alias("bits"), "n", "apart").withColumn("b", _plain(radius, spare))

@@ -105,3 +105,34 @@ def test_odd_tables(spark):
     assert P.fingerprint_edits(df.limit(0)).count() == 0
     one = P.fingerprint_edits(df.limit(1)).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
+
+
+def test_a_third_equal(spark):
+    """Rows equal in id and text, a third of the table: as brute force over all rows in order, and no task over three times the median."""
+    r = random.Random(8)
+    rows = [(d, " ".join(r.choice("alpha beta gamma delta epsilon".split()) for _ in range(r.randint(3, 30)))) for d in range(3000)]
+    rows += [(700, rows[700][1])] * 1500 + [(900, rows[900][1])] * 2 + [(None, None)] * 3
+    order = sorted(rows, key=lambda x: (x[0] is None, x[0]))
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "doc_id long, text string").repartition(5)
+    out = P.fingerprint_edits(df)
+    want = []
+    for i, (d, t) in enumerate(order):
+        t, n = t or "", order[(i + 1) % len(order)][1] or ""
+        want.append((d is None, d, hashlib.sha256(P.edited(t, n).encode()).hexdigest()))
+    key = lambda x: (x[0], x[1] or 0, x[2])
+    assert sorted([(x["doc_id"] is None, x["doc_id"], x["edited_sha256"]) for x in out.collect()], key=key) == sorted(want, key=key)
+    many = spark.createDataFrame([(1, 200_000), (2, 3)], "doc_id long, times long")
+    sizes = sorted(P._as_often(many).rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect())
+    assert sum(sizes) == 200_003 and sizes[-1] < 3 * sizes[len(sizes) // 2]
+
+
+def test_hot_fronts_either_way(spark, monkeypatch):
+    """Fronts that a third of the fingerprints share: the same links whether the hot ones are broadcast or joined."""
+    r = random.Random(9)
+    c = r.getrandbits(P.BITS)
+    fps = {f"{c ^ sum(1 << b for b in r.sample(range(96), r.randint(0, 3))):064x}" for _ in range(150)} | {f"{r.getrandbits(P.BITS):064x}" for _ in range(300)}
+    df = spark.createDataFrame([(f,) for f in fps], "fp string")
+    want = {(a, b) for a in fps for b in fps if a < b and (int(a, 16) ^ int(b, 16)).bit_count() <= 3}
+    for most in (1 << 16, 0):
+        monkeypatch.setattr(P, "FRONTS", most)
+        assert {(x["a"], x["b"]) for x in P.near(df, 3, pairs=8).collect()} == want
