@@ -250,7 +250,7 @@ def capture_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of frames."""
     path = f"{sf_dir}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")  # a pattern that only this table matches
     return events.selectExpr("user_id as source_id", "event_id as frame_no", "event_type <> 'click' as has_signal")
 
 

@@ -58,8 +58,9 @@ def admitted(events: DataFrame, capacity: int, source: str = "source_id", block:
     """events (source, seq, kind push or pop) with ``depth`` after the event and ``ok``: whether a push was admitted or a pop got an item.
 
     An event moves the depth x to min(max(x + a, lo), hi), and such moves one after another are one such move.
-    So events are folded by blocks of ``block`` numbers, blocks by groups of as many, and groups by source; then
-    each block starts from its own depth.  No task holds a source's events."""
+    So events are folded by blocks of ``block`` by rank, whatever their numbers are, blocks by groups of as many, and
+    groups by source; then each block starts from its own depth.  A task holds a block's events, a group's blocks,
+    or a source's groups, one for block * block events."""
     start = f"named_struct('a', 0L, 'lo', 0L, 'hi', {capacity}L)"
 
     def clamp(x: str) -> str:
@@ -78,7 +79,8 @@ def admitted(events: DataFrame, capacity: int, source: str = "source_id", block:
         moves = F.array_sort(F.collect_list(F.struct(number, "f.a", "f.lo", "f.hi")))
         return df.groupBy(*keys).agg(moves.alias("moves"))
 
-    rows = events.selectExpr(source, "cast(seq as bigint) as seq", "kind", f"cast(seq as bigint) div {block} as b1")
+    numbered = scan.segmented(events.selectExpr(source, "cast(seq as bigint) as seq", "kind"), source, "seq")
+    rows = scan.ranked(numbered, "__r", "seq").selectExpr(source, "seq", "kind", f"__r div {block} as b1")
     blocks = rows.groupBy(source, "b1").agg(F.array_sort(F.collect_list(F.struct("seq", "kind"))).alias("es"))
     blocks = blocks.selectExpr(source, "b1", f"b1 div {block} as b2", "es", f"aggregate(es, {start}, {one}) as f")
     groups = gathered(blocks, source, "b2", number="b1").selectExpr(source, "b2", "moves", f"aggregate(moves, {start}, {many}) as f")

@@ -64,3 +64,11 @@ def previous(rows: DataFrame, value: str, name: str, *order: str) -> DataFrame:
     carry = each.select(KEY, SEGMENT, F.last("__last").over(before()).alias("__carry"))
     local = rows.withColumn(name, F.lag(F.struct(value)).over(within(*order)))
     return carried(local, carry).withColumn(name, F.coalesce(name, "__carry")).drop("__carry")
+
+
+def ranked(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """rows (from ``segmented``) with ``name``: how many of the source's rows come before each."""
+    each = segments(rows, __size=F.count(F.lit(1)))
+    carry = each.select(KEY, SEGMENT, F.coalesce(F.sum("__size").over(before()), F.lit(0).cast("long")).alias("__carry"))
+    local = rows.withColumn(name, F.row_number().over(within(*order)) - 1)
+    return carried(local, carry).withColumn(name, F.col(name) + F.col("__carry")).drop("__carry")

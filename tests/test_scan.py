@@ -84,3 +84,21 @@ def test_controls(spark, numbers):
             if key == "q":
                 break
     assert n == len(got)
+
+
+def test_admitted_sparse_numbers(spark, numbers):
+    """Blocks are by rank: sparse numbers give as few blocks as dense ones, and the depths are a loop's."""
+    r = random.Random(25)
+    rows = [(s, n, r.choice(["push", "push", "pop"])) for s, n in numbers]
+    events = spark.createDataFrame(rows, "source_id long, seq long, kind string").repartition(5)
+    got = {(x["source_id"], x["seq"]): (x["ok"], x["depth"]) for x in live.admitted(events, 4, block=16).collect()}
+    assert len(got) == len(rows)
+    for s, own in by_source(rows).items():
+        depth = 0
+        for n, kind in own:
+            ok = depth < 4 if kind == "push" else depth > 0
+            depth += ok if kind == "push" else -ok
+            assert got[s, n] == (ok, depth)
+    ranks = scan.ranked(scan.segmented(events, "source_id", "seq"), "r", "seq").collect()
+    for s, own in by_source(rows).items():
+        assert sorted((x["r"], x["seq"]) for x in ranks if x["source_id"] == s) == [(i, n) for i, (n, _) in enumerate(own)]
