@@ -25,7 +25,7 @@ Defined cases: null, empty and wordless texts have fingerprint zero, linked like
 any other.  One or two words are one shingle.  Equal texts have equal
 fingerprints, so exact copies are one node.  component_id ignores null ids and is
 null if a component has none.  Extra columns stay; those named like an output are
-replaced.
+replaced.  Of rows equal in id and text ``near_dedup`` keeps any one, as it is.
 """
 
 from __future__ import annotations

@@ -70,3 +70,47 @@ def test_stages_keep_columns(spark, tmp_path):
             assert [r[n] for n in names] == [(r["doc_id"] or 0) * 100 + k for k in range(len(names))]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+
+
+def odd_rows():
+    """Null, empty, blank and very long texts, a null id, and rows equal in id and text that differ in their extra column."""
+    r = random.Random(12)
+    vocab = [f"term{i}" for i in range(5000)]
+    w = [r.choice(vocab) for _ in range(120_000)]
+    w[70_000:70_050] = w[100:150]
+    long = "\n".join(" ".join(w[i : i + 11]) for i in range(0, len(w), 11))
+    some = " ".join(r.choice(vocab) for _ in range(90))
+    return [(1, None), (2, ""), (3, " \t\n "), (4, long), (5, long + " end"), (6, some), (6, some), (6, some), (7, "\n".join([some, "x", "x"])), (None, some[::-1]), (None, None)]
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    docs = odd_rows()
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or ""), k) for k, (d, t) in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long, row int").repartition(3)
+    run = dict(corpus_pipeline.STAGES)
+    got = {name: {x["row"]: x for x in run[name](spark, df, str(tmp_path)).collect()} for name, _ in corpus_pipeline.STAGES[:-1]}
+    for name, rows in got.items():
+        for k, x in rows.items():  # a row that stays is one row as it came, but for its text
+            assert x["doc_id"] == docs[k][0] and (x["text"] == docs[k][1] or name in ("line dedup", "substring dedup"))
+    assert not {0, 1, 2, 10} & set(got["quality rules"])  # under 50 words
+    assert all(x["text"] == docs[k][1] for k, x in got["line dedup"].items()) and len(got["line dedup"]) == len(docs)  # no line is in ten documents
+    near = got["SimHash near-dedup"]
+    texts = [t for _, t in docs]
+    order = sorted({(d is None, d or 0, k if d is None else 0) for k, (d, _) in enumerate(docs)})
+    assert len(near) <= len(order) and sum(k in near for k in (5, 6, 7)) == 1 and 3 in near and 4 not in near
+    assert sum(not (texts[k] or "").split() for k in near) == 1 and 0 in near  # wordless texts are one component
+    cut = got["substring dedup"]
+    assert len(cut) == len(docs)
+    first = [(d, t) for k, (d, t) in enumerate(docs) if k not in (6, 7) and d is not None]  # rows equal in id and text are one document
+    want = brute_substrings(first, 20)
+    for k, x in cut.items():
+        if x["doc_id"] is not None:
+            n, gone, kept = want[x["doc_id"]][:3]
+            assert x["text"] == (kept if gone else docs[k][1]) and x["n_chars"] == len(x["text"] or "")
+    packed = run["packing"](spark, df.drop("row"), str(tmp_path)).collect()
+    tokens = {}
+    for x in packed:
+        tokens.setdefault(x["doc_id"], []).append((x["length"], x["doc_tokens"]))
+    for d, ps in tokens.items():
+        if d not in (6, None):
+            assert sum(n for n, _ in ps) == ps[0][1]
+    assert set(tokens) == {d for d, _ in docs} and sum(n for n, _ in tokens[6]) == 3 * tokens[6][0][1]
