@@ -17,7 +17,7 @@ share such a key are within 2 bits of each other, so each is linked to the least
 one: rows stay in proportion to the fingerprints and no link is lost.
 
 Components: large-star and small-star rounds over the distinct links, each
-written to the shared folder.
+written to the shared folder.  No join is a broadcast, as both sides grow with the table.
 
 Very long texts: a worker holds one text, its words and 16 bytes for each shingle.
 
@@ -103,6 +103,11 @@ def _without(x, bit):
     return x.bitwiseAND(F.bitwise_not(F.expr("1L") * F.call_function("shiftleft", F.lit(1).cast("long"), bit)))
 
 
+def _meet(a: DataFrame, b: DataFrame, on) -> DataFrame:
+    """a joined with b, both of which grow with the table: never by a broadcast, which would go through the driver."""
+    return a.join(b.hint("merge"), on)
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) that join the distinct longs in fps.fp into the components of radius 2."""
     fp = F.col("fp")
@@ -113,10 +118,10 @@ def links(fps: DataFrame) -> DataFrame:
     masked = _without(segment, F.col("v") % 32)
     v = v.select("fp", "v", F.shiftleft(F.col("v").cast("long"), 32).bitwiseOR(masked).alias("key"))
     shared = v.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    rows = written(v.join(shared, "key").select("key", "fp", "v", "c"), "simhash-variants")
+    rows = written(_meet(v, shared, "key").select("key", "fp", "v", "c"), "simhash-variants")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
     few = rows.filter(F.col("c") <= PAIRS)
-    pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").filter((F.col("a") < F.col("b")) & near).select("a", "b")
+    pairs = _meet(few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b")), "key").filter((F.col("a") < F.col("b")) & near).select("a", "b")
     many = rows.filter(F.col("c") > PAIRS)
     second = F.col("v") >= 32
     other = F.when(second, _segment(fp, False)).otherwise(_segment(fp, True))
@@ -127,7 +132,7 @@ def links(fps: DataFrame) -> DataFrame:
     stars = one.unionByName(two).select("fp", *spots)
     on = ["key", "exact", "i", "j", "rest"]
     least = stars.groupBy(*on).agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    star = stars.join(least, on).filter("fp <> a").select("a", F.col("fp").alias("b"))
+    star = _meet(stars, least, on).filter("fp <> a").select("a", F.col("fp").alias("b"))
     return pairs.unionByName(star).distinct()
 
 
@@ -145,10 +150,10 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = least(both, "m").select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("b"), F.col("m").alias("a")).filter("a <> b").distinct()
+        large = _meet(both, low, "u").filter("v > u").select(F.col("v").alias("b"), F.col("m").alias("a")).filter("a <> b").distinct()
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         low = least(down, "m")
-        small = down.join(low, "u").select(F.col("v").alias("b"), F.col("m").alias("a")).union(low.select(F.col("u").alias("b"), F.col("m").alias("a")))
+        small = _meet(down, low, "u").select(F.col("v").alias("b"), F.col("m").alias("a")).union(low.select(F.col("u").alias("b"), F.col("m").alias("a")))
         edges = written(small.filter("a <> b").select("a", "b").distinct(), "links")
         state, before = mark(edges), state
         if state == before:
@@ -160,9 +165,9 @@ def clusters(rows: DataFrame, order: str = "doc_id") -> DataFrame:
     """(fp, first): for each distinct fp in rows the least ``order`` of its component."""
     fps = rows.groupBy("fp").agg(F.min(order).alias("least"))
     root = components(links(fps.select("fp")))
-    named = fps.join(root, fps["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = fps.join(root.hint("merge"), fps["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     first = named.groupBy("root").agg(F.min("least").alias("first"))
-    return named.join(first, "root").select("fp", "first")
+    return _meet(named, first, "root").select("fp", "first")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -171,7 +176,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     unique = has_unique_ids(docs)
     with_id = with_rid(docs.select(*extras(docs, RID, "fp", "first", "__keep"), *[c for c in docs.columns if c.lower() in ("fp", "first")]))
     table = written(fingerprints(with_id.select(RID, "text")), "simhash")
-    keep = clusters(table, RID).select("first").distinct().hint("merge")  # it grows with the table: the same plan at every size, no broadcast of a small one
+    keep = clusters(table, RID).select("first").distinct().hint("merge")  # it grows with the table
     out = with_id.join(keep, with_id[RID] == keep["first"], "left_semi")
     if not unique:
         out = out.dropDuplicates([RID])
@@ -181,7 +186,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 def simhash_clusters(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs."""
     table = written(fingerprints(docs.select("doc_id", "text")), "simhash")
-    out = table.join(clusters(table), "fp")
+    out = _meet(table, clusters(table), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 

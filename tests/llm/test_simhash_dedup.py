@@ -78,3 +78,20 @@ def test_odd_tables(spark):
     kept = S.near_dedup(df).collect()
     assert sorted(x["doc_id"] for x in kept) == [1, 2] and kept[0].asDict().keys() == {"doc_id", "text", "fp"}
     assert S.simhash_clusters(df.limit(0)).count() == 0
+
+
+def test_nothing_that_grows_is_broadcast(spark, monkeypatch):
+    """Joins of tables that grow with the documents aren't planned as broadcasts, which go through the driver, however large these may be."""
+    plans, write = [], S.written
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(S, "written", written)
+    rows = [(i, f"{' '.join(str((i // 2) * 100 + k) for k in range(60))} {i}") for i in range(60)] + [(100 + i, None) for i in range(3)] + [(1, "again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for out in (S.simhash_clusters(docs), S.near_dedup(docs)):
+        assert out.count() > 20
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 8 and not [p for p in plans if "BroadcastHashJoin" in p]
