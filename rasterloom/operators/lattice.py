@@ -1,5 +1,8 @@
 """Lattices: 129 x 129 control points, their shapes, and the stencil table that warps join.
 
+Beyond its edge a lattice repeats its outermost points, which bends the surface within the outermost
+cells.  One with a margin has points of its own there (rows and columns -1 and 129) and goes on as its shape does.
+
 A shape is a pair of SQL expressions in (row, col) and their parameters; user shapes
 are registered with ``register``.
 """
@@ -65,10 +68,11 @@ def page_turn(width: float | str = 400.0, height: float | str = 400.0, radius: f
     return x, f"({cy} + (t - 0.5D) * {height})", z
 
 
-def build(spark: SparkSession, shape: str, **params) -> DataFrame:
-    """(row, col, x, y, z)."""
+def build(spark: SparkSession, shape: str, margin: bool = False, **params) -> DataFrame:
+    """(row, col, x, y, z); margin: with the points around it."""
     x, y, z = SHAPES[shape](**params)
-    grid = spark.range((N + 1) ** 2).selectExpr(f"cast(id div {N + 1} as int) as row", f"cast(id % {N + 1} as int) as col")
+    first, n = (-1, N + 3) if margin else (0, N + 1)
+    grid = spark.range(n**2).selectExpr(f"cast(id div {n} + {first} as int) as row", f"cast(id % {n} + {first} as int) as col")
     grid = grid.selectExpr("row", "col", f"col / {float(N)}D as s", f"row / {float(N)}D as t")
     return grid.selectExpr("row", "col", f"{x} as x", f"{y} as y", f"{z} as z")
 
@@ -104,27 +108,30 @@ def quantised(lattice: DataFrame, bits: int = 20) -> DataFrame:
 
 
 def points(lattice: DataFrame) -> np.ndarray:
-    """[x y z, row, col] of a lattice on the driver: 129 x 129 points, whatever the frames."""
-    got = lattice.select("row", "col", "x", "y", "z").limit((N + 1) ** 2 + 1).toArrow()
-    if got.num_rows != (N + 1) ** 2:
-        raise ValueError(f"a lattice has {N + 1} x {N + 1} points")
-    out = np.zeros((3, N + 1, N + 1))
-    row, col = (np.asarray(got.column(c)) for c in ("row", "col"))
+    """[x y z, row, col] of a lattice on the driver: 129 x 129 points, or 131 x 131 with a margin, whatever the frames."""
+    got = lattice.select("row", "col", "x", "y", "z").limit((N + 3) ** 2 + 1).toArrow()
+    if got.num_rows not in ((N + 1) ** 2, (N + 3) ** 2):
+        raise ValueError(f"a lattice has {N + 1} x {N + 1} points, or {N + 3} x {N + 3} with a margin")
+    margin = int(got.num_rows > (N + 1) ** 2)
+    out = np.zeros((3, N + 1 + 2 * margin, N + 1 + 2 * margin))
+    row, col = (np.asarray(got.column(c)) + margin for c in ("row", "col"))
     for k, c in enumerate("xyz"):
         out[k, row, col] = np.asarray(got.column(c))
     return out
 
 
 def stencils(lattice: DataFrame) -> DataFrame:
-    """(ci, cj, lx, ly, lz): for each of 128 x 128 cells the 16 points around it, edges repeated.
+    """(ci, cj, lx, ly, lz): for each of 128 x 128 cells the 16 points around it, edges repeated where there is no margin.
 
     16 384 rows whatever the frames, so warps broadcast it; one partition, so it is built
     without an exchange."""
     spark = lattice.sparkSession
     cells = spark.range(0, N * N, 1, 1).selectExpr(f"cast(id % {N} as int) as ci", f"cast(id div {N} as int) as cj", "explode(sequence(0, 15)) as k")
-    spots = cells.selectExpr("ci", "cj", "k", f"least(greatest(cj - 1 + k div 4, 0), {N}) as row", f"least(greatest(ci - 1 + k % 4, 0), {N}) as col")
-    spots = spots.withColumns({c: F.col(c).cast("int") for c in ("row", "col")})
-    got = spots.join(F.broadcast(lattice), ["row", "col"])  # 16 641 points
+    spots = cells.selectExpr("ci", "cj", "k", "cast(cj - 1 + k div 4 as int) as __r", "cast(ci - 1 + k % 4 as int) as __c")
+    spots = spots.selectExpr("*", *(f"least(greatest(__{c[0]}, 0), {N}) as {c}" for c in ("row", "col")))
+    outer = lattice.filter(f"row in (-1, {N + 1}) or col in (-1, {N + 1})").selectExpr("row as __r", "col as __c", "struct(x, y, z) as __p")
+    got = spots.join(F.broadcast(lattice), ["row", "col"]).join(F.broadcast(outer), ["__r", "__c"], "left")  # 16 641 points, and 520 of a margin
+    got = got.selectExpr("ci", "cj", "k", *(f"coalesce(__p.{c}, {c}) as {c}" for c in "xyz"))
     got = got.groupBy("ci", "cj").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y", "z"))).alias("p"))
     return got.selectExpr("ci", "cj", *(f"transform(p, q -> q.{c}) as l{c}" for c in "xyz"))
 

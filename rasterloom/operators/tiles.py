@@ -57,7 +57,7 @@ def half_up(x: np.ndarray) -> np.ndarray:
 
 
 def _surface(points: np.ndarray, px: np.ndarray, py: np.ndarray, width: int, height: int):
-    """(x, y, determinant for one pixel) at source positions; points: x and y of the lattice, edges repeated by one before and two after."""
+    """(x, y, determinant for one pixel) at source positions; points: x and y of the lattice, as ``padded``: with one before and two after."""
     ci, wu, du = _axis(px, width)
     cj, wv, dv = _axis(py, height)
     sums = [[0.0] * 3 for _ in points]
@@ -75,7 +75,8 @@ def _surface(points: np.ndarray, px: np.ndarray, py: np.ndarray, width: int, hei
 
 
 def padded(points: np.ndarray) -> np.ndarray:
-    return np.pad(points, ((0, 0), (1, 2), (1, 2)), mode="edge")
+    before, after = (1, 2) if points.shape[1] == LATTICE_MAX + 1 else (0, 1)  # with a margin, what is around is there
+    return np.pad(points, ((0, 0), (before, after), (before, after)), mode="edge")
 
 
 def factors(det: np.ndarray, s: Supersample) -> np.ndarray:

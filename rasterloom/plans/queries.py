@@ -332,7 +332,8 @@ def settings_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _identity(spark: SparkSession, w: int, h: int):
-    return L.build(spark, "affine", width=w, height=h), w, h, WarpParams(w, h)
+    """With a margin, so the edges aren't bent: every pixel comes to lie where it was, however large the frame."""
+    return L.build(spark, "affine", margin=True, width=w, height=h), w, h, WarpParams(w, h)
 
 
 def frame_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
