@@ -28,7 +28,7 @@ def same_as_sql(spark, at, name):
     assert got == want, name
 
 
-@pytest.mark.parametrize("name", ["frame_round_trip", "frame_bytes"])
+@pytest.mark.parametrize("name", ["frame_round_trip", "frame_bytes", "frame_file"])
 def test_identity_of_a_tall_frame(spark, tall, name):
     same_as_sql(spark, tall, name)
 
