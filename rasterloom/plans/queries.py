@@ -63,9 +63,8 @@ def row_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels, w, h = events_frame(spark, sf_dir)
     control, params = _magnified(spark, w, h)
     cuts = [0, h // 3, h // 3 + 1, h]
-    bands = [warp.cells(pixels, control, w, h, params, rows=b) for b in zip(cuts, cuts[1:])]
-    empty = warp.place(_one(spark).selectExpr("frame_id", f"explode(sequence(0, {params.width * params.height - 1})) as cell", *(f"0L as {s}" for s in ("slum", "scb", "scr", "sw"))), params)
-    return _out(resolve.composite(resolve.sum_cells(*bands, empty)))
+    bands = [warp.cells(pixels, control, w, h, params, None if b[0] else _one(spark), rows=b) for b in zip(cuts, cuts[1:])]  # the first has every cell
+    return _out(resolve.composite(resolve.sum_cells(*bands)))
 
 
 def _curved(w: int, h: int) -> dict[str, dict]:

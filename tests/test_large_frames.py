@@ -46,3 +46,11 @@ def test_margin(spark):
         at = np.arange(1000.0)
         _, y, det = tiles._surface(points, np.zeros(1000), at, 100, 1000)
         assert (np.abs(y - 3.0 - at).max() < 1e-9) == margin and (np.abs(det - 1).max() < 1e-9) == margin
+
+
+def test_bands_of_a_tall_frame(spark, tall):
+    """The plan, which the driver holds, has no list of the frame's cells."""
+    df = __spark_entry__.queries()["row_bands"](spark, tall)
+    assert f"sequence(0, {150 * 301 - 1}" not in df._jdf.queryExecution().analyzed().toString()
+    whole = __spark_entry__.queries()["warp_magnify2x"](spark, tall)
+    assert df.count() == whole.count() == 150 * 301 and df.exceptAll(whole).isEmpty()
