@@ -314,9 +314,7 @@ def controls_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_latest_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Playback of every source of the n events: ticks every 200 numbers, against the frames captured."""
     capture = _capture(spark, sf_dir)
-    ticks = capture.agg(F.greatest(F.expr("count(1) div 200"), F.lit(1)).alias("n")).selectExpr("explode(sequence(0L, n - 1)) as tick")
-    ticks = capture.select("source_id").distinct().join(F.broadcast(ticks)).selectExpr("source_id", "tick", "tick * 200 as at")  # the result: every tick of every source
-    return live.playback(live.captured(capture), ticks)
+    return live.playback_every(live.captured(capture), capture.select("source_id").distinct(), 200, max(1, capture.count() // 200))
 
 
 def latest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:

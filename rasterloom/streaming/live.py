@@ -168,6 +168,26 @@ def playback(frames: DataFrame, ticks: DataFrame, source: str = "source_id") ->
     return got.withColumn("repeated", F.coalesce(F.col("frame_no") == F.col("__b.frame_no"), F.lit(False))).select(source, "tick", "at", "frame_no", "repeated")
 
 
+def playback_every(frames: DataFrame, sources: DataFrame, every: int, ticks: int, source: str = "source_id") -> DataFrame:
+    """``playback`` at the ticks 0 to ticks - 1, one every ``every`` from 0, of all ``sources`` (rows of source, each once).
+
+    A frame is shown from the first tick that it reaches up to the next frame's.  Only these runs are sorted and exchanged, at most
+    one for each frame and source; their ticks arise as they are read, so the ticks take no room."""
+    begin = sources.select(source, F.lit(0).cast("long").alias("tick"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("frame_no"))  # black: before any frame
+    reached = frames.filter("at is not null").selectExpr(source, f"greatest(at div {every} + if(at % {every} > 0, 1, 0), 0L) as tick", "cast(at as bigint) as at", "cast(frame_no as bigint) as frame_no")
+    shown = begin.unionByName(reached.filter(F.col("tick") < ticks)).groupBy(source, "tick").agg(F.expr("max_by(frame_no, struct(at, frame_no))").alias("frame_no"))
+    rows = scan.segmented(shown, source, "tick")
+    rows = scan.following(scan.previous(rows, "frame_no", "__b", "tick"), "tick", "__n", "tick")
+    runs = rows.selectExpr(source, "tick as first", f"coalesce(__n.tick, {ticks}L) - 1 as last", "frame_no", "coalesce(frame_no = __b.frame_no, false) as repeated")
+    return played(runs, source).selectExpr(source, "tick", f"tick * {every} as at", "frame_no", "repeated")
+
+
+def played(runs: DataFrame, source: str = "source_id") -> DataFrame:
+    """The ticks (source, tick, frame_no, repeated) of runs (source, first, last, frame_no, repeated: whether the first tick is a repeat)."""
+    ticks = runs.selectExpr(source, "first", "frame_no", "repeated", "explode(sequence(first, last)) as tick")
+    return ticks.selectExpr(source, "tick", "frame_no", "frame_no is not null and (repeated or tick > first) as repeated")
+
+
 def preroll(rate: float) -> int:
     """Frames scheduled ahead: half a second, rounded half away from zero."""
     return int(rate / 2 + 0.5)

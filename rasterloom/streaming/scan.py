@@ -66,6 +66,15 @@ def previous(rows: DataFrame, value: str, name: str, *order: str) -> DataFrame:
     return carried(local, carry).withColumn(name, F.coalesce(name, "__carry")).drop("__carry")
 
 
+def following(rows: DataFrame, value: str, name: str, *order: str) -> DataFrame:
+    """rows (from ``segmented``) with ``name``: a struct of the value of the row after, null at a source's last row."""
+    at = ", ".join(order)
+    each = segments(rows, __first=F.expr(f"min_by(struct({value}), struct({at}))"))
+    carry = each.select(KEY, SEGMENT, F.lead("__first").over(Window.partitionBy(KEY).orderBy(SEGMENT)).alias("__carry"))
+    local = rows.withColumn(name, F.lead(F.struct(value)).over(within(*order)))
+    return carried(local, carry).withColumn(name, F.coalesce(name, "__carry")).drop("__carry")
+
+
 def ranked(rows: DataFrame, name: str, *order: str) -> DataFrame:
     """rows (from ``segmented``) with ``name``: how many of the source's rows come before each."""
     each = segments(rows, __size=F.count(F.lit(1)))
