@@ -455,8 +455,8 @@ def playback_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Playback of that stream: a tick every 200 seconds for every source."""
     at = scratch(spark, "played")
     last = max(1, spark.read.parquet(f"{sf_dir}/events.parquet").count() // 200) - 1
-    got = _streamed_out(ordered.playback_stream(_timed_stream(spark, sf_dir, at), 200_000, "1500 seconds", last, start=BEGIN * 1000), at)
-    return got.filter("source_id is not null").selectExpr("source_id", "tick", "tick * 200 as at", "frame_no", "repeated")
+    got = _streamed_out(ordered.playback_runs(_timed_stream(spark, sf_dir, at), 200_000, "1500 seconds", last, start=BEGIN * 1000), at)
+    return live.played(got.filter("source_id is not null")).selectExpr("source_id", "tick", "tick * 200 as at", "frame_no", "repeated")
 
 
 def determinism(spark: SparkSession, sf_dir: str) -> DataFrame:

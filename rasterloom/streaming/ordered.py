@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import live
+
 _WAITING = "ts array<long>, no array<long>, signal array<boolean>, before boolean"
 
 
@@ -81,6 +83,14 @@ def captured_late(frames: DataFrame, delay: str, source: str = "source_id") -> D
 def playback_stream(frames: DataFrame, every: int, delay: str, last: int | None = None, preroll: int = 0, start: int = 0, source: str = "source_id") -> DataFrame:
     """Streaming ``playback`` of (source, frame_no, has_signal, ts): (source, tick, frame_no, repeated).
 
+    ``playback_runs``, tick by tick."""
+    return live.played(playback_runs(frames, every, delay, last, preroll, start, source), source)
+
+
+def playback_runs(frames: DataFrame, every: int, delay: str, last: int | None = None, preroll: int = 0, start: int = 0, source: str = "source_id") -> DataFrame:
+    """Streaming playback of (source, frame_no, has_signal, ts) as runs (source, first, last, frame_no, repeated) of ticks that show the same frame;
+    repeated: whether the first of them is a repeat, as the others are.  So what a source sends follows its frames, not its ticks.
+
     A tick every ``every`` milliseconds from ``start`` (of the epoch; frames come after it) shows the latest frame captured up to it; where none came since the tick
     before, that one is repeated: timers see to it, so sources without frames go on.  A source begins at tick 0, whenever its
     first frame is seen, after ``preroll`` ticks of black (numbered below 0).  last: the last tick."""
@@ -95,20 +105,22 @@ def playback_stream(frames: DataFrame, every: int, delay: str, last: int | None
         watermark = state.getCurrentWatermarkMs()
         times, numbers = waiting.release(watermark)
         end = (watermark - start) // every if last is None else min((watermark - start) // every, last)
-        ticks = np.arange(tick, max(tick, end + 1))
-        at = np.searchsorted(times, start + ticks * every, "right")
-        frame = [int(numbers[i - 1]) if i else latest for i in at.tolist()]
+        first = np.maximum(-((start - times) // every), tick)  # the tick that a frame reaches
+        some = np.flatnonzero((first <= end) & (np.append(first[1:], end + 1) != first))  # the latest of each
+        first, frame = first[some].tolist(), numbers[some].tolist()
+        if tick <= end and (not first or first[0] > tick):
+            first, frame = [tick, *first], [latest, *frame]
         before = [shown, *frame[:-1]]
         latest = int(numbers[-1]) if len(numbers) else latest
         if frame:
-            shown, tick = frame[-1], int(ticks[-1]) + 1
+            shown, tick = frame[-1], int(end) + 1
         state.update((*waiting.state(), latest, shown, tick))
         if last is None or tick <= last:
             _wake(state, max(start + tick * every, watermark + 1), watermark)
         if frame:
-            yield pd.DataFrame({source: pd.array([key[0]] * len(frame), "Int64"), "tick": ticks, "frame_no": pd.array(frame, "Int64"), "repeated": [x is not None and x == y for x, y in zip(frame, before)]})
+            yield pd.DataFrame({source: pd.array([key[0]] * len(frame), "Int64"), "first": first, "last": [*(x - 1 for x in first[1:]), tick - 1], "frame_no": pd.array(frame, "Int64"), "repeated": [x is not None and x == y for x, y in zip(frame, before)]})
 
-    kinds = f"{source} long, tick long, frame_no long, repeated boolean"
+    kinds = f"{source} long, first long, last long, frame_no long, repeated boolean"
     return _timed(frames, source, delay).groupBy(source).applyInPandasWithState(step, kinds, f"{_WAITING}, latest long, shown long, tick long", "append", "EventTimeTimeout")
 
 
